@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,18 +117,28 @@ def _ascii_fold(text: Column) -> Column:
     return F.pandas_udf(fold, StringType())(text)
 
 
-def decode_entities(text: Column) -> Column:
-    """Entity references to characters.
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    The common names stay in the JVM. Only texts holding some other reference
-    travel to Python; the rest send a null.
-    """
+
+def _decode_common(text: Column) -> Column:
     plain = text
     for name, value in ENTITIES.items():
         plain = F.replace(plain, F.lit(f"&{name};"), F.lit(value))
-    unusual = text.rlike(_OTHER_ENTITY)
+    return F.when(text.contains("&"), plain).otherwise(text)
+
+
+def decode_entities(text: Column, source: Column | None = None) -> Column:
+    """Entity references to characters.
+
+    The common names stay in the JVM. Only texts whose `source` (by default
+    the text itself) holds some other reference travel to Python; the rest
+    send a null.
+    """
+    unusual = (text if source is None else source).rlike(_OTHER_ENTITY)
     decoded = _decode_any_entity(F.when(unusual, text))
-    return F.when(unusual, decoded).when(text.contains("&"), plain).otherwise(text)
+    return F.when(unusual, decoded).otherwise(_bind(text, _decode_common))
 
 
 def strip_markup(text: Column, drop_script: bool = False) -> Column:
@@ -150,7 +161,7 @@ def strip_markup(text: Column, drop_script: bool = False) -> Column:
 
 def clean_html(text: Column, drop_script: bool = False) -> Column:
     """Visible text of an HTML fragment, whitespace collapsed."""
-    decoded = decode_entities(strip_markup(text, drop_script))
+    decoded = decode_entities(strip_markup(text, drop_script), text)
     return collapse_spaces(F.replace(decoded, F.lit(_SHIELD), F.lit("&")))
 
 

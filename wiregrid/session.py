@@ -53,6 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def settle(df: DataFrame, *columns) -> DataFrame:
+    """`df` with `columns` added in a way that later filters do not repeat their work.
+
+    The optimiser moves a filter below the projections it reads and copies
+    their expressions into it; it does not move one below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def materialize(df: DataFrame, label: str, *metrics, partition_by: list[str] | None = None):
     """Write `df` as a table in the shared folder and read it back.
 
