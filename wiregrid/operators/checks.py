@@ -17,11 +17,15 @@ def duplicate_keys(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
 def missing_values(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """One row per column that must not be null, all counted in one pass."""
     counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    named = F.explode(
-        F.array(*[F.struct(F.lit(f"not null {c}").alias("rule"), F.col(c).alias("violations")) for c in columns])
-    )
+    found = [
+        F.struct(F.lit(f"not null {c}").alias("rule"), F.col(c).alias("violations"))
+        for c in columns
+    ]
+    named = F.explode(F.array(*found))
     return counted.select(named.alias("_n")).select(
-        F.lit(table).alias("table_name"), "_n.rule", F.col("_n.violations").cast("long")
+        F.lit(table).alias("table_name"),
+        "_n.rule",
+        F.col("_n.violations").cast("long").alias("violations"),
     )
 
 
