@@ -104,7 +104,9 @@ class DailyRun:
 
         def work() -> str:
             articles = normalize(in_feed_order(raw, self.watchlist), self.as_of).articles
-            tables.append_new(articles, self.store, "articles", self.version, "seq")
+            tables.append_new(
+                articles, self.store, "articles", self.version, "seq", within="published_at"
+            )
             return "articles stored"
 
         return self._step("normalize", work)

@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from wiregrid.operators import keyed
 from wiregrid.schemas import KEYS, TABLES
+from wiregrid.session import materialize
 
 _BATCH = "batch_id"
 _SNAPSHOT = "snapshot"
@@ -48,9 +49,22 @@ def append(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
     fitted.write.mode("overwrite").parquet(f"{root}/{table}/{_BATCH}={batch_id}")
 
 
-def append_new(rows: DataFrame, root: str, table: str, batch_id: int, order: str) -> None:
-    """Append the rows whose key is not stored yet; within the batch the first by `order` wins."""
-    stored = read_appended(rows.sparkSession, root, table, before_batch=batch_id)
+def append_new(
+    rows: DataFrame, root: str, table: str, batch_id: int, order: str, within: str | None = None
+) -> None:
+    """Append the rows whose key is not stored yet; within the batch the first by `order` wins.
+
+    `within` names a column that the key determines, such as the time an
+    article was published: stored rows outside its range in the batch cannot
+    have an equal key, and Parquet statistics skip them.
+    """
+    spark = rows.sparkSession
+    stored = read_appended(spark, root, table, before_batch=batch_id)
+    if within is not None:
+        rows, seen = materialize(
+            rows, f"{table}-batch", F.min(within).alias("low"), F.max(within).alias("high")
+        )
+        stored = stored.where(F.col(within).between(F.lit(seen["low"]), F.lit(seen["high"])))
     fresh = keyed.insert_or_ignore(rows, stored, KEYS[table], [F.col(order)])
     append(fresh, root, table, batch_id)
 

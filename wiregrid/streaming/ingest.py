@@ -36,7 +36,7 @@ def ingest_new(
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
         articles = normalize(in_feed_order(batch, watchlist)).articles
-        append_new(articles, store, "articles", batch_id, "seq")
+        append_new(articles, store, "articles", batch_id, "seq", within="published_at")
 
     return (
         landed_stream(spark, landing, **options)
