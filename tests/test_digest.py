@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wiregrid.operators import digest, keyed, ledger
 from wiregrid.operators.rank import rank_in_group
 from wiregrid.operators.summaries import summarize
-from wiregrid.plans.daily import DailyRun
+from wiregrid.plans.daily import DailyRun, load_all
 from wiregrid.sources import tables
 
 CLUSTER = "cluster_id string, cluster_seq long, ticker string, representative_headline string, article_count long"
@@ -39,12 +39,12 @@ def context(spark, *rows):
     """Rows of (ticker, importance, article_count)."""
     return spark.createDataFrame(
         [
-            (f"c{i}", i, t, f"head {i}", "sum" if n > 1 else "", n, "legal", imp, "", "")
+            (f"c{i}", i, t, f"head {i}", "sum" if n > 1 else "", n, "legal", imp, "", "", 0)
             for i, (t, imp, n) in enumerate(rows)
         ],
         "cluster_id string, cluster_seq long, ticker string, representative_headline string, "
         "summary string, article_count long, event_type string, importance_score int, "
-        "url string, source string",
+        "url string, source string, age long",
     )
 
 
@@ -177,6 +177,17 @@ def test_daily_run_end_to_end(spark, tmp_path):
     assert [r["decision"] for r in run.decide().collect()] == ["skip"]
     assert run.finish() == "success"
     assert tables.read_appended(spark, store, "run_logs").count() == 4
+    text = tables.read_appended(spark, store, "digest_texts").first()["text_content"]
+    assert "--- TSLA ---" in text and "3 articles processed" in text
+    tables.write_snapshot(
+        tables.read_snapshot(spark, store, "event_clusters").withColumn(
+            "cluster_id", F.concat(F.lit("old"), "cluster_id")
+        ),
+        store, "event_clusters", 0,
+    )
+    stored = load_all(spark, store)
+    assert stored.clusters.count() == 4
+    assert {r["age"] for r in stored.clusters.collect()} == {0, -1}
     bad = DailyRun(spark, store, watched, as_of, version=2)
     assert not bad.ingest(raw.drop("raw_json"))
     assert bad.finish() == "partial"

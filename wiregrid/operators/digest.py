@@ -29,7 +29,8 @@ def cluster_context(
     """Clusters with the event type and importance of their best-scored member.
 
     Of equal scores the earliest member's counts. `only_included` keeps the
-    clusters with a member flagged for the digest.
+    clusters with a member flagged for the digest. Clusters of several runs
+    carry an `age`, which puts newer ones first among equals.
     """
     rated = members.join(
         scores.select("article_id", "event_type", "importance_score", "include_in_digest"),
@@ -60,15 +61,16 @@ def cluster_context(
         F.coalesce("_best.importance_score", F.lit(0)).alias("importance_score"),
         F.lit("").alias("url"),
         F.lit("").alias("source"),
+        (F.col("age") if "age" in clusters.columns else F.lit(0).cast("long")).alias("age"),
     )
 
 
 def top_stories(context: DataFrame, limit: int = MAX_TOP_STORIES) -> DataFrame:
     """The most important clusters, watched or not, with their `rank`."""
-    first = context.orderBy(F.desc("importance_score"), "cluster_seq").limit(limit)
+    order = [F.desc("importance_score"), F.col("age"), F.col("cluster_seq")]
+    first = context.orderBy(*order).limit(limit)
     # Ranks only the few rows that the limit left.
-    window = Window.orderBy(F.desc("importance_score"), "cluster_seq")
-    return first.withColumn("rank", F.row_number().over(window))
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def digest_sections(
@@ -78,10 +80,13 @@ def digest_sections(
     watched = context.join(watchlist, "ticker")
     if per_ticker_limit is None:
         ranked = rank_in_group(
-            watched, ["ticker"], [-F.col("importance_score")], "cluster_seq", "rank", start=1
+            watched, ["ticker"], [-F.col("importance_score"), F.col("age")], "cluster_seq",
+            "rank", start=1,
         )
     else:
-        window = Window.partitionBy("ticker").orderBy(F.desc("importance_score"), "cluster_seq")
+        window = Window.partitionBy("ticker").orderBy(
+            F.desc("importance_score"), "age", "cluster_seq"
+        )
         ranked = watched.withColumn("rank", F.row_number().over(window)).where(
             F.col("rank") <= per_ticker_limit
         )

@@ -10,22 +10,30 @@ from wiregrid.operators.digest import subject
 from wiregrid.operators.keyed import first_per_key
 
 
-def composed_digest(text: DataFrame, watchlist_id: str, as_of: Column, version: int) -> DataFrame:
-    """Ledger rows of a freshly composed digest, one per text part."""
+def composed_digest(metrics: DataFrame, watchlist_id: str, as_of: Column, version: int) -> DataFrame:
+    """The ledger row of a freshly composed digest, from its one row of metrics."""
     run_date = F.to_date(as_of)
-    return text.select(
+    return metrics.select(
         ids.digest_id(F.lit(watchlist_id), run_date).alias("id"),
         F.lit(version).cast("long").alias("version"),
         run_date.alias("run_date"),
         subject(as_of).alias("subject"),
-        "text_part",
-        F.col("text").alias("text_content"),
         F.lit(None).cast("timestamp").alias("sent_at"),
         F.lit(None).cast("string").alias("recipient"),
         F.lit("composed").alias("status"),
     )
 
 
+def composed_text(text: DataFrame, watchlist_id: str, as_of: Column, version: int) -> DataFrame:
+    """The text of a composed digest, in parts to be read in order."""
+    return text.select(
+        ids.digest_id(F.lit(watchlist_id), F.to_date(as_of)).alias("id"),
+        F.lit(version).cast("long").alias("version"),
+        "text_part",
+        F.col("text").alias("text_content"),
+    )
+
+
 def current_state(ledger: DataFrame) -> DataFrame:
     """The newest version of every digest."""
     return first_per_key(ledger, ["id"], [F.desc("version")])

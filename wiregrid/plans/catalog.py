@@ -24,7 +24,7 @@ from wiregrid.operators.normalize import (
     trailing_window,
 )
 from wiregrid.operators.summaries import summarize
-from wiregrid.plans.daily import Grouped, compose, group_articles
+from wiregrid.plans.daily import Grouped, compose, group_articles, load_all
 from wiregrid.session import configure, materialize, shared_dir
 from wiregrid.sources import derived, landing, tables
 from wiregrid.sources.derived import spread, table
@@ -344,7 +344,7 @@ def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _grouped(spark, sf_dir)
     return digest.cluster_context(grouped.clusters, grouped.members, grouped.scores).drop(
-        "representative_headline"
+        "representative_headline", "age"
     )
 
 
@@ -380,18 +380,13 @@ def digest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compose_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of a digest composed from stored tables alone."""
+    """Top stories of a digest composed from stored tables alone."""
     root = f"{shared_dir(spark)}/wiregrid-{uuid.uuid4().hex}"
     grouped = _grouped(spark, sf_dir)
     tables.append_new(grouped.scores, root, "article_scores", 0, "article_id")
     tables.write_snapshot(grouped.clusters, root, "event_clusters", 0)
     tables.write_snapshot(grouped.members, root, "cluster_members", 0)
-    stored = Grouped(
-        tables.read_appended(spark, root, "article_scores"),
-        tables.read_snapshot(spark, root, "event_clusters"),
-        tables.read_snapshot(spark, root, "cluster_members"),
-    )
-    return compose(stored, derived.watchlist(spark)).top.select(
+    return compose(load_all(spark, root), derived.watchlist(spark)).top.select(
         "rank", "cluster_id", "article_count", "event_type", "importance_score"
     )
 

@@ -135,15 +135,24 @@ class DailyRun:
 
         return self._step("cluster", work)
 
-    def compose(self, watchlist_id: str = "default", **options) -> bool:
-        """Compose the digest from the stored clusters and all stored scores."""
+    def compose(
+        self, watchlist_id: str = "default", compose_only: bool = False, **options
+    ) -> bool:
+        """Compose the digest of this run, or with `compose_only` of all that is stored."""
 
         def work() -> str:
-            made = compose(load_grouped(self.spark, self.store), self.watchlist, **options)
-            lines = digest.digest_lines(made.top, made.sections, made.metrics, self.as_of)
-            text = digest.digest_text(lines)
-            row = ledger.composed_digest(text, watchlist_id, self.as_of, self.version)
-            tables.append(row, self.store, "digest_runs", self.version * 2)
+            load = load_all if compose_only else load_run
+            made = compose(load(self.spark, self.store), self.watchlist, **options)
+            metrics, _ = materialize(made.metrics, "metrics")
+            lines = digest.digest_lines(made.top, made.sections, metrics, self.as_of)
+            place = (watchlist_id, self.as_of, self.version * 2)
+            tables.append(
+                ledger.composed_text(digest.digest_text(lines), *place),
+                self.store, "digest_texts", self.version,
+            )
+            tables.append(
+                ledger.composed_digest(metrics, *place), self.store, "digest_runs", self.version * 2
+            )
             return "digest composed"
 
         return self._step("compose", work)
@@ -173,13 +182,26 @@ class DailyRun:
         return status
 
 
-def load_grouped(spark: SparkSession, store: str) -> Grouped:
-    """The stored clusters, newest first in order, with all stored scores."""
+def _stored_scores(spark: SparkSession, store: str) -> DataFrame:
+    scores = tables.read_appended(spark, store, "article_scores")
+    return first_per_key(scores, ["article_id"], [F.col("scored_at")])
+
+
+def load_run(spark: SparkSession, store: str) -> Grouped:
+    """The clusters of the newest run with the scores of their members."""
+    members = tables.read_snapshot(spark, store, "cluster_members")
+    scores = _stored_scores(spark, store).join(members.select("article_id"), "article_id", "left_semi")
+    return Grouped(scores, tables.read_snapshot(spark, store, "event_clusters"), members)
+
+
+def load_all(spark: SparkSession, store: str) -> Grouped:
+    """The clusters of all runs and all scores; of clusters with one id the newest counts."""
+    clusters = first_per_key(
+        tables.read_snapshots(spark, store, "event_clusters"), ["cluster_id"], [F.desc("snapshot")]
+    ).withColumn("age", -F.col("snapshot"))
+    members = tables.read_snapshots(spark, store, "cluster_members").join(
+        clusters.select("cluster_id", "snapshot"), ["cluster_id", "snapshot"], "left_semi"
+    )
     return Grouped(
-        first_per_key(
-            tables.read_appended(spark, store, "article_scores"), ["article_id"],
-            [F.col("scored_at")],
-        ),
-        tables.read_snapshot(spark, store, "event_clusters"),
-        tables.read_snapshot(spark, store, "cluster_members"),
+        _stored_scores(spark, store), clusters.drop("snapshot"), members.drop("snapshot")
     )

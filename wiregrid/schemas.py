@@ -92,12 +92,18 @@ DIGEST_RUNS = _table(
     ("version", _L, False),
     ("run_date", DateType(), True),
     ("subject", _S, True),
-    ("text_content", _S, True),
     ("sent_at", _T, True),
     ("recipient", _S, True),
     ("status", _S, True),
 )
 
+DIGEST_TEXTS = _table(
+    ("id", _S, False),
+    ("version", _L, False),
+    ("text_part", _L, False),
+    ("text_content", _S, True),
+)
+
 RUN_LOGS = _table(
     ("run_id", _S, True),
     ("step_order", _I, True),
@@ -115,6 +121,7 @@ TABLES: dict[str, StructType] = {
     "event_clusters": CLUSTERS,
     "cluster_members": MEMBERS,
     "digest_runs": DIGEST_RUNS,
+    "digest_texts": DIGEST_TEXTS,
     "run_logs": RUN_LOGS,
 }
 
@@ -126,4 +133,5 @@ KEYS: dict[str, list[str]] = {
     "event_clusters": ["cluster_id"],
     "cluster_members": ["cluster_id", "member_pos"],
     "digest_runs": ["id", "version"],
+    "digest_texts": ["id", "version", "text_part"],
 }

@@ -80,6 +80,11 @@ def read_snapshot(
     return stored.where(F.col(_SNAPSHOT) == F.lit(newest)).drop(_SNAPSHOT)
 
 
+def read_snapshots(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All snapshots of a table, told apart by their number in `snapshot`."""
+    return _read(spark, f"{root}/{table}", _with(TABLES[table], _SNAPSHOT))
+
+
 def write_snapshot(rows: DataFrame, root: str, table: str, snapshot: int) -> None:
     """Store the whole table as a new snapshot; older ones stay readable."""
     fitted = rows.select(
