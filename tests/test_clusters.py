@@ -13,7 +13,7 @@ from wiregrid.operators.clusters import (
     member_chunks,
     members_from_json,
 )
-from wiregrid.operators.simjoin import Tuning
+from wiregrid.operators.simjoin import Tuning, build_index, signatures, similar_pairs
 
 SCHEMA = "case int, id string, ticker string, headline string, seq long"
 
@@ -174,3 +174,27 @@ def test_members_from_json(spark):
     assert [(r["cluster_id"], r["member_pos"], r["article_id"]) for r in rows] == [
         ("c1", 0, "a"), ("c1", 1, "b"),
     ]
+
+
+def test_shared_hashes_are_told_apart_by_tokens(spark):
+    """Pairs found on hashes that may collide are verified on the tokens."""
+    rows, feeds = random_feeds(20, seed=9)
+    index = build_index(
+        spark.createDataFrame(rows, SCHEMA), 0.4, F.col("case").cast("string"), STRESSED
+    )
+    assert index.faithful
+    entries = signatures(index, index.ordered)
+    exact = set(map(tuple, similar_pairs(index, entries, entries).collect()))
+    index.faithful = False
+    assert set(map(tuple, similar_pairs(index, entries, entries, salted=True).collect())) == exact
+    expected = set()
+    for case, headlines in feeds.items():
+        first = {}
+        for i, h in enumerate(headlines):
+            first.setdefault(frozenset(re.findall(r"\w+", h.lower())), i)
+        kept = sorted(i for words, i in first.items() if words)
+        expected |= {
+            (case * 1000 + i, case * 1000 + j)
+            for i in kept for j in kept if i < j and similarity(headlines[i], headlines[j]) >= 0.4
+        }
+    assert exact == expected

@@ -41,11 +41,12 @@ def leader_of_articles(
     ])
     block = F.concat_ws("\u0002", *block_by) if block_by else F.lit("")
     if threshold <= 0:
-        # Every similarity is high enough: the first article leads all.
+        # Every similarity is high enough: the first article leads all. Without
+        # blocks that is a single row.
         first = feed.groupBy(block.alias("_block")).agg(F.min("seq").alias("leader_seq"))
         return (
             feed.withColumn("_block", block)
-            .join(first, "_block")
+            .join(first if block_by else F.broadcast(first), "_block")
             .select("id", "ticker", "headline", "seq", "leader_seq")
         )
     if threshold > 1:

@@ -40,7 +40,7 @@ def assign_leaders(index: SetIndex) -> DataFrame:
             cut = _batch_end(entries, remaining, budget, tuning.signature_rows_max)
         inside = entries if cut is None else entries.where(F.col("seq") <= cut)
         pairs, seen = materialize(
-            similar_pairs(index, inside, inside).select("lo", "hi"), "pairs"
+            similar_pairs(index, inside, inside).distinct(), "pairs"
         )
         followers = _followers(pairs) if seen["rows"] else None
         if followers is not None:

@@ -6,8 +6,9 @@ et al., WWW 2007; Vernica et al., SIGMOD 2010). A signature is the first token
 two sets may share; where a token is frequent, signatures are the first two
 they share, then three, so that signatures do not stay crowded.
 
-Candidates are found on 64-bit token hashes, where a collision can only add
-one, and the survivors are verified on the tokens themselves.
+Sets are compared by 64-bit token hashes. Indexing counts the tokens that share
+a hash: where there are none, which is all but certain, hashes are as good as
+tokens; otherwise the pairs found are verified on the tokens themselves.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ class SetIndex:
     tuning: Tuning
     crowded: list[DataFrame] = field(default_factory=list)  # per depth: sig, rows
     pairs: float | None = None  # sets that meet in all signatures, where none is crowded
+    faithful: bool = True  # no two tokens share a hash
 
 
 def token_sets(articles: DataFrame, block: Column | None = None) -> DataFrame:
@@ -88,11 +90,18 @@ def build_index(
     )
     marks = sets.select(
         "seq", "block", F.explode(F.split("set_key", SEPARATOR)).alias("token")
-    ).select("seq", "block", F.xxhash64("token").alias("mark"))
+    ).select("seq", "block", "token", F.xxhash64("token").alias("mark"))
+    counted = marks.groupBy("mark").agg(
+        F.count(F.lit(1)).alias("df"), F.min("token").alias("_min"), F.max("token").alias("_max")
+    )
     # Fewer than FREQUENT_TOKENS_LIMIT tokens can be this frequent: safe to broadcast.
     floor = (seen["tokens"] or 0) / FREQUENT_TOKENS_LIMIT
-    frequent = (
-        marks.groupBy("mark").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > floor)
+    shared = Observation()
+    frequent, _ = materialize(
+        counted.observe(shared, F.count_if(F.col("_min") != F.col("_max")).alias("hashes"))
+        .where(F.col("df") > floor)
+        .select("mark", "df"),
+        "frequent",
     )
     by_rarity = F.array_sort(
         F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("mark")))
@@ -113,6 +122,7 @@ def build_index(
     index = SetIndex(
         sets, ordered, threshold, seen["rows"], seen["articles"] or 0, tuning
     )
+    index.faithful = not shared.get["hashes"]
     while len(index.crowded) < tuning.max_depth:
         table, found, pairs = _find_crowded(index)
         if not found:
@@ -239,7 +249,7 @@ def similar_pairs(
 ) -> DataFrame:
     """Pairs (lo, hi) of `seq` with lo < hi and similarity >= threshold.
 
-    `low` and `high` are signatures of the two sides. With `salted`, rows of a
+    A pair comes up once for every signature that proves it. `low` and `high` are signatures of the two sides. With `salted`, rows of a
     crowded signature on the high side are spread over tasks and the low side
     is copied to each of them.
     """
@@ -252,9 +262,11 @@ def similar_pairs(
     lo = low.drop("fan").select([F.col(c).alias(f"lo_{c}") for c in low.columns if c != "fan"])
     hi = high.drop("fan").select([F.col(c).alias(f"hi_{c}") for c in high.columns if c != "fan"])
     smaller, larger = F.least("lo_n", "hi_n"), F.greatest("lo_n", "hi_n")
-    needed = t / (1 + t) * (F.col("lo_n") + F.col("hi_n")) - _SLACK
+    both = F.col("lo_n") + F.col("hi_n")
+    needed = t / (1 + t) * both - _SLACK
     surely = F.col("lo_depth") + F.col("lo_doubled") + F.col("hi_doubled")
     reachable = surely + F.least(F.col("lo_n") - F.col("lo_pos"), F.col("hi_n") - F.col("hi_pos"))
+    overlap_after = F.size(F.array_intersect("lo_rest", "hi_rest"))
     # A sort-merge join spills where a signature is crowded and, unlike a
     # broadcast of one side, spreads the comparisons over all tasks.
     candidates = lo.hint("merge").join(
@@ -267,10 +279,14 @@ def similar_pairs(
         & (F.col("lo_seq") < F.col("hi_seq"))
         & (t * larger <= smaller + _SLACK)
         & (reachable >= needed)
-        & (surely + F.size(F.array_intersect("lo_rest", "hi_rest")) >= needed),
+        & (surely + overlap_after >= needed),
     )
-    found = candidates.select(F.col("lo_seq").alias("lo"), F.col("hi_seq").alias("hi")).distinct()
-    return _verified(index, found)
+    named = [F.col("lo_seq").alias("lo"), F.col("hi_seq").alias("hi")]
+    if not index.faithful:
+        return _verified(index, candidates.select(*named).distinct())
+    # The division decides; only pairs within rounding of the bound get here in vain.
+    overlap = F.col("lo_depth") + overlap_after
+    return candidates.where(overlap / (both - overlap) >= t).select(*named)
 
 
 def _verified(index: SetIndex, pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +24,7 @@ from wiregrid.operators.normalize import (
 )
 from wiregrid.operators.summaries import summarize
 from wiregrid.plans.daily import Grouped, compose, group_articles, load_all
-from wiregrid.session import configure, materialize, shared_dir
+from wiregrid.session import configure, materialize, scratch_dir
 from wiregrid.sources import derived, landing, tables
 from wiregrid.sources.derived import spread, table
 from wiregrid.streaming.ingest import ingest_new, recent_only
@@ -106,7 +105,7 @@ def pages_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land raw batches, replace those of one source, read back in feed order, normalise."""
-    path = f"{shared_dir(spark)}/wiregrid-{uuid.uuid4().hex}/landing"
+    path = f"{scratch_dir(spark)}/landing"
     raw = derived.raw_documents(table(spark, sf_dir, "documents"))
     landing.write_landing(raw, path)
     resent = raw.where(F.col("ticker") == "src1")
@@ -118,7 +117,7 @@ def raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records taken up by a stream, file by file."""
-    root = f"{shared_dir(spark)}/wiregrid-{uuid.uuid4().hex}"
+    root = scratch_dir(spark)
     raw = derived.raw_documents(table(spark, sf_dir, "documents"))
     landing.write_landing(raw, f"{root}/landing")
     query = ingest_new(
@@ -131,7 +130,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-sent articles dropped within the horizon of a stream."""
-    root = f"{shared_dir(spark)}/wiregrid-{uuid.uuid4().hex}"
+    root = scratch_dir(spark)
     sent = _resent(spark, sf_dir).select("id", "ticker", "published_at")
     sent.write.parquet(f"{root}/sent")
     stream = spark.readStream.schema(sent.schema).parquet(f"{root}/sent")
@@ -381,7 +380,7 @@ def digest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compose_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top stories of a digest composed from stored tables alone."""
-    root = f"{shared_dir(spark)}/wiregrid-{uuid.uuid4().hex}"
+    root = scratch_dir(spark)
     grouped = _grouped(spark, sf_dir)
     tables.append_new(grouped.scores, root, "article_scores", 0, "article_id")
     tables.write_snapshot(grouped.clusters, root, "event_clusters", 0)

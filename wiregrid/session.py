@@ -53,6 +53,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, under one folder per application."""
+    return f"{shared_dir(spark)}/wiregrid-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, *columns) -> DataFrame:
     """`df` with `columns` added in a way that later filters do not repeat their work.
 
@@ -71,7 +76,7 @@ def materialize(df: DataFrame, label: str, *metrics, partition_by: list[str] | N
     small tables are broadcast by Spark's own size check.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wiregrid-{uuid.uuid4().hex}/{label}"
+    path = f"{scratch_dir(spark)}/{label}"
     seen = Observation()
     watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics)
     writer = watched.write.mode("overwrite")
