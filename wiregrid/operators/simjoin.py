@@ -249,9 +249,10 @@ def similar_pairs(
 ) -> DataFrame:
     """Pairs (lo, hi) of `seq` with lo < hi and similarity >= threshold.
 
-    A pair comes up once for every signature that proves it. `low` and `high` are signatures of the two sides. With `salted`, rows of a
-    crowded signature on the high side are spread over tasks and the low side
-    is copied to each of them.
+    A pair comes up once for every signature that proves it. `low` and `high`
+    are signatures of the two sides. With `salted`, rows of a crowded
+    signature on the high side are spread over tasks and the low side is
+    copied to each of them.
     """
     t = index.threshold
     if salted:
@@ -267,6 +268,10 @@ def similar_pairs(
     surely = F.col("lo_depth") + F.col("lo_doubled") + F.col("hi_doubled")
     reachable = surely + F.least(F.col("lo_n") - F.col("lo_pos"), F.col("hi_n") - F.col("hi_pos"))
     overlap_after = F.size(F.array_intersect("lo_rest", "hi_rest"))
+    overlap = F.col("lo_depth") + overlap_after
+    # The division decides; only pairs within rounding of the bound get there in vain.
+    # It belongs to the join: a filter after it would be tried first, on every candidate.
+    decided = (overlap / (both - overlap) >= t) if index.faithful else F.lit(True)
     # A sort-merge join spills where a signature is crowded and, unlike a
     # broadcast of one side, spreads the comparisons over all tasks.
     candidates = lo.hint("merge").join(
@@ -279,14 +284,13 @@ def similar_pairs(
         & (F.col("lo_seq") < F.col("hi_seq"))
         & (t * larger <= smaller + _SLACK)
         & (reachable >= needed)
-        & (surely + overlap_after >= needed),
+        & (surely + overlap_after >= needed)
+        & decided,
     )
     named = [F.col("lo_seq").alias("lo"), F.col("hi_seq").alias("hi")]
     if not index.faithful:
         return _verified(index, candidates.select(*named).distinct())
-    # The division decides; only pairs within rounding of the bound get here in vain.
-    overlap = F.col("lo_depth") + overlap_after
-    return candidates.where(overlap / (both - overlap) >= t).select(*named)
+    return candidates.select(*named)
 
 
 def _verified(index: SetIndex, pairs: DataFrame) -> DataFrame:
