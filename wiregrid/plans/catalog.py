@@ -110,7 +110,7 @@ def raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing.write_landing(raw, path)
     resent = raw.where(F.col("ticker") == "src1")
     landing.write_landing(resent, path, resent.select("ticker", "fetch_date").distinct())
-    watched = derived.watchlist(spark)
+    watched = derived.watchlist(spark, derived.ALL_SOURCES)
     batch = landing.in_feed_order(landing.read_landing(spark, path), watched)
     return normalize(batch).articles.select("id", "ticker", "headline", "url")
 
@@ -120,9 +120,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark)
     raw = derived.raw_documents(table(spark, sf_dir, "documents"))
     landing.write_landing(raw, f"{root}/landing")
-    query = ingest_new(
-        spark, f"{root}/landing", derived.watchlist(spark), f"{root}/store", f"{root}/checkpoint"
-    )
+    watched = derived.watchlist(spark, derived.ALL_SOURCES)
+    query = ingest_new(spark, f"{root}/landing", watched, f"{root}/store", f"{root}/checkpoint")
     query.awaitTermination()
     stored = tables.read_appended(spark, f"{root}/store", "articles")
     return stored.select("id", "ticker", "headline", "url")

@@ -276,7 +276,6 @@ def oracle_sql() -> dict[str, str]:
     """One statement per registered query."""
     rules, fixture = _scores(DEFAULT_LEXICON), _scores(FIXTURE_LEXICON)
     grouped = (_ARTICLES, fixture, _clusters(0.4), _SUMMARIES, _CONTEXT)
-    watched = ", ".join(_q(t) for t in WATCHLIST)
     parts = """articles AS (
   SELECT 'part' || p_partkey AS id, p_brand AS ticker, p_name AS headline, p_partkey AS seq FROM part)"""
     turns = """articles AS (
@@ -291,9 +290,9 @@ FROM articles""",
         "pages_clean_text": f"""SELECT page_id, {_clean('html')} AS clean_text, {_clean('title')} AS title
 FROM (SELECT *, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages)""",
         "raw_ingest": _with(_ARTICLES)
-        + f"SELECT id, ticker, headline, url FROM articles WHERE ticker IN ({watched})",
+        + "SELECT id, ticker, headline, url FROM articles",
         "stream_ingest": _with(_ARTICLES)
-        + f"SELECT id, ticker, headline, url FROM articles WHERE ticker IN ({watched})",
+        + "SELECT id, ticker, headline, url FROM articles",
         "stream_dedupe": _with(_DELIVERIES) + "SELECT DISTINCT id, ticker FROM sent",
         "trailing_window_counts": _with(_watch(EVENT_WATCHLIST))
         + f"""SELECT w.ticker, w.position, count(e.event_id) AS fetched FROM watchlist w

@@ -11,6 +11,9 @@ FIRST_PUBLISHED, STEP_SECONDS = 1_704_067_200, 60
 #: Watched sources, and one that never publishes.
 WATCHLIST = tuple(f"src{i}" for i in range(10)) + ("src99",)
 
+#: Every source of the documents, in watchlist order.
+ALL_SOURCES = tuple(f"src{i}" for i in range(20))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
