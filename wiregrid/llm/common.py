@@ -92,3 +92,62 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         state, _ = materialize(
             state.join(tops, "root").select("node", F.col("top").alias("root")), f"{label}-state"
         )
+
+
+# --- words of many texts at once ---------------------------------------------
+
+#: Bytes of text worked on at a time inside a task.
+SLICE_BYTES = 2_000_000
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Words:
+    """The words of a few texts: bytes, first and end place, text number and a 64-bit hash each."""
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        self.buffer = b"\n".join(texts)
+        data = np.frombuffer(self.buffer, np.uint8)
+        if lower:
+            data = _LOWER[data]
+        space = np.concatenate(([True], _SPACES[data], [True]))
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
+        self.first = np.searchsorted(self.starts, self.offsets)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        up, down = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        length = (self.ends - self.starts).astype(np.uint64)
+        self.hash = mix(
+            (sums[self.ends] - sums[self.starts]) * down[self.starts] + length * np.uint64(_BASE)
+        )
+
+
+def batches_of(rows: Iterator, column: str) -> Iterator[tuple]:
+    """(record batch, texts as bytes) in slices of about SLICE_BYTES; null texts are empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in rows:
+        whole = batch.column(column)
+        binary = pc.fill_null(whole.cast(pa.large_binary()), b"")
+        sizes = pc.binary_length(binary).to_numpy(zero_copy_only=False)
+        for start, end in slices(sizes, SLICE_BYTES):
+            yield batch.slice(start, end - start), binary.slice(start, end - start).to_pylist()

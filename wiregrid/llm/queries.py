@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrid.llm import exact_radix, quality_rules
+from wiregrid.llm import exact_radix, minhash_fss, quality_rules
 from wiregrid.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_radix.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash_fss.Near(width=2)
+    found = minhash_fss.near_components(table(spark, sf_dir, "documents"), near)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, keep=["doc_id"]).select(
@@ -25,6 +31,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_minhash": op7_minhash,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -40,6 +47,39 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
 FROM texts
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') AS w
+    FROM documents
+),
+shingles AS (
+    SELECT doc_id, unnest(list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w] ELSE
+        list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]) END)) AS s
+    FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common >= 80 * (x.n + y.n - common)
+),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a
+)
+SELECT d.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles,
+       min(r.b) AS component_id, min(r.b) = d.doc_id AS kept
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
+
 OP10_SQL = r"""
 WITH words AS (
     SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -126,4 +166,4 @@ FROM judged j JOIN verdicts v ON j.doc_id = v.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_minhash": OP7_SQL, "op10_quality_rules": OP10_SQL}
