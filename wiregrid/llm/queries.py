@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrid.llm import exact_radix, minhash_fss, quality_rules
+from wiregrid.llm import exact_radix, minhash_fss, quality_rules, suffix_bcr
 from wiregrid.llm.common import table
 
 
@@ -21,6 +21,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_bcr.cut_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, keep=["doc_id"]).select(
@@ -32,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_exact_dedup": op6_exact_dedup,
         "op7_minhash": op7_minhash,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 
