@@ -61,8 +61,9 @@ def groups(docs: DataFrame, first: int = 48, growth: int = 4) -> DataFrame:
             "radix-groups",
             F.count_if(~F.col("ended")).alias("open"),
         )
+        # The groups grow with the documents, so the plan is one that does not need them small.
         met = state.withColumns({"digit": digit, "ended": ended}).join(
-            found, ["gid", "digit", "ended"], "left"
+            found.hint("merge"), ["gid", "digit", "ended"], "left"
         )
         split = met.select(
             "doc_id", "text_sha256", "n", "keep_id", F.col("next").alias("gid"),
