@@ -7,10 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiregrid.llm import exact_radix, minhash_fss, quality_rules, suffix_bcr
+from wiregrid.llm import (
+    bestfit_pack,
+    exact_radix,
+    minhash_fss,
+    quality_rules,
+    shard_kk,
+    suffix_bcr,
+    token_files,
+)
 from wiregrid.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = bestfit_pack.cut_pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    return bestfit_pack.pack(pieces)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_kk.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read_tokens(
+        token_files.write_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_radix.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -37,6 +69,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bestfit_packing": op3_bestfit_packing,
+        "op4_sharding": op4_sharding,
+        "op5_token_files": op5_token_files,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_minhash": op7_minhash,
         "op9_suffix_dedup": op9_suffix_dedup,
