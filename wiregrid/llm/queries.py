@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wiregrid.llm import (
     bestfit_pack,
+    debruijn,
     exact_radix,
     minhash_fss,
     quality_rules,
@@ -53,6 +54,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.cut_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_bcr.cut_repeats(docs).select(
@@ -74,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_minhash": op7_minhash,
+        "op8_debruijn": op8_debruijn,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
