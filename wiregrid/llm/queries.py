@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wiregrid.llm import (
     bestfit_pack,
+    chat_format,
     debruijn,
     exact_radix,
     minhash_fss,
@@ -27,6 +28,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = bestfit_pack.cut_pieces(docs, tokenizer_path("word_bpe_49k.json"))
@@ -76,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op3_bestfit_packing": op3_bestfit_packing,
         "op4_sharding": op4_sharding,
         "op5_token_files": op5_token_files,
