@@ -14,6 +14,7 @@ from wiregrid.llm import (
     exact_radix,
     minhash_fss,
     quality_rules,
+    sentence_pieces,
     shard_kk,
     suffix_bcr,
     token_files,
@@ -33,6 +34,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows))
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"), model)
+    return sentence_pieces.decode(encoded, model)
+
+
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = bestfit_pack.cut_pieces(docs, tokenizer_path("word_bpe_49k.json"))
@@ -83,6 +90,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_sentence_pieces": op2_sentence_pieces,
         "op3_bestfit_packing": op3_bestfit_packing,
         "op4_sharding": op4_sharding,
         "op5_token_files": op5_token_files,

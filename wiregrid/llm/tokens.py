@@ -61,9 +61,12 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.held = 0
 
-    def _learn(self, stretches: list[str]) -> None:
+    def _lists(self, stretches: list[str]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
-        lists = [x.ids for x in found]
+        return [x.ids for x in found]
+
+    def _learn(self, stretches: list[str]) -> None:
+        lists = self._lists(stretches)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         self.code.update(zip(stretches, range(len(self.code), len(self.code) + len(lists)),
                              strict=True))
