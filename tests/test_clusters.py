@@ -198,3 +198,12 @@ def test_shared_hashes_are_told_apart_by_tokens(spark):
             for i in kept for j in kept if i < j and similarity(headlines[i], headlines[j]) >= 0.4
         }
     assert exact == expected
+
+
+def test_null_blocks_stay_apart(spark):
+    rows = [("1", "t", "big oil deal", 1, "x", None), ("2", "t", "big oil deal", 2, None, "x")]
+    feed = spark.createDataFrame(
+        rows, "id string, ticker string, headline string, seq long, a string, b string"
+    )
+    clusters, _ = cluster_articles(feed, block_by=["a", "b"])
+    assert clusters.count() == 2

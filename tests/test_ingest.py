@@ -4,14 +4,17 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from wiregrid.functions import times
+from wiregrid.operators import keyed
 from wiregrid.operators.normalize import (
     counts_per_ticker,
+    feed_order,
     normalize,
     parse_raw,
     trailing_window,
 )
 from wiregrid.sources import landing, tables
-from wiregrid.streaming.ingest import ingest_new
+from wiregrid.streaming.ingest import ingest_new, recent_only
 
 SAMPLE = {
     "headline": "Apple hits record high", "summary": "AAPL stock surged today.",
@@ -87,10 +90,13 @@ def test_json_files(spark, tmp_path):
     (tmp_path / "MSFT_2024-01-02.json").write_text("[]")
     (tmp_path / "NVDA_2024-01-02.json").write_text("not json")
     (tmp_path / "notes.txt").write_text("ignored")
-    rows = landing.read_json_batches(spark, str(tmp_path)).orderBy("batch_pos").collect()
+    read = landing.read_json_batches(spark, str(tmp_path))
+    rows = read.orderBy("ticker", "batch_pos").collect()
     assert [(r["ticker"], str(r["fetch_date"]), r["batch_pos"]) for r in rows] == [
-        ("AAPL", "2024-01-02", 0), ("AAPL", "2024-01-02", 1),
+        ("AAPL", "2024-01-02", 0), ("AAPL", "2024-01-02", 1), ("NVDA", "2024-01-02", 0),
     ]
+    made = normalize(read.withColumn("seq", F.lit(0)))
+    assert ("NVDA", "not json") in [(r["ticker"], r["raw_json"]) for r in made.rejects.collect()]
     assert json.loads(rows[0]["raw_json"]) == SAMPLE
 
 
@@ -130,3 +136,53 @@ def test_stream_keeps_the_first_record_for_good(spark, tmp_path):
     expected = [("A", "Apple hits record high"), ("A", "Apple hits record high")]
     assert run() == expected
     assert run() == expected
+
+
+def test_feed_order_has_room(spark):
+    places = [("2024-01-02", 0, 5), ("2024-01-02", 40_000, 0), ("2024-01-03", 0, 0)]
+    df = spark.createDataFrame(places, "d string, position int, batch_pos int")
+    made = df.select(feed_order(F.col("d").cast("date"), F.col("position"), F.col("batch_pos")))
+    seqs = [r[0] for r in made.collect()]
+    assert seqs == sorted(set(seqs))
+    with pytest.raises(Exception, match="out of range"):
+        df.select(feed_order(F.lit("2024-01-02").cast("date"), F.lit(1 << 20), F.lit(0))).collect()
+
+
+def test_late_first_record_is_kept(spark, tmp_path):
+    """An old article that arrives for the first time in a later micro-batch passes."""
+    source, rows = tmp_path / "in", [("new", 10), ("filler", 12), ("late", 1), ("new", 10)]
+    schema = "id string, published_at timestamp"
+    for i, (name, day) in enumerate(rows):
+        spark.createDataFrame([(name, f"2024-02-{day:02}")], "id string, d string").select(
+            "id", F.col("d").cast("timestamp").alias("published_at")
+        ).coalesce(1).write.mode("append").parquet(f"{source}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    query = (
+        recent_only(stream).writeStream.format("memory").queryName("late_first")
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(r["id"] for r in spark.table("late_first").collect()) == ["filler", "late", "new"]
+
+
+def test_updates_of_one_key_do_not_multiply(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    updates = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    made = keyed.update_by_key(stored, updates, ["k"], ["v"]).collect()
+    assert sorted(map(tuple, made)) == [(1, "y"), (2, "b")]
+
+
+def test_empty_snapshot_is_the_newest(spark, tmp_path):
+    store = str(tmp_path)
+    rows = spark.createDataFrame([("c", 0, "a")], "cluster_id string, member_pos int, article_id string")
+    tables.write_snapshot(rows, store, "cluster_members", 1)
+    tables.write_snapshot(rows.where("false"), store, "cluster_members", 2)
+    assert tables.read_snapshot(spark, store, "cluster_members").count() == 0
+    assert tables.read_snapshot(spark, store, "cluster_members", 1).count() == 1
+    assert tables.read_snapshot(spark, store, "cluster_members", 3, exact=True).count() == 0
+
+
+def test_seconds_are_exact_in_far_years(spark):
+    df = spark.sql("SELECT timestamp '9999-12-31 23:59:58.999999' AS t UNION ALL SELECT timestamp '1969-12-31 23:59:58.5'")
+    got = sorted(r[0] for r in df.select(times.timestamp_to_unix(F.col("t"))).collect())
+    assert got == [-1, 253402300798]

@@ -89,3 +89,16 @@ def test_python_scorer_isolates_failures(spark):
 def test_a_scorer_must_return_the_contract(spark):
     with pytest.raises(ValueError):
         run_scorer(articles(spark, ("x", "")), lambda df: df.select(F.col("id").alias("article_id")))
+
+
+def test_python_scorer_sets_wrong_kinds_aside(spark):
+    good = {"is_relevant": True, "relevance_score": 0.5, "importance_score": 40,
+            "event_type": "macro", "confidence": "low", "include_in_digest": False, "reason": "r"}
+    wrong = {"1": {"importance_score": "high"}, "2": {"importance_score": 2**40}, "3": {"reason": 5}}
+    articles = spark.createDataFrame(
+        [(str(i), "h", "s") for i in range(5)], "id string, headline string, summary string"
+    )
+    scorer = python_scorer(lambda a: good | wrong.get(a["id"], {}))
+    made = run_scorer(articles, scorer)
+    assert sorted(r["article_id"] for r in made.scores.collect()) == ["0", "4"]
+    assert sorted(r["article_id"] for r in made.rejects.collect()) == ["1", "2", "3"]

@@ -19,8 +19,7 @@ def unix_to_timestamp(seconds: Column) -> Column:
 
 def timestamp_to_unix(ts: Column) -> Column:
     """Whole seconds, fractions dropped toward zero."""
-    micros = F.unix_micros(ts)
-    return F.when(micros >= 0, F.floor(micros / 1_000_000)).otherwise(F.ceil(micros / 1_000_000))
+    return F.call_function("div", F.unix_micros(ts), F.lit(1_000_000))
 
 
 def long_date(ts: Column) -> Column:

@@ -39,7 +39,8 @@ def leader_of_articles(
     feed = articles.select("id", "ticker", "headline", "seq", *[
         c for c in (block_by or []) if c not in ("id", "ticker", "headline", "seq")
     ])
-    block = F.concat_ws("\u0002", *block_by) if block_by else F.lit("")
+    # JSON tells a null from an empty text and one column from the next.
+    block = F.to_json(F.struct(*block_by)) if block_by else F.lit("")
     if threshold <= 0:
         # Every similarity is high enough: the first article leads all. Without
         # blocks that is a single row.

@@ -41,9 +41,13 @@ def insert_or_replace(
 def update_by_key(
     stored: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]
 ) -> DataFrame:
-    """`stored` with `columns` overwritten where `updates` has the key (unique in `updates`)."""
-    renamed = updates.select(
-        *keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]
+    """`stored` with `columns` overwritten where `updates` has the key.
+
+    Of several updates of one key the one with the greatest values counts, so no row is multiplied.
+    """
+    one = updates.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_new"))
+    renamed = one.select(
+        *keys, F.lit(True).alias("_hit"), *[F.col("_new")[c].alias(f"_new_{c}") for c in columns]
     )
     joined = stored.join(renamed, keys, "left")
     values = [

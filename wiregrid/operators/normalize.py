@@ -17,17 +17,29 @@ class Normalized(NamedTuple):
     rejects: DataFrame
 
 
-# Places of day, watchlist position and batch position inside `seq`.
-_DAY_BITS, _TICKER_BITS = 47, 32
+# Bits of watchlist position and batch position inside `seq`; the day has the rest, until 2687.
+_TICKER_BITS, _BATCH_BITS = 20, 24
 
 
 def feed_order(fetch_date: Column, position: Column, batch_pos: Column) -> Column:
-    """One long that sorts by day, then watchlist position, then place in the batch."""
+    """One long that sorts by day, then watchlist position, then place in the batch.
+
+    A place beyond 2**20 tickers, 2**24 records of a batch or the year 2687 is an error, so two
+    records never share a number.
+    """
     day = F.unix_date(fetch_date).cast("long")
-    return (
-        F.shiftleft(day, _DAY_BITS)
-        + F.shiftleft(position.cast("long"), _TICKER_BITS)
-        + batch_pos.cast("long")
+    ticker, place = position.cast("long"), batch_pos.cast("long")
+    half = 1 << (62 - _TICKER_BITS - _BATCH_BITS)
+    fits = (
+        ticker.between(0, (1 << _TICKER_BITS) - 1)
+        & place.between(0, (1 << _BATCH_BITS) - 1)
+        & day.between(-half, half - 1)
+    )
+    seq = (
+        F.shiftleft(day, _TICKER_BITS + _BATCH_BITS) + F.shiftleft(ticker, _BATCH_BITS) + place
+    )
+    return F.when(~fits, F.raise_error(F.lit("a feed place is out of range")).cast("long")).otherwise(
+        seq
     )
 
 

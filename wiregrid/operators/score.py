@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,24 @@ def run_scorer(articles: DataFrame, scorer: Scorer | None = None) -> Scored:
     )
 
 
+def _typed(name: str, value: object) -> object:
+    """The value as the column `name` holds it; an error if it is of another kind."""
+    if value is None:
+        return None
+    kinds, made = {
+        "is_relevant": ((bool, np.bool_), bool),
+        "include_in_digest": ((bool, np.bool_), bool),
+        "relevance_score": ((int, float, np.integer, np.floating), float),
+        "importance_score": ((int, np.integer), int),
+    }.get(name, ((str,), str))
+    if not isinstance(value, kinds) or (made in (int, float) and isinstance(value, bool)):
+        raise TypeError(f"{name} is {type(value).__name__}")
+    plain = made(value)
+    if made is int and not -(2**31) <= plain < 2**31:
+        raise OverflowError(f"{name} does not fit")
+    return plain
+
+
 _PYTHON_SCORE = (
     "article_id string, is_relevant boolean, relevance_score double, importance_score int, "
     "event_type string, confidence string, include_in_digest boolean, reason string, error string"
@@ -132,7 +151,7 @@ def python_scorer(score_one: Callable[[dict], dict], columns: list[str] | None =
                     row["article_id"] = article["id"]
                     try:
                         result = score_one(article)
-                        row.update({name: result[name] for name in fields})
+                        row.update({name: _typed(name, result[name]) for name in fields})
                     except Exception as exc:  # the contract: record it and go on
                         row["error"] = f"{type(exc).__name__}: {exc}"
                     rows.append(row)

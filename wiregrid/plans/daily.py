@@ -92,7 +92,7 @@ class DailyRun:
         try:
             status, message = "ok", work()
         except Exception as exc:  # a failed step is recorded; the caller decides what follows
-            status, message = "error", f"{type(exc).__name__}: {exc}"[:2000]
+            status, message = "error", f"{type(exc).__name__}: {exc}"
         took = int((time.monotonic() - start) * 1000)
         self.steps.append(
             (self.run_id, len(self.steps), name, status, took, message, self._stamp)
@@ -103,10 +103,11 @@ class DailyRun:
         """Store the new articles of a raw batch (`ticker, fetch_date, batch_pos, raw_json`)."""
 
         def work() -> str:
-            articles = normalize(in_feed_order(raw, self.watchlist), self.as_of).articles
+            articles, rejects = normalize(in_feed_order(raw, self.watchlist), self.as_of)
             tables.append_new(
                 articles, self.store, "articles", self.version, "seq", within="published_at"
             )
+            tables.append(rejects, self.store, "article_rejects", self.version)
             return "articles stored"
 
         return self._step("normalize", work)
@@ -122,6 +123,9 @@ class DailyRun:
             start = self.as_of - F.make_dt_interval(hours=F.lit(hours))
             recent = stored.where(F.col("published_at").between(start, self.as_of))
             scores, clusters, members = group_articles(recent, lexicon, threshold, scorer=scorer)
+            if scorer:
+                rejects = run_scorer(recent, scorer).rejects
+                tables.append(rejects, self.store, "score_rejects", self.version)
             tables.append_new(
                 scores.withColumn("scored_at", self.as_of), self.store, "article_scores",
                 self.version, "article_id",
@@ -141,8 +145,12 @@ class DailyRun:
         """Compose the digest of this run, or with `compose_only` of all that is stored."""
 
         def work() -> str:
-            load = load_all if compose_only else load_run
-            made = compose(load(self.spark, self.store), self.watchlist, **options)
+            stored = (
+                load_all(self.spark, self.store)
+                if compose_only
+                else load_run(self.spark, self.store, self.version)
+            )
+            made = compose(stored, self.watchlist, **options)
             metrics, _ = materialize(made.metrics, "metrics")
             lines = digest.digest_lines(made.top, made.sections, metrics, self.as_of)
             place = (watchlist_id, self.as_of, self.version * 2)
@@ -187,11 +195,16 @@ def _stored_scores(spark: SparkSession, store: str) -> DataFrame:
     return first_per_key(scores, ["article_id"], [F.col("scored_at")])
 
 
-def load_run(spark: SparkSession, store: str) -> Grouped:
-    """The clusters of the newest run with the scores of their members."""
-    members = tables.read_snapshot(spark, store, "cluster_members")
+def load_run(spark: SparkSession, store: str, version: int | None = None) -> Grouped:
+    """The clusters of run `version` (the newest, if not given) with the scores of their members.
+
+    A run that has stored no clusters has none, whatever earlier runs have stored.
+    """
+    exact = version is not None
+    members = tables.read_snapshot(spark, store, "cluster_members", version, exact)
     scores = _stored_scores(spark, store).join(members.select("article_id"), "article_id", "left_semi")
-    return Grouped(scores, tables.read_snapshot(spark, store, "event_clusters"), members)
+    clusters = tables.read_snapshot(spark, store, "event_clusters", version, exact)
+    return Grouped(scores, clusters, members)
 
 
 def load_all(spark: SparkSession, store: str) -> Grouped:

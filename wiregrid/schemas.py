@@ -114,6 +114,11 @@ RUN_LOGS = _table(
     ("logged_at", _T, True),
 )
 
+ARTICLE_REJECTS = _table(
+    ("ticker", _S, True), ("batch_pos", _I, True), ("raw_json", _S, True), ("reason", _S, True)
+)
+SCORE_REJECTS = _table(("article_id", _S, True), ("reason", _S, True))
+
 TABLES: dict[str, StructType] = {
     "watchlist": WATCHLIST,
     "articles": ARTICLES,
@@ -123,6 +128,8 @@ TABLES: dict[str, StructType] = {
     "digest_runs": DIGEST_RUNS,
     "digest_texts": DIGEST_TEXTS,
     "run_logs": RUN_LOGS,
+    "article_rejects": ARTICLE_REJECTS,
+    "score_rejects": SCORE_REJECTS,
 }
 
 #: Columns that identify a row of each table.

@@ -51,7 +51,7 @@ def read_landing(
 def read_json_batches(spark: SparkSession, path: str) -> DataFrame:
     """Raw records of files `{TICKER}_{YYYY-MM-DD}.json`, each a JSON array of records.
 
-    A file that is no JSON array gives no records.
+    A file that is no JSON array gives one record, its whole text, which normalising sets aside.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*_*.json")
     return explode_batches(files, F.col("_metadata.file_name"))
@@ -59,10 +59,11 @@ def read_json_batches(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_batches(files: DataFrame, name: Column) -> DataFrame:
     pattern = r"^(.+)_(\d{4}-\d{2}-\d{2})\.json$"
+    records = F.from_json("value", "array<string>")
     return files.select(
         F.regexp_extract(name, pattern, 1).alias("ticker"),
         F.regexp_extract(name, pattern, 2).try_cast("date").alias("fetch_date"),
-        F.posexplode(F.from_json("value", "array<string>")).alias("batch_pos", "raw_json"),
+        F.posexplode(F.coalesce(records, F.array("value"))).alias("batch_pos", "raw_json"),
     )
 
 

@@ -13,6 +13,8 @@ from wiregrid.session import materialize
 
 _BATCH = "batch_id"
 _SNAPSHOT = "snapshot"
+_COMMITS = "commits"
+_COMMIT = StructType([StructField(_SNAPSHOT, LongType())])
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -70,13 +72,19 @@ def append_new(
 
 
 def read_snapshot(
-    spark: SparkSession, root: str, table: str, snapshot: int | None = None
+    spark: SparkSession, root: str, table: str, snapshot: int | None = None, exact: bool = False
 ) -> DataFrame:
-    """The newest snapshot of a table, or the newest not after `snapshot`."""
+    """The newest committed snapshot of a table, or the newest not after `snapshot`.
+
+    With `exact` it is that snapshot or, if it was never committed, no rows. A snapshot without
+    rows counts like any other.
+    """
     stored = _read(spark, f"{root}/{table}", _with(TABLES[table], _SNAPSHOT))
+    commits = _read(spark, f"{root}/{_COMMITS}/{table}", _COMMIT)
     if snapshot is not None:
-        stored = stored.where(F.col(_SNAPSHOT) <= snapshot)
-    newest = stored.agg(F.max(_SNAPSHOT)).first()[0]
+        known = F.col(_SNAPSHOT) == snapshot if exact else F.col(_SNAPSHOT) <= snapshot
+        commits = commits.where(known)
+    newest = commits.agg(F.max(_SNAPSHOT)).first()[0]
     return stored.where(F.col(_SNAPSHOT) == F.lit(newest)).drop(_SNAPSHOT)
 
 
@@ -94,6 +102,9 @@ def write_snapshot(rows: DataFrame, root: str, table: str, snapshot: int) -> Non
         ]
     )
     fitted.write.mode("overwrite").parquet(f"{root}/{table}/{_SNAPSHOT}={snapshot}")
+    # A small row per snapshot tells that it is whole, also where it has no rows.
+    commit = rows.sparkSession.range(1).select(F.lit(snapshot).cast("long").alias(_SNAPSHOT))
+    commit.write.mode("overwrite").parquet(f"{root}/{_COMMITS}/{table}/of={snapshot}")
 
 
 def replace_rows(rows: DataFrame, root: str, table: str, snapshot: int, newest_first: list) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wiregrid.operators.normalize import normalize
 from wiregrid.schemas import RAW_ARTICLE
 from wiregrid.sources.landing import in_feed_order
-from wiregrid.sources.tables import append_new
+from wiregrid.sources.tables import append, append_new
 
 
 def landed_stream(spark: SparkSession, landing: str, **options: str) -> DataFrame:
@@ -35,8 +35,9 @@ def ingest_new(
     """
 
     def take_up(batch: DataFrame, batch_id: int) -> None:
-        articles = normalize(in_feed_order(batch, watchlist)).articles
+        articles, rejects = normalize(in_feed_order(batch, watchlist))
         append_new(articles, store, "articles", batch_id, "seq", within="published_at")
+        append(rejects, store, "article_rejects", batch_id)
 
     return (
         landed_stream(spark, landing, **options)
@@ -47,10 +48,17 @@ def ingest_new(
     )
 
 
-def recent_only(articles: DataFrame, horizon: str = "24 hours") -> DataFrame:
-    """A stream of articles without those re-sent within the horizon.
+def recent_only(
+    articles: DataFrame, horizon: str = "24 hours", arrived: str | None = None
+) -> DataFrame:
+    """A stream of articles without those re-sent within the horizon of their arrival.
 
-    State is bounded by the horizon, so an article re-sent later passes again;
-    use `ingest_new` where the first record must win for good.
+    `arrived` names the column with the time a record arrived; without it, that is the time it is
+    read. Arrival never lies before that of earlier batches, so an old article that comes for the
+    first time is kept. State is bounded by the horizon: an article re-sent later passes again; use
+    `ingest_new` where the first record must win for good.
     """
-    return articles.withWatermark("published_at", horizon).dropDuplicatesWithinWatermark(["id"])
+    timed = articles.withColumn(
+        "_arrived", F.col(arrived) if arrived else F.current_timestamp()
+    ).withWatermark("_arrived", horizon)
+    return timed.dropDuplicatesWithinWatermark(["id"]).drop("_arrived")
