@@ -104,3 +104,43 @@ def test_ids_and_times(spark):
     assert one(spark, times.minute_stamp(ts)) == "2024-03-05 07:08 UTC"
     assert one(spark, times.elapsed_ms(ts, ts + F.expr("interval 1500 milliseconds"))) == 1500
     assert one(spark, times.elapsed_ms(ts, F.lit(None).cast("timestamp"))) is None
+
+
+def test_tags_of_many_attributes(spark):
+    many = " ".join(f'a{i}="v>{i}"' for i in range(100_000))
+    rows = [f"<p {many}>one</p> two", "<a href='x>y'>l</a><b title=\"open", "<!-- never closed <b>t</b>"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r[0] for r in df.select(text.clean_html(F.col("t"))).collect()]
+    assert got[0] == "one two" and got[1] == "l" and got[2].endswith("t")
+
+
+def test_markup_like_the_standard_parser(spark):
+    """Well-formed random markup, as the standard library's parser reads it."""
+    import random
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts = []
+
+        def handle_data(self, data):
+            self.parts.append(data)
+
+    draw, rows = random.Random(6), []
+    for _ in range(300):
+        pieces = [
+            draw.choice(
+                ["word", " x y ", "&amp;", "&lt;b&gt;", "<b>", "</b>", "<br/>", '<a h="1>2" k=\'"\'>',
+                 "<!-- c > d -->", "\n", "é", "<P CLASS=z>"]
+            )
+            for _ in range(draw.randint(1, 12))
+        ]
+        rows.append("".join(pieces))
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", text.clean_html(F.col("t"))).collect()}
+    for i, row in enumerate(rows):
+        parser = Texts()
+        parser.feed(row)
+        parser.close()
+        assert got[i] == " ".join(" ".join(parser.parts).split()), row

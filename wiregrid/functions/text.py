@@ -15,13 +15,14 @@ from pyspark.sql.types import StringType
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 
-# One alternative per kind of HTML lexeme; the last two are text.
+# One alternative per kind of HTML lexeme; the last two are text. The repeated group of quoted
+# attributes is possessive: a greedy one recurses once per attribute.
 _LEXEME = "|".join(
     [
         r"<!--.*?-->",
         r"<script\b[^>]*>.*?</script[^>]*>",
         r"<style\b[^>]*>.*?</style[^>]*>",
-        r"""</?[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""",
+        r"""</?[a-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""",
         r"<[/a-z!?][^>]*>",
         r"<[/a-z!?][^>]*\z",
         r"[^<]+",

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from wiregrid.functions import scoring
 from wiregrid.functions.lexicon import DEFAULT_LEXICON, Lexicon
-from wiregrid.functions.text import (
-    ENTITIES,
-    HTML_LEXEME,
-    MARKUP_OPEN,
-    RAW_TEXT_EDGES,
-    RAW_TEXT_OPEN,
-    WORD,
-)
 from wiregrid.operators import digest
 from wiregrid.plans.catalog import AS_OF, EVENT_WATCHLIST, FIXTURE_LEXICON
 from wiregrid.sources.derived import FIRST_PUBLISHED, STEP_SECONDS, WATCHLIST
 
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+_WORD = r"[_\p{N}\p{L}]+"
+_RAW_TEXT = r"(?is)^<(script|style)\b[^>]*>"
+_RAW_END = r"(?is)</(script|style)[^>]*>$"
+_TAG = r"""</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+_MARKUP = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script[^>]*>|<style\b[^>]*>.*?</style[^>]*>|"
+    + _TAG + r"|<[a-z/!?][^>]*(?:>|\z)|[^<]+|<"
+)
+# Named references.
+_NAMED = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "copy": "©",
+    "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "hellip": "…", "euro": "€", "trade": "™", "amp": "&",
+}
 _NOON = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -36,13 +42,13 @@ def _cut(text: str, limit: int) -> str:
 
 
 def _clean(text: str) -> str:
-    visible = f"""array_to_string(list_transform(regexp_extract_all({text}, {_q(HTML_LEXEME)}),
+    visible = f"""array_to_string(list_transform(regexp_extract_all({text}, {_q(_MARKUP)}),
         lambda t: CASE
-          WHEN regexp_matches(t, {_q(RAW_TEXT_OPEN)})
-            THEN replace(regexp_replace(t, {_q(RAW_TEXT_EDGES)}, '', 'g'), '&', chr(64976))
-          WHEN regexp_matches(t, {_q(MARKUP_OPEN)}) THEN '' ELSE t END), ' ')"""
+          WHEN regexp_matches(t, {_q(_RAW_TEXT)})
+            THEN replace(regexp_replace(regexp_replace(t, {_q(_RAW_TEXT)}, ''), {_q(_RAW_END)}, ''), '&', chr(64976))
+          WHEN regexp_matches(t, {_q('(?i)^<[a-z/!?]')}) THEN '' ELSE t END), ' ')"""
     decoded = f"CASE WHEN contains({text}, '<') THEN {visible} ELSE {text} END"
-    for name, value in ENTITIES.items():
+    for name, value in _NAMED.items():
         if name == "amp":
             decoded = f"regexp_replace({decoded}, '&amp;?', '&', 'g')"
         else:
@@ -109,7 +115,7 @@ scores AS MATERIALIZED (
 def _clusters(threshold: float, block: str = "''") -> str:
     """All pairs of distinct headlines, then a walk along those with a similar one before them."""
     return f"""worded AS MATERIALIZED (
-  SELECT *, list_sort(list_distinct(regexp_extract_all(lower(headline), {_q(WORD)}))) AS words,
+  SELECT *, list_sort(list_distinct(regexp_extract_all(lower(headline), {_q(_WORD)}))) AS words,
     {block} AS block FROM articles),
 sets AS MATERIALIZED (
   SELECT block, words, len(words) AS n, min(seq) AS first_seq FROM worded
@@ -401,8 +407,8 @@ FROM documents""",
   {_flat('text')} AS flat, array_to_string(w, ' ') AS words,
   CASE WHEN len(v) = 0 THEN 0.0::DOUBLE ELSE round(
     len(list_intersect(list_distinct(w), v)) / len(v), 6) END::DOUBLE AS similarity
-FROM (SELECT *, regexp_extract_all(lower(text), {_q(WORD)}) AS w,
-  list_distinct(regexp_extract_all(lower(role || ' ' || text), {_q(WORD)})) AS v FROM conversations)""",
+FROM (SELECT *, regexp_extract_all(lower(text), {_q(_WORD)}) AS w,
+  list_distinct(regexp_extract_all(lower(role || ' ' || text), {_q(_WORD)})) AS v FROM conversations)""",
         "time_functions": f"""SELECT event_id, epoch_us(ts) // 1000000 AS unix,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS back, strftime(ts, '%B %d, %Y') AS long_date,
   strftime(ts, '%Y-%m-%d %H:%M UTC') AS minute,
