@@ -37,5 +37,14 @@ def run_summary(run_log: DataFrame) -> DataFrame:
     )
 
 
+def counters(counted: dict[str, DataFrame]) -> DataFrame:
+    """(counter, value): the rows of each table, 0 where there are none."""
+    rows = None
+    for name, df in counted.items():
+        one = df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("counter"), "value")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def distinct_steps(run_log: DataFrame) -> DataFrame:
     return run_log.select("run_id", "step").distinct()

@@ -23,7 +23,7 @@ from wiregrid.operators.normalize import (
     trailing_window,
 )
 from wiregrid.operators.summaries import summarize
-from wiregrid.plans.daily import Grouped, compose, group_articles, load_all
+from wiregrid.plans.daily import Grouped, compose, group_articles, load_all, load_run
 from wiregrid.session import configure, materialize, scratch_dir
 from wiregrid.sources import derived, landing, tables
 from wiregrid.sources.derived import spread, table
@@ -127,6 +127,47 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("id", "ticker", "headline", "url")
 
 
+def stored_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream set aside, read from the store."""
+    root = scratch_dir(spark)
+    landing.write_landing(
+        derived.raw_documents(table(spark, sf_dir, "documents")), f"{root}/landing"
+    )
+    watched = derived.watchlist(spark, derived.ALL_SOURCES)
+    ingest_new(
+        spark, f"{root}/landing", watched, f"{root}/store", f"{root}/checkpoint"
+    ).awaitTermination()
+    rejects = tables.read_appended(spark, f"{root}/store", "article_rejects")
+    return rejects.select("ticker", F.col("batch_pos").cast("long").alias("batch_pos"), "reason")
+
+
+def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch files: one per source, of which src2 has a bad token; its text becomes one reject."""
+    root = f"{scratch_dir(spark)}/json"
+    raw = derived.raw_documents(table(spark, sf_dir, "documents"))
+    records = F.array_join(F.array_sort(F.collect_list("raw_json")), ",")
+    files = raw.groupBy("ticker").agg(records.alias("records")).select(
+        F.concat("ticker", F.lit("_2024-01-02.json")).alias("name"),
+        F.concat(F.lit("["), "records", F.when(F.col("ticker") == "src2", F.lit("{]")).otherwise(
+            F.lit("]"))).alias("value"),
+    )
+    files.write.parquet(root)
+    parsed = landing.explode_batches(spark.read.schema(files.schema).parquet(root), F.col("name"))
+    made = normalize(parsed.withColumn("seq", F.col("batch_pos").cast("long")))
+    rows = made.articles.select("ticker", F.lit("stored").alias("outcome")).unionByName(
+        made.rejects.select("ticker", F.col("reason").alias("outcome"))
+    )
+    return rows.groupBy("ticker", "outcome").agg(F.count(F.lit(1)).alias("records"))
+
+
+def single_ticker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ticker's records of the landing area; the others' partitions are not read."""
+    path = f"{scratch_dir(spark)}/landing"
+    landing.write_landing(derived.raw_documents(table(spark, sf_dir, "documents")), path)
+    raw = landing.read_landing(spark, path, ticker="src3")
+    return raw.select("ticker", F.col("batch_pos").cast("long").alias("batch_pos"))
+
+
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-sent articles dropped within the horizon of a stream."""
     root = scratch_dir(spark)
@@ -301,6 +342,12 @@ def cluster_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("cluster_id", "chunk", F.array_join("article_ids", ",").alias("article_ids"))
 
 
+def cluster_ids_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id lists as JSON arrays."""
+    chunks = member_chunks(_clustering(spark, sf_dir).members)
+    return chunks.select("cluster_id", "chunk", F.to_json("article_ids").alias("article_ids"))
+
+
 def clusters_within_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines compared only with those of the same source."""
     found = cluster_articles(_stored_articles(spark, sf_dir), block_by=["ticker"]).clusters
@@ -441,6 +488,36 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.run_summary(derived.run_log(table(spark, sf_dir, "events")))
 
 
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of one run over all documents: fetched, stored, rejected, scored, clusters."""
+    raw = derived.raw_documents(table(spark, sf_dir, "documents"))
+    made = normalize(raw)
+    stored, _ = materialize(made.articles, "articles")
+    grouped = group_articles(stored, FIXTURE_LEXICON)
+    counted = {
+        "fetched": raw, "stored": stored, "rejected": made.rejects, "scored": grouped.scores,
+        "clusters": grouped.clusters,
+    }
+    return runlog.counters(counted)
+
+
+def quiet_run_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run without news after one with news: its digest has no stories of the day before."""
+    root = scratch_dir(spark)
+    grouped = _grouped(spark, sf_dir)
+    tables.append_new(grouped.scores, root, "article_scores", 0, "article_id")
+    for version, keep in ((0, "true"), (1, "false")):
+        tables.write_snapshot(grouped.clusters.where(keep), root, "event_clusters", version)
+        tables.write_snapshot(grouped.members.where(keep), root, "cluster_members", version)
+    runs = [
+        compose(load_run(spark, root, version), derived.watchlist(spark)).top.select(
+            F.lit(version).alias("version"), "rank", "cluster_id"
+        )
+        for version in (0, 1, 2)
+    ]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.distinct_steps(derived.run_log(table(spark, sf_dir, "events")))
 
@@ -482,16 +559,18 @@ def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: list[Query] = [
-    articles_normalized, article_rejects, pages_clean_text, raw_ingest, stream_ingest,
+    articles_normalized, article_rejects, stored_rejects, json_ingest, single_ticker_scan,
+    pages_clean_text, raw_ingest, stream_ingest,
     stream_dedupe, trailing_window_counts, ticker_counts,
     articles_first_wins, articles_last_wins, insert_counts, keyed_update, constraint_report,
     lexicon_hits, article_scores, article_scores_fixture_lexicon, score_flags, custom_scorer,
-    leader_similarity, clusters, cluster_members, cluster_id_lists, clusters_within_ticker,
+    leader_similarity, clusters, cluster_members, cluster_id_lists, cluster_ids_json,
+    clusters_within_ticker,
     part_clusters, turn_clusters, cluster_summaries,
     cluster_context, top_stories, digest_sections, digest_sections_limited, digest_metrics,
     digest_text, compose_from_tables,
     latest_digest, latest_per_date, ledger_state, send_decisions, status_ledger,
-    run_summary, run_steps,
+    run_summary, run_steps, run_counters, quiet_run_digest,
     slugs, text_functions, time_functions,
 ]
 

@@ -293,6 +293,14 @@ def oracle_sql() -> dict[str, str]:
 FROM articles""",
         "article_rejects": _with(_RAW)
         + "SELECT ticker, seq AS batch_pos, 'datetime not an integer' AS reason FROM raw WHERE bad",
+        "stored_rejects": _with(_RAW)
+        + "SELECT ticker, seq AS batch_pos, 'datetime not an integer' AS reason FROM raw WHERE bad",
+        "json_ingest": _with(_RAW)
+        + """SELECT ticker, CASE WHEN bad THEN 'datetime not an integer' ELSE 'stored' END AS outcome,
+  count(*) AS records FROM raw WHERE ticker <> 'src2' GROUP BY ALL
+UNION ALL SELECT ANY_VALUE(ticker), 'not JSON', 1 FROM raw WHERE ticker = 'src2'""",
+        "single_ticker_scan": "SELECT source AS ticker, doc_id AS batch_pos FROM documents"
+        " WHERE source = 'src3'",
         "pages_clean_text": f"""SELECT page_id, {_clean('html')} AS clean_text, {_clean('title')} AS title
 FROM (SELECT *, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages)""",
         "raw_ingest": _with(_ARTICLES)
@@ -357,6 +365,10 @@ FROM (SELECT w.*, leader_seq FROM worded w JOIN assigned USING (id)) a JOIN word
         "cluster_members": _with(_ARTICLES, _clusters(0.4)) + "SELECT * FROM members",
         "cluster_id_lists": _with(_ARTICLES, _clusters(0.4))
         + """SELECT cluster_id, 0::BIGINT AS chunk, string_agg(article_id, ',' ORDER BY member_pos) AS article_ids
+FROM members GROUP BY cluster_id""",
+        "cluster_ids_json": _with(_ARTICLES, _clusters(0.4))
+        + """SELECT cluster_id, 0::BIGINT AS chunk,
+  '["' || string_agg(article_id, '","' ORDER BY member_pos) || '"]' AS article_ids
 FROM members GROUP BY cluster_id""",
         "clusters_within_ticker": _with(_ARTICLES, _clusters(0.4, "ticker"))
         + "SELECT cluster_id, cluster_seq, ticker, article_count FROM clusters",
@@ -398,6 +410,14 @@ QUALIFY row_number() OVER (PARTITION BY run_date ORDER BY version DESC) = 1""",
   count(DISTINCT step) AS steps, count(*) AS entries, count(*) FILTER (WHERE bad) AS errors,
   sum(duration_ms)::BIGINT AS busy_ms, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS span_ms
 FROM log GROUP BY run_id""",
+        "run_counters": _with(_ARTICLES, _clusters(0.4))
+        + """SELECT 'fetched' AS counter, count(*) AS value FROM documents
+UNION ALL SELECT 'stored', count(*) FROM articles
+UNION ALL SELECT 'rejected', count(*) FROM raw WHERE bad
+UNION ALL SELECT 'scored', count(*) FROM articles
+UNION ALL SELECT 'clusters', count(*) FROM clusters""",
+        "quiet_run_digest": _with(*grouped, _TOP)
+        + "SELECT 0 AS version, rank::INTEGER AS rank, cluster_id FROM top",
         "run_steps": _with(_RUNS) + "SELECT DISTINCT run_id, step FROM log",
         "slugs": """SELECT doc_id, trim(regexp_replace(regexp_replace(lower(
   regexp_replace(strip_accents(text), '[^\\x00-\\x7f]', '', 'g')),
