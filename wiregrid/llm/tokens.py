@@ -45,7 +45,7 @@ class Encoder:
     """Ids of many texts at once. `most` bounds the characters of the stretches kept."""
 
     def __init__(
-        self, path: str, split: Callable[[str], list[str]], most: int = 8_000_000
+        self, path: str, split: Callable[[str], list[str]], most: int = 12_000_000
     ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
