@@ -1,4 +1,4 @@
-"""Anchors: marks that equal windows of symbols share, and which of them are repeated.
+"""Anchors: marks that equal windows of symbols share.
 
 Of the short strings inside a window the one with the least hash is the
 window's anchor. Equal windows have equal anchors, so only runs of windows
@@ -8,14 +8,12 @@ a row of symbols: its bytes, or hashes of its words.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from wiregrid.llm.common import batches_of, mix, parts_for, text_bytes
+from wiregrid.llm.common import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -23,14 +21,14 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Cut:
     """length: symbols of a window. anchor: symbols of an anchor. run: most windows of a run.
-    hot: an anchor met in more slices of documents than this is very common.
+    hot: an anchor with more different runs than this is very common.
     block: bytes of text per block of anchors. part: bytes per part of what is cut out."""
 
     length: int = 50
     anchor: int = 16
     run: int = 48
     hot: int = 2000
-    block: int = 32_000_000
+    block: int = 2_000_000
     part: int = 3_000_000
 
 
@@ -87,14 +85,14 @@ def pieces(size: np.ndarray, most: np.ndarray | int) -> tuple[np.ndarray, np.nda
 
 
 def anchored_runs(data: np.ndarray, sizes: np.ndarray, cut: Cut) -> Runs:
-    """The runs of all texts; the lowest bit of an anchor is 0."""
+    """The runs of all texts."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
     none = np.zeros(0, np.int64)
     if len(data) < cut.length:
         return Runs(none, none, none, none.astype(np.uint64), starts)
     hashes = mix(rolling(data, cut.anchor))
-    least = _least(hashes, cut.length - cut.anchor + 1) & ~np.uint64(1)
+    least = _least(hashes, cut.length - cut.anchor + 1)
     change = np.empty(len(least), bool)
     change[0] = True
     np.not_equal(least[1:], least[:-1], out=change[1:])
@@ -112,120 +110,22 @@ def anchored_runs(data: np.ndarray, sizes: np.ndarray, cut: Cut) -> Runs:
     return Runs(doc[which], first, size, least[first], starts)
 
 
-def _distinct(doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (anchor, doc), ordered."""
-    order = np.lexsort((doc, anchor))
-    doc, anchor = doc[order], anchor[order]
-    if len(doc):
-        new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
-        doc, anchor = doc[new], anchor[new]
-    return doc, anchor
-
-
-def _begins(values: np.ndarray) -> np.ndarray:
+def begins(values: np.ndarray) -> np.ndarray:
     """Where a new value begins in ordered values."""
     if not len(values):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
 
 
-def _blocks(texts: DataFrame, cut: Cut, symbols: Symbols, n_blocks: int) -> DataFrame:
-    """Anchors and their documents, dealt by the anchor into blocks of plain numbers.
-
-    An anchor met in two documents of a slice is known to be repeated: one of
-    these documents goes into the block to tell others, all go out as known.
-    """
-
-    def run(rows: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch, found in batches_of(rows, "text"):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            runs = anchored_runs(*symbols(found), cut)
-            doc, anchor = _distinct(ids[runs.doc], runs.anchor)
-            begin = _begins(anchor)
-            times = np.diff(np.append(begin, len(anchor)))
-            known = np.repeat(times > 1, times)
-            columns: list[list] = [[], [], [], []]
-            for flag, a, d in ((False, anchor[begin], doc[begin]), (True, anchor[known], doc[known])):
-                # Anchors are least hashes, so their own bits are uneven. Inside a block they are
-                # ordered by document, which compresses well.
-                block = (mix(a) % np.uint64(n_blocks)).astype(np.int64)
-                order = np.lexsort((d, block))
-                edges = np.append(_begins(block[order]), len(order))
-                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    part = order[x:y]
-                    row = (int(block[part[0]]), a[part].tobytes(), d[part].tobytes(), flag)
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["block", "anchors", "docs", "known"],
-            )
-
-    return texts.mapInArrow(run, "block int, anchors binary, docs binary, known boolean")
-
-
-def _repeated(blocks: DataFrame, cut: Cut) -> DataFrame:
-    """(doc_id, anchors): the anchors of a document that another one has too, as plain numbers.
-
-    The lowest bit of an anchor tells that it is very common. A block is read
-    as a whole; it holds an anchor once per slice of documents at most.
-    """
-
-    def run(table):
-        import pyarrow as pa
-
-        known = table.column("known").to_pylist()
-
-        def joined(name: str, flag: bool, kind: type) -> np.ndarray:
-            values = table.column(name).to_pylist()
-            return np.frombuffer(
-                b"".join(x for x, k in zip(values, known, strict=True) if k is flag), kind
-            )
-
-        doc, anchor = _distinct(joined("docs", False, np.int64), joined("anchors", False, np.uint64))
-        begin = _begins(anchor)
-        times = np.diff(np.append(begin, len(anchor)))
-        wide = np.repeat(times, times)
-        common = anchor[wide > cut.hot]
-        doc = np.concatenate((doc[wide > 1], joined("docs", True, np.int64)))
-        anchor = np.concatenate((anchor[wide > 1], joined("anchors", True, np.uint64)))
-        order = np.argsort(doc, kind="stable")
-        doc, anchor = doc[order], anchor[order]
-        anchor = anchor | np.isin(anchor, common).astype(np.uint64)
-        edges = np.append(_begins(doc), len(doc))
-        lists = [
-            anchor[x:y].tobytes()
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-        ]
-        return pa.table(
-            {"doc_id": pa.array(doc[edges[:-1]], pa.int64()), "anchors": pa.array(lists, pa.binary())}
-        )
-
-    return blocks.groupBy("block").applyInArrow(run, "doc_id long, anchors binary")
-
-
-def marked_texts(texts: DataFrame, cut: Cut, symbols: Symbols) -> DataFrame:
-    """`texts` (doc_id, text) that have repeated anchors, with these as `marks`."""
-    blocks = _blocks(texts, cut, symbols, parts_for(text_bytes(texts), cut.block))
-    marks = _repeated(blocks, cut).groupBy("doc_id").agg(F.collect_list("anchors").alias("marks"))
-    # Most documents have some anchor that another one has, so the texts are met by a merge.
-    return texts.join(marks.hint("merge"), "doc_id")
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Numbers as `width` bytes each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def marked_runs(batch, data: np.ndarray, sizes: np.ndarray, cut: Cut) -> tuple[Runs, np.ndarray]:
-    """The runs of a batch of marked texts whose anchor is marked, and which are very common."""
-    runs = anchored_runs(data, sizes, cut)
-    lists = [np.frombuffer(b"".join(x), np.uint64) for x in batch.column("marks").to_pylist()]
-    of = np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists])
-    marks = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-    plain = marks & ~np.uint64(1)
-    # A pair that only looks like a marked one is one candidate more.
-    wanted = mix(plain + of * BASE)
-    runs = runs.take(np.isin(mix(runs.anchor + runs.doc.astype(np.uint64) * BASE), wanted))
-    return runs, np.isin(runs.anchor, plain[marks != plain])
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:

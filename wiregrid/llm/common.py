@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +59,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def stored(df: DataFrame, label: str, *metrics, **options):
+    """`materialize`, after which the shuffle files of finished stages can go.
+
+    Spark's cleaner drops the files of a shuffle when the driver's garbage
+    collector finds that nothing refers to it any more; left alone, that happens
+    late, and a long job would hold the files of all its steps at once.
+    """
+    table, seen = materialize(df, label, *metrics, **options)
+    del df, metrics
+    # The first round frees the driver's handles, the second what they held.
+    for _ in range(2):
+        gc.collect()
+        table.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+    return table, seen
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over `links` (a, b), for nodes that have links.
 

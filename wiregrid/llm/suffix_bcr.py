@@ -3,14 +3,14 @@
 All strings of `length` bytes that occur in two documents or more are found,
 and of those every occurrence outside the smallest document is removed.
 
-1. Anchors. Of the 16-byte strings inside a window the one with the least hash
-   is the window's anchor; equal windows have equal anchors. Anchors of two
-   documents or more are counted first, in compact blocks.
-2. Segments. Runs of windows with the same repeated anchor are cut out of the
-   texts as segments (a window lies in exactly one). Of equal segments in a
-   slice of documents only the first goes on; the rest are known repeats. Very
-   common anchors are cut into single windows, dealt by their own hash, so a
-   passage that a third of all documents hold is no hot group.
+1. Marks. Of the 16-byte strings inside a window the one with the least hash is
+   the window's anchor; equal windows have equal anchors. Runs of windows with
+   one anchor are met by anchor: a run that a smaller document has too is a
+   repeat as a whole. That is what most repeats are, and no text moves for it.
+2. Segments. Where documents have different runs with one anchor, the smallest
+   document's run of each kind is cut out as a segment. Very common anchors are
+   cut into single windows, dealt by their own hash, so a passage that a third
+   of all documents hold is no hot group.
 3. Columns. The segments of one anchor meet in one part. There the Burrows-
    Wheeler transform and the common prefixes of the collection are built one
    column at a time: each round puts one more symbol of every segment, from its
@@ -32,251 +32,70 @@ for them. Further columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiregrid.llm.common import batches_of, mix, parts_for, text_bytes
-from wiregrid.session import materialize
+from wiregrid.llm.anchors import Cut, cut_out, merged
+from wiregrid.llm.common import batches_of, parts_for, stored
+from wiregrid.llm.run_marks import HOT, WHOLE, marked_texts, said_of_runs
 
+#: Windows of 50 bytes, anchors of 16.
+BYTES = Cut(length=50, anchor=16)
 
-@dataclass(frozen=True)
-class Cut:
-    """length: bytes of a repeated string. anchor: bytes of an anchor. run: most windows of a
-    segment. hot: an anchor met in more slices of documents than this is cut into single windows.
-    block: bytes of text per block of anchors. part: bytes of text per part of segments."""
 
-    length: int = 50
-    anchor: int = 16
-    run: int = 48
-    hot: int = 2000
-    block: int = 32_000_000
-    part: int = 3_000_000
-
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _rolling(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k-byte string, by joining halves."""
-    if k == 1:
-        return data.astype(np.uint64) + np.uint64(1)
-    half = _rolling(data, k // 2)
-    wide = half[: len(half) - k // 2] * np.uint64(pow(int(_BASE), k // 2, 1 << 64))
-    wide += half[k // 2 :]
-    if k % 2:
-        wide = wide[:-1] * _BASE + data[k - 1 :]
-    return wide
-
-
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of every `width` consecutive values."""
-    have = 1
-    while have * 2 <= width:
-        values = np.minimum(values[:-have], values[have:])
-        have *= 2
-    over = width - have
-    return np.minimum(values[: len(values) - over], values[over:]) if over else values
-
-
-def anchored_runs(texts: list[bytes], cut: Cut):
-    """(joined bytes, text number, first window, windows, anchor) of every run of equal anchors.
-
-    Places count in the joined bytes. Runs end with their text and after `cut.run` windows.
-    """
-    joined = b"".join(texts)
-    data = np.frombuffer(joined, np.uint8)
-    none = np.zeros(0, np.int64)
-    if len(data) < cut.length:
-        return joined, none, none, none, none.astype(np.uint64), none
-    least = _least(mix(_rolling(data, cut.anchor)), cut.length - cut.anchor + 1)
-    # The lowest bit is kept free.
-    least = least & ~np.uint64(1)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    starts = ends - np.fromiter(map(len, texts), np.int64, len(texts))
-    change = np.empty(len(least), bool)
-    change[0] = True
-    np.not_equal(least[1:], least[:-1], out=change[1:])
-    # No window reaches over the end of its text: the last windows of a text begin a run of their
-    # own, which is dropped.
-    inside = starts[starts < len(least)]
-    change[inside] = True
-    tails = np.maximum(ends - cut.length + 1, starts)
-    change[tails[tails < len(least)]] = True
-    first = np.flatnonzero(change)
-    size = np.diff(np.append(first, len(least)))
-    doc = np.searchsorted(ends, first, side="right")
-    whole = first + cut.length <= ends[doc]
-    first, size, doc = first[whole], size[whole], doc[whole]
-    pieces = -(-size // cut.run)
-    if len(pieces) and pieces.max() > 1:
-        at = np.repeat(np.arange(len(first)), pieces)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first, size, doc = (
-            first[at] + nth * cut.run, np.minimum(cut.run, size[at] - nth * cut.run), doc[at]
-        )
-    return joined, doc, first, size, least[first], starts
-
-
-def _distinct(doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (anchor, doc), ordered."""
-    order = np.lexsort((doc, anchor))
-    doc, anchor = doc[order], anchor[order]
-    if len(doc):
-        new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
-        doc, anchor = doc[new], anchor[new]
-    return doc, anchor
-
-
-_BLOCKS = "block int, anchors binary, docs binary, known boolean"
-
-
-def anchor_blocks(docs: DataFrame, cut: Cut, n_blocks: int) -> DataFrame:
-    """Anchors and their documents, dealt by the anchor into blocks of plain numbers.
-
-    An anchor met in two documents of a slice is known to be repeated; one of these documents
-    goes into the block to tell others, all go out as known.
-    """
-
-    def run(rows: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch, texts in batches_of(rows, "text"):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            _, doc, _, _, anchor, _ = anchored_runs(texts, cut)
-            # Equal ids are one document.
-            of, anchor = _distinct(ids[doc], anchor)
-            if not len(anchor):
-                continue
-            new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-            begin = np.flatnonzero(new)
-            many = np.diff(np.append(begin, len(anchor))) > 1
-            known = np.repeat(many, np.diff(np.append(begin, len(anchor))))
-            out = []
-            for flag, a, d in ((False, anchor[begin], of[begin]), (True, anchor[known], of[known])):
-                # Anchors are least hashes, so their own bits are uneven. Inside a block they are
-                # ordered by document, which compresses well.
-                block = (mix(a) % np.uint64(n_blocks)).astype(np.int32)
-                order = np.lexsort((d, block))
-                cuts = np.flatnonzero(np.diff(block[order])) + 1
-                for part in np.split(order, cuts) if len(order) else []:
-                    out.append((int(block[part[0]]), a[part].tobytes(), d[part].tobytes(), flag))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("block", "anchors", "docs", "known"), x, strict=True)) for x in out],
-                schema=pa.schema(
-                    [("block", pa.int32()), ("anchors", pa.binary()), ("docs", pa.binary()),
-                     ("known", pa.bool_())]
-                ),
-            )
-
-    return docs.mapInArrow(run, _BLOCKS)
-
-
-def repeated_anchors(blocks: DataFrame, cut: Cut) -> DataFrame:
-    """(doc_id, anchors): the anchors of every document that another one has too, as binary.
-
-    The lowest bit of an anchor tells that it is very common. A block is read
-    as a whole; it holds an anchor once per slice of documents at most.
-    """
-
-    def run(table):
-        import pyarrow as pa
-
-        known = table.column("known").to_numpy(zero_copy_only=False).astype(bool)
-        got = {
-            flag: [
-                np.concatenate(
-                    [np.frombuffer(x, kind) for x, k in zip(
-                        table.column(name).to_pylist(), known, strict=True) if k == flag]
-                    or [np.zeros(0, kind)]
-                )
-                for name, kind in (("anchors", np.uint64), ("docs", np.int64))
-            ]
-            for flag in (False, True)
-        }
-        doc, anchor = _distinct(got[False][1], got[False][0])
-        begin = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(doc) \
-            else np.zeros(0, np.int64)
-        times = np.diff(np.append(begin, len(anchor)))
-        wide = np.repeat(times, times)
-        doc, anchor, wide = doc[wide > 1], anchor[wide > 1], wide[wide > 1]
-        common = np.unique(anchor[wide > cut.hot])
-        doc = np.concatenate((doc, got[True][1]))
-        anchor = np.concatenate((anchor, got[True][0]))
-        order = np.argsort(doc, kind="stable")
-        doc, anchor = doc[order], anchor[order]
-        anchor = anchor | np.isin(anchor, common).astype(np.uint64)
-        begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) \
-            else np.zeros(0, np.int64)
-        ends = np.append(begin[1:], len(doc))
-        return pa.table(
-            {
-                "doc_id": pa.array(doc[begin], pa.int64()),
-                "anchors": pa.array(
-                    [anchor[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()
-                ),
-            }
-        )
-
-    return blocks.groupBy("block").applyInArrow(run, "doc_id long, anchors binary")
+def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return data, np.fromiter(map(len, texts), np.int64, len(texts))
 
 
 def segments(marked: DataFrame, cut: Cut) -> DataFrame:
-    """Segments (part, segment, doc_id, place, size) of the texts at their repeated anchors.
+    """(part, segment, doc_id, place, size): bytes from `place` on that are marked.
 
     `part` is a hash that all equal windows share. A segment without bytes is
-    one that a smaller document of the same slice has too: a repeat for sure.
+    one that a smaller document has too: a repeat for sure.
     """
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch, texts in batches_of(rows, "text"):
+            data, sizes = byte_symbols(texts)
+            joined = data.tobytes()
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            joined, doc, first, size, anchor, starts = anchored_runs(texts, cut)
-            lists = batch.column("marks").to_pylist()
-            wanted = [np.frombuffer(b"".join(x), np.uint64) for x in lists]
-            of = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])
-            wanted = np.concatenate(wanted) if wanted else np.zeros(0, np.uint64)
-            common = np.unique(wanted[(wanted & np.uint64(1)) == 1] & ~np.uint64(1))
-            # A pair that only looks like a marked one is one candidate more.
-            marked_pairs = mix((wanted & ~np.uint64(1)) + of.astype(np.uint64) * _BASE)
-            keep = np.isin(mix(anchor + doc.astype(np.uint64) * _BASE), marked_pairs)
-            doc, first, size, anchor = doc[keep], first[keep], size[keep], anchor[keep]
-            hot = np.isin(anchor, common)
-            part = anchor.copy()
-            if hot.any():
-                n = np.where(hot, size, 1)
-                at = np.repeat(np.arange(len(first)), n)
-                nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                single = hot[at]
-                doc, first = doc[at], first[at] + np.where(single, nth, 0)
-                size, part = np.where(single, 1, size[at]), part[at]
-                own = _rolling(np.frombuffer(joined, np.uint8), cut.length)
-                part[single] = own[first[single]]
-            seen: dict[bytes, tuple[int, int]] = {}
-            rows_out: list[list] = [[], [], [], [], []]
-            places = (first - starts[doc]).tolist()
-            spans = zip(
-                mix(part).view(np.int64).tolist(), first.tolist(),
-                (first + size + cut.length - 1).tolist(), ids[doc].tolist(), places, strict=True,
-            )
-            ordered = sorted(spans, key=lambda x: x[3])
-            for p, a, b, d, place in ordered:
-                text = joined[a:b]
-                holder = seen.setdefault(text, d)
-                for column, value in zip(
-                    rows_out, (p, text if holder == d else None, d, place, b - a), strict=True
-                ):
+            runs, says = said_of_runs(batch, data, sizes, cut)
+            columns: list[list] = [[], [], [], [], []]
+
+            def put(*row: object) -> None:
+                for column, value in zip(columns, row, strict=True):
                     column.append(value)
+
+            known = runs.take(says == WHOLE)
+            whole = zip(
+                known.doc.tolist(), known.first.tolist(),
+                (known.first + known.size + cut.length - 1).tolist(), strict=True,
+            )
+            for doc, spans in groupby(sorted(whole), key=lambda x: x[0]):
+                start = int(known.starts[doc])
+                for a, b in merged([x[1:] for x in spans]):
+                    put(0, None, int(ids[doc]), a - start, b - a)
+            open_ = says != WHOLE
+            cuts, part = cut_out(runs.take(open_), says[open_] == HOT, data, cut)
+            found = zip(
+                ids[cuts.doc].tolist(), part.tolist(), cuts.first.tolist(),
+                (cuts.first - cuts.starts[cuts.doc]).tolist(),
+                (cuts.size + cut.length - 1).tolist(), strict=True,
+            )
+            holder: dict[bytes, int] = {}
+            for doc, p, first, place, size in sorted(found):
+                text = joined[first : first + size]
+                own = holder.setdefault(text, doc) == doc
+                put(p, text if own else None, doc, place, size)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows_out[0], pa.int64()), pa.array(rows_out[1], pa.binary()),
-                    pa.array(rows_out[2], pa.int64()), pa.array(rows_out[3], pa.int64()),
-                    pa.array(rows_out[4], pa.int64()),
-                ],
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 names=["part", "segment", "doc_id", "place", "size"],
             )
 
@@ -438,18 +257,13 @@ def repeated_spans(cuts: DataFrame, cut: Cut, n_parts: int) -> DataFrame:
     return dealt.groupBy("group").applyInArrow(run, "doc_id long, first long, end long")
 
 
-def spans(docs: DataFrame, cut: Cut = Cut()) -> DataFrame:
+def spans(docs: DataFrame, cut: Cut = BYTES) -> DataFrame:
     """(doc_id, first, end) in bytes: all that is repeated, with overlaps, of `docs` (doc_id, text)."""
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    total = text_bytes(texts)
-    blocks = anchor_blocks(texts, cut, parts_for(total, cut.block))
-    marks = repeated_anchors(blocks, cut).groupBy("doc_id").agg(
-        F.collect_list("anchors").alias("marks")
-    )
-    # Most documents have some anchor that another one has, so the texts are met by a merge.
-    marked = texts.join(marks.hint("merge"), "doc_id")
-    cuts, seen = materialize(
-        segments(marked, cut), "suffix-segments", F.sum(F.octet_length("segment")).alias("bytes")
+    cuts, seen = stored(
+        segments(marked_texts(texts, cut, byte_symbols), cut),
+        "suffix-segments",
+        F.sum(F.octet_length("segment")).alias("bytes"),
     )
     known = cuts.where("segment IS NULL").select(
         "doc_id", F.col("place").alias("first"), (F.col("place") + F.col("size")).alias("end")
@@ -458,14 +272,15 @@ def spans(docs: DataFrame, cut: Cut = Cut()) -> DataFrame:
     return known.unionByName(repeated_spans(open_, cut, parts_for(seen["bytes"] or 0, cut.part)))
 
 
-def cut_repeats(docs: DataFrame, cut: Cut = Cut()) -> DataFrame:
+def cut_repeats(docs: DataFrame, cut: Cut = BYTES) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans and kept (binary): the text without what is repeated.
 
     Columns of these names are replaced.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     own = [c for c in docs.columns if c not in added]
-    gone = spans(docs, cut).groupBy("doc_id").agg(
+    gone, _ = stored(spans(docs, cut), "suffix-spans")
+    gone = gone.groupBy("doc_id").agg(
         F.collect_list(F.struct("first", "end")).alias("_spans")
     )
     met = docs.select(*own).join(gone.hint("merge"), "doc_id", "left").select(*own, "_spans")
@@ -476,20 +291,11 @@ def cut_repeats(docs: DataFrame, cut: Cut = Cut()) -> DataFrame:
         for batch, texts in batches_of(rows, "text"):
             columns = [[], [], [], []]
             for text, found in zip(texts, batch.column("_spans").to_pylist(), strict=True):
-                kept, at, removed, count, end = [], 0, 0, 0, -1
-                for a, b in sorted((x["first"], x["end"]) for x in found or []):
-                    if a > end:
-                        kept.append(text[at:a])
-                        count += 1
-                        removed += b - a
-                    elif b > end:
-                        removed += b - end
-                    end = max(end, b)
-                    at = end
-                kept.append(text[at:])
-                for column, value in zip(
-                    columns, (len(text), removed, count, b"".join(kept)), strict=True
-                ):
+                gone = merged([(x["first"], x["end"]) for x in found or []])
+                edges = [0, *(place for span in gone for place in span), len(text)]
+                kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                row = (len(text), len(text) - len(kept), len(gone), kept)
+                for column, value in zip(columns, row, strict=True):
                     column.append(value)
             arrays = [batch.column(c) for c in own] + [pa.array(c, pa.int64()) for c in columns[:3]]
             yield pa.RecordBatch.from_arrays(
