@@ -4,11 +4,12 @@ An edge is a window of `length` words, its ends are the windows of one word
 less. Only windows whose anchor two documents have can be repeated, so the graph
 is made of those:
 
-1. Runs of windows with one repeated anchor are cut out as segments. Equal
-   segments are one path that is known to be repeated: all but the smallest
-   document's are removed whole.
-2. The windows of distinct segments that share an anchor become edges. Equal
-   edges are counted; those of two segments or more make up the graph.
+1. Runs of windows with one anchor are met by anchor. Equal runs are one path
+   that is known to be repeated: all but the smallest document's are removed
+   whole. Where documents have different runs with one anchor, the smallest
+   document's run of each kind is cut out as a segment.
+2. The windows of the segments become edges. Equal edges are counted; those of
+   two segments or more make up the graph.
 3. Nodes with one edge in and one out do not branch. Edges join their nodes'
    degrees, and edges that follow each other in their source over such nodes
    are compacted into a path, with the source coordinates of its first edge.
@@ -27,15 +28,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wiregrid.llm.anchors import Cut, cut_out, marked_runs, marked_texts, merged, rolling
-from wiregrid.llm.common import Words, batches_of, mix
-from wiregrid.session import materialize
+from wiregrid.llm.anchors import Cut, cut_out, merged, rolling
+from wiregrid.llm.common import Words, batches_of, mix, stored
+from wiregrid.llm.run_marks import HOT, WHOLE, marked_texts, said_of_runs
 
 #: Windows of 50 words, anchors of 10.
 WORDS = Cut(length=50, anchor=10)
@@ -47,9 +49,10 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(marked: DataFrame, cut: Cut) -> DataFrame:
-    """(part, key, segment, doc_id, place, size): words from `place` on, one blank between.
+    """(key, segment, doc_id, place, size): words from `place` on, one blank between.
 
-    A segment that a smaller document of the same slice has too comes without its words.
+    A row without a key is a repeat for sure. A segment that a smaller document
+    of the same slice has too comes without its words.
     """
 
     def run(rows: Iterator) -> Iterator:
@@ -57,33 +60,45 @@ def segments(marked: DataFrame, cut: Cut) -> DataFrame:
 
         for batch, texts in batches_of(rows, "text"):
             words = Words(texts)
-            sizes = np.diff(words.first)
-            runs, hot = marked_runs(batch, words.hash, sizes, cut)
-            runs, part = cut_out(runs, hot, words.hash, cut)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[runs.doc]
-            last = runs.first + runs.size + cut.length - 2
+            runs, says = said_of_runs(batch, words.hash, np.diff(words.first), cut)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            columns: list[list] = [[], [], [], [], []]
+
+            def put(*row: object) -> None:
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+
+            known = runs.take(says == WHOLE)
+            whole = zip(
+                known.doc.tolist(), known.first.tolist(),
+                (known.first + known.size + cut.length - 1).tolist(), strict=True,
+            )
+            for doc, spans in groupby(sorted(whole), key=lambda x: x[0]):
+                start = int(known.starts[doc])
+                for a, b in merged([x[1:] for x in spans]):
+                    put(None, None, int(ids[doc]), a - start, b - a)
+            open_ = says != WHOLE
+            cuts, _ = cut_out(runs.take(open_), says[open_] == HOT, words.hash, cut)
+            last = cuts.first + cuts.size + cut.length - 2
             found = zip(
-                ids.tolist(), part.tolist(), words.starts[runs.first].tolist(),
-                words.ends[last].tolist(), (runs.first - runs.starts[runs.doc]).tolist(),
-                (last - runs.first + 1).tolist(), strict=True,
+                ids[cuts.doc].tolist(), words.starts[cuts.first].tolist(),
+                words.ends[last].tolist(), (cuts.first - cuts.starts[cuts.doc]).tolist(),
+                (last - cuts.first + 1).tolist(), strict=True,
             )
-            columns: list[list] = [[], [], [], [], [], []]
             holder: dict[bytes, int] = {}
-            for doc, p, a, b, place, size in sorted(found):
+            for doc, a, b, place, size in sorted(found):
                 text = b" ".join(words.buffer[a:b].split())
                 own = holder.setdefault(text, doc) == doc
                 key = hashlib.blake2b(text, digest_size=16).digest()
-                row = (p, key, text if own else None, doc, place, size)
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                put(key, text if own else None, doc, place, size)
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["part", "key", "segment", "doc_id", "place", "size"],
+                names=["key", "segment", "doc_id", "place", "size"],
             )
 
     return marked.mapInArrow(
-        run, "part long, key binary, segment binary, doc_id long, place long, size long"
+        run, "key binary, segment binary, doc_id long, place long, size long"
     )
 
 
@@ -147,17 +162,15 @@ def _words_at(text: Column, first: Column, count: Column) -> Column:
 def spans(docs: DataFrame, cut: Cut = WORDS) -> DataFrame:
     """(doc_id, first, end) in words: all that is repeated, with overlaps, of `docs` (doc_id, text)."""
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found, _ = materialize(segments(marked_texts(texts, cut, word_symbols), cut), "graph-segments")
+    found, _ = stored(segments(marked_texts(texts, cut, word_symbols), cut), "graph-segments")
     held = found.where("segment IS NOT NULL")
-    paths, _ = materialize(
+    paths, _ = stored(
         held.groupBy("key")
-        .agg(F.min("doc_id").alias("holder"), F.first("part").alias("part"),
-             F.first("segment").alias("segment"))
+        .agg(F.min("doc_id").alias("holder"), F.first("segment").alias("segment"))
         .withColumn("seg", F.monotonically_increasing_id()),
         "graph-paths",
     )
-    shared = paths.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
-    every, _ = materialize(edges(paths.join(shared, "part"), cut), "graph-edges")
+    every, _ = stored(edges(paths, cut), "graph-edges")
     graph = (
         every.groupBy("e1", "e2")
         .agg(
@@ -167,7 +180,7 @@ def spans(docs: DataFrame, cut: Cut = WORDS) -> DataFrame:
         .where("n > 1")
         .select("e1", "e2", F.col("s.holder").alias("low"), "s.seg", "s.at", "s.src", "s.dst")
     )
-    graph, _ = materialize(graph, "graph")
+    graph, _ = stored(graph, "graph")
     along = compacted(graph).select(
         "e1", "e2", "low", F.col("seg").alias("from_seg"), F.col("at").alias("from_at"), "path_at"
     )
@@ -193,23 +206,28 @@ def spans(docs: DataFrame, cut: Cut = WORDS) -> DataFrame:
         )
         .select("key", F.col("turn").alias("skip"), "count")
     )
-    owners = found.select("key", "doc_id", "place", "size").join(
+    place, size = F.col("place"), F.col("size")
+    known = found.where("key IS NULL").select(
+        "doc_id", place.alias("first"), (place + size).alias("end")
+    )
+    owners = found.where("key IS NOT NULL").select("key", "doc_id", "place", "size").join(
         paths.select("key", "holder"), "key"
     )
     whole = owners.where("doc_id > holder").select(
-        "doc_id", F.col("place").alias("first"), (F.col("place") + F.col("size")).alias("end")
+        "doc_id", place.alias("first"), (place + size).alias("end")
     )
     inner = owners.where("doc_id = holder").join(told, "key").select(
         "doc_id",
         (F.col("place") + F.col("skip")).alias("first"),
         (F.col("place") + F.col("skip") + F.col("count")).alias("end"),
     )
-    return whole.unionByName(inner)
+    return known.unionByName(whole).unionByName(inner)
 
 
 def cut_repeats(docs: DataFrame, cut: Cut = WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row; `kept` has the words left, one blank between."""
-    gone = spans(docs, cut).groupBy("doc_id").agg(
+    gone, _ = stored(spans(docs, cut), "graph-spans")
+    gone = gone.groupBy("doc_id").agg(
         F.collect_list(F.struct("first", "end")).alias("_spans")
     )
     met = docs.select("doc_id", "text").join(gone.hint("merge"), "doc_id", "left")
