@@ -188,6 +188,8 @@ class Columns:
 
 def repeated_windows(strings: list[bytes], holder: np.ndarray, length: int) -> list[np.ndarray]:
     """For every string the places of those windows that a string of a smaller holder has too."""
+    if not strings:
+        return []
     columns = Columns(strings, length)
     found = list(columns.windows())
     least = np.full(len(columns.common) + 1, np.iinfo(np.int64).max)
