@@ -8,10 +8,11 @@ bin is empty, so every coordinate is filled after 2t rounds at most, and most
 sets need two or three. The share of equal coordinates of two sketches is
 concentrated about the similarity of the sets.
 
-Bands of coordinates are buckets. A pair at the threshold of 0.8 misses all 40
-bands of 4 with a chance of 8e-10. Documents with equal sets form a class and
+Bands of coordinates are buckets. A pair at the threshold of 0.8 misses all 60
+bands of 6 with a chance of 1.2e-8, one at 0.2 meets in one with 0.4 %. Documents with equal sets form a class and
 appear once. In a bucket, members are not paired with each other but with a
-few pivots; links are confirmed on the full sets, components are formed, and
+few pivots, and of these pairs only those go on whose sketches are not too
+unlike for the threshold; links are confirmed on the full sets, components are formed, and
 only buckets that still hold more than one component go on with more pivots,
 four times as many each round, until every pair of different components of a
 bucket has been compared. So no cap is set and no candidate is lost.
@@ -25,6 +26,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wiregrid.llm.common import Words, batches_of, components, mix
+from wiregrid.llm.common import Words, batches_of, components, mix, stored
 from wiregrid.session import materialize
 
 
@@ -43,8 +45,8 @@ class Near:
 
     width: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 4
+    bands: int = 60
+    rows: int = 6
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -98,16 +100,35 @@ def band_keys(bins: np.ndarray, near: Near) -> np.ndarray:
     return keys
 
 
+def sketch_bits(bins: np.ndarray) -> np.ndarray:
+    """One bit of every coordinate, 64 to a number: they differ in half of unequal coordinates."""
+    bits = np.zeros((len(bins), -(-bins.shape[1] // 64) * 64), np.uint8)
+    bits[:, : bins.shape[1]] = bins & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _unlike(near: Near) -> int:
+    """More differing bits than this has a pair at the threshold with a chance below 1e-9.
+
+    The number is concentrated about (1 - similarity) / 2 per coordinate.
+    """
+    n, p = near.bands * near.rows, (100 - near.percent) / 200
+    return math.ceil(n * p + 6.5 * math.sqrt(n * p * (1 - p)) + 1)
+
+
 def signatures(docs: DataFrame, near: Near, column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of every row of `docs`."""
+    """(doc_id, n_shingles, digest, bands, bits) of every row of `docs`."""
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch, texts in batches_of(rows, column):
             sets = shingle_sets(texts, near.width)
-            keys = band_keys(sketch(sets, near.bands * near.rows), near).view(np.int64)
-            lengths = np.arange(0, keys.size + 1, near.bands, dtype=np.int32)
+            bins = sketch(sets, near.bands * near.rows)
+            lists = []
+            for values in (band_keys(bins, near).view(np.int64), sketch_bits(bins)):
+                ends = np.arange(len(sets) + 1, dtype=np.int32) * values.shape[1]
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1))))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -116,13 +137,13 @@ def signatures(docs: DataFrame, near: Near, column: str = "text") -> DataFrame:
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                         pa.binary(),
                     ),
-                    pa.ListArray.from_arrays(lengths, pa.array(keys.reshape(-1))),
+                    *lists,
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "n_shingles", "digest", "bands", "bits"],
             )
 
     return docs.select("doc_id", column).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>"
+        run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
     )
 
 
@@ -164,13 +185,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     )
 
 
-def _bucket_links(buckets: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Confirmed links (a, b) that join all that is linked inside the buckets (key, cid, n).
+def _bucket_roots(buckets: DataFrame, sets: DataFrame, links: DataFrame, near: Near) -> DataFrame:
+    """Components (node, root) of `links` and all that is linked inside the buckets (key, cid, n, bits).
 
     A pivot that was compared with all other components of its bucket leaves
-    it. Members of small components are pivots first.
+    it. Members of small components are pivots first. Components are formed
+    anew only when a round has found links.
     """
-    rest, links, tried, count = buckets.select(
+    bits = [c for c in buckets.columns if c not in ("key", "cid", "n")]
+    rest, roots, tried, count = buckets.select(
         "*", F.col("cid").alias("comp"), F.lit(1).cast("long").alias("weight")
     ), None, None, 1
     while True:
@@ -178,12 +201,13 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
         pivots, _ = materialize(
             rest.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= count)
             .select("key", F.col("cid").alias("pivot"), F.col("comp").alias("own"),
-                    F.col("n").alias("m")),
+                    F.col("n").alias("m"), *[F.col(c).alias(f"p{c}") for c in bits]),
             "near-pivots",
         )
         met = rest.join(pivots, "key").where(
             (F.col("comp") != F.col("own"))
             & _alike(near.percent, F.least("n", "m"), F.col("n"), F.col("m"))
+            & (sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in bits) <= _unlike(near))
         )
         pairs = met.select(
             F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")
@@ -192,16 +216,17 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, _ = materialize(pairs, "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found, _ = materialize(_confirmed(pairs, sets, near), "near-links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links, "near")
+        found, new = materialize(_confirmed(pairs, sets, near), "near-links")
+        if new["rows"] or roots is None:
+            links = links.unionByName(found)
+            roots = components(links, "near")
         sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         now = roots.join(sizes, "root").withColumnRenamed("node", "cid")
         left = (
-            rest.select("key", "cid", "n")
+            rest.select("key", "cid", "n", *bits)
             .join(pivots.withColumnRenamed("pivot", "cid"), ["key", "cid"], "left_anti")
             .join(now, "cid", "left")
-            .select("key", "cid", "n", F.coalesce("root", "cid").alias("comp"),
+            .select("key", "cid", "n", *bits, F.coalesce("root", "cid").alias("comp"),
                     F.coalesce("size", F.lit(1).cast("long")).alias("weight"))
         )
         left, _ = materialize(left, "near-left")
@@ -210,7 +235,7 @@ def _bucket_links(buckets: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             left.join(mixed.where("x <> y").select("key"), "key"), "near-open"
         )
         if not seen["rows"]:
-            return links
+            return roots
         count *= 4
 
 
@@ -219,25 +244,30 @@ def near_components(docs: DataFrame, near: Near = Near(), column: str = "text")
     signed, _ = materialize(signatures(docs, near, column), "near-signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes, _ = materialize(
-        usable.groupBy("digest").agg(
-            F.min("doc_id").alias("cid"),
-            F.first("n_shingles").alias("n"),
-            F.first("bands").alias("bands"),
-        ),
-        "near-classes",
+        usable.groupBy("digest").agg(F.min("doc_id").alias("cid")), "near-classes"
+    )
+    members = usable.join(classes, "digest")
+    links = members.where("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
+    keyed = members.where("doc_id = cid").select(
+        F.explode("bands").alias("key"), "cid", F.col("n_shingles").alias("n")
+    )
+    shared = keyed.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y"))
+    shared = shared.where("x <> y").select("key")
+    parts = -(-near.bands * near.rows // 64)
+    bits = members.where("doc_id = cid").select(
+        "cid", *[F.col("bits")[k].alias(f"b{k}") for k in range(parts)]
     )
-    copies = usable.join(classes.select("digest", "cid"), "digest")
-    links = copies.where("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
-    keyed = classes.select(F.explode("bands").alias("key"), "cid", "n")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets, seen = materialize(keyed.join(shared.select("key"), "key"), "near-buckets")
-    if seen["rows"]:
+    buckets, seen = stored(
+        keyed.join(shared, "key").join(bits.distinct(), "cid"), "near-buckets"
+    )
+    if not seen["rows"]:
+        roots = components(links, "near")
+    else:
         wanted = buckets.select(F.col("cid").alias("doc_id")).distinct()
         chosen = docs.select("doc_id", column).join(wanted, "doc_id", "left_semi")
-        sets, _ = materialize(full_sets(chosen, near, column), "near-sets")
-        links = links.unionByName(_bucket_links(buckets, sets, near))
-    roots = components(links, "near-all").withColumnRenamed("node", "doc_id")
-    return signed.join(roots, "doc_id", "left").select(
+        sets, _ = stored(full_sets(chosen, near, column), "near-sets")
+        roots = _bucket_roots(buckets, sets, links, near)
+    return signed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id"))
