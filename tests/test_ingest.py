@@ -100,6 +100,24 @@ def test_json_files(spark, tmp_path):
     assert json.loads(rows[0]["raw_json"]) == SAMPLE
 
 
+def test_a_large_batch_comes_in_many_files(spark, monkeypatch):
+    monkeypatch.setattr(landing, "FILE_ROWS", 50)
+    monkeypatch.setattr(landing, "FILE_BYTES", 1000)
+    rows = [("A" if i % 7 else "B", i, json.dumps({"i": i, "t": "x" * (i % 90)})) for i in range(400)]
+    batch = spark.createDataFrame(rows, "ticker string, batch_pos int, raw_json string")
+    files = landing.batch_files(batch, "2024-01-02")
+    sizes = [(len(r["value"]), r["value"].count('"i"')) for r in files.collect()]
+    assert len(sizes) > 16
+    assert all(size < 1000 + 200 and n <= 50 for size, n in sizes)
+    assert files.select("name").distinct().count() == len(sizes)
+    read = landing.explode_batches(files, F.col("name")).collect()
+    assert {str(r["fetch_date"]) for r in read} == {"2024-01-02"} and not any(r["is_file"] for r in read)
+    read.sort(key=lambda r: (r["ticker"], r["batch_pos"]))
+    got = [(r["ticker"], json.loads(r["raw_json"])) for r in read]
+    assert got == [(t, json.loads(r)) for t, _, r in sorted(rows)]
+    assert len({(r["ticker"], r["batch_pos"]) for r in read}) == len(rows)
+
+
 def landed(spark, ticker, day, *records):
     rows = [(ticker, day, i, json.dumps(r)) for i, r in enumerate(records)]
     df = spark.createDataFrame(rows, "ticker string, d string, batch_pos int, raw_json string")

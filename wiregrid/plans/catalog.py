@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiregrid.functions import text, times
@@ -20,6 +20,7 @@ from wiregrid.operators.normalize import (
     Normalized,
     counts_per_ticker,
     normalize,
+    parse_raw,
     trailing_window,
 )
 from wiregrid.operators.summaries import summarize
@@ -142,22 +143,26 @@ def stored_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch files: one per source, of which src2 has a bad token; its text becomes one reject."""
+    """Batch files, several per source; those of src2 have a bad token, its batch is one reject."""
     root = f"{scratch_dir(spark)}/json"
     raw = derived.raw_documents(table(spark, sf_dir, "documents"))
-    records = F.array_join(F.array_sort(F.collect_list("raw_json")), ",")
-    files = raw.groupBy("ticker").agg(records.alias("records")).select(
-        F.concat("ticker", F.lit("_2024-01-02.json")).alias("name"),
-        F.concat(F.lit("["), "records", F.when(F.col("ticker") == "src2", F.lit("{]")).otherwise(
-            F.lit("]"))).alias("value"),
+    bad = F.col("ticker") == "src2"
+    files = landing.batch_files(raw, "2024-01-02").select(
+        "name",
+        F.when(bad, F.concat(F.rtrim("value", F.lit("]")), F.lit("{]")))
+        .otherwise(F.col("value")).alias("value"),
     )
     files.write.parquet(root)
     parsed = landing.explode_batches(spark.read.schema(files.schema).parquet(root), F.col("name"))
-    made = normalize(parsed.withColumn("seq", F.col("batch_pos").cast("long")))
-    rows = made.articles.select("ticker", F.lit("stored").alias("outcome")).unionByName(
-        made.rejects.select("ticker", F.col("reason").alias("outcome"))
+    outcome = F.coalesce("reason", F.lit("stored"))
+    counted = parse_raw(parsed).groupBy("ticker", "fetch_date", "is_file", outcome.alias("outcome")).agg(
+        F.count(F.lit(1)).alias("records")
     )
-    return rows.groupBy("ticker", "outcome").agg(F.count(F.lit(1)).alias("records"))
+    # A batch with a file that is no array is set aside whole, as one record.
+    spoiled = F.max("is_file").over(Window.partitionBy("ticker", "fetch_date"))
+    kept = counted.withColumn("_spoiled", spoiled).where(~F.col("_spoiled") | F.col("is_file"))
+    records = F.when(F.col("is_file"), F.lit(1)).otherwise(F.col("records"))
+    return kept.groupBy("ticker", "outcome").agg(F.sum(records).alias("records"))
 
 
 def single_ticker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

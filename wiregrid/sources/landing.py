@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiregrid.operators.normalize import feed_order
 from wiregrid.schemas import RAW_ARTICLE
 
+#: Bounds of one batch file.
+FILE_ROWS, FILE_BYTES = 4_096, 4 << 20
+
 _MARKER = -1  # batch_pos of the row that stands for "fetched, nothing came"
 
 
@@ -51,19 +54,66 @@ def read_landing(
 def read_json_batches(spark: SparkSession, path: str) -> DataFrame:
     """Raw records of files `{TICKER}_{YYYY-MM-DD}.json`, each a JSON array of records.
 
-    A file that is no JSON array gives one record, its whole text, which normalising sets aside.
+    A large batch comes in several files `{TICKER}_{YYYY-MM-DD}.{FIRST}.json`, where FIRST is the
+    batch position of the file's first record. A file that is no JSON array gives one record, its
+    whole text, which normalising sets aside.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*_*.json")
-    return explode_batches(files, F.col("_metadata.file_name"))
+    return explode_batches(files, F.col("_metadata.file_name")).drop("is_file")
 
 
 def explode_batches(files: DataFrame, name: Column) -> DataFrame:
-    pattern = r"^(.+)_(\d{4}-\d{2}-\d{2})\.json$"
-    records = F.from_json("value", "array<string>")
-    return files.select(
+    """Records of batch files (`value`); `is_file` tells a file that is no JSON array."""
+    pattern = r"^(.+)_(\d{4}-\d{2}-\d{2})(?:\.(\d+))?\.json$"
+    first = F.coalesce(F.regexp_extract(name, pattern, 3).try_cast("int"), F.lit(0))
+    opened = files.select(
         F.regexp_extract(name, pattern, 1).alias("ticker"),
         F.regexp_extract(name, pattern, 2).try_cast("date").alias("fetch_date"),
-        F.posexplode(F.coalesce(records, F.array("value"))).alias("batch_pos", "raw_json"),
+        first.alias("_first"),
+        "value",
+        F.from_json("value", "array<string>").alias("_records"),
+    )
+    return opened.select(
+        "ticker",
+        "fetch_date",
+        "_first",
+        F.col("_records").isNull().alias("is_file"),
+        F.posexplode(F.coalesce("_records", F.array("value"))).alias("_place", "raw_json"),
+    ).select(
+        "ticker", "fetch_date", (F.col("_first") + F.col("_place")).alias("batch_pos"), "raw_json",
+        "is_file",
+    )
+
+
+def batch_files(raw: DataFrame, day: str) -> DataFrame:
+    """The records of each ticker as texts of JSON arrays (`ticker`, `name`, `value`).
+
+    A batch is cut into files of at most `FILE_ROWS` records and `FILE_BYTES` (and the record that
+    crosses it), read by `explode_batches`. No file holds records of two neighbourhoods of
+    `batch_pos`, so no task and no row ever takes a whole ticker.
+    """
+    place = F.col("batch_pos")
+    near = ["ticker", "_near"]
+    order = Window.partitionBy(*near).orderBy("batch_pos", "raw_json")
+    before = F.sum(F.octet_length("raw_json").cast("long")).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ) - F.octet_length("raw_json")
+    cut = (
+        raw.withColumn("_near", F.floor(place / FILE_ROWS))
+        .withColumn("_file", F.floor(before / FILE_BYTES))
+        .withColumn("_row", F.row_number().over(order) - 1)
+    )
+    records = F.sort_array(F.collect_list(F.struct("_row", "raw_json")))
+    files = cut.groupBy(*near, "_file").agg(
+        F.min("_row").alias("_first"), records.alias("_records")
+    )
+    first = (F.col("_near") * FILE_ROWS + F.col("_first")).cast("string")
+    return files.select(
+        "ticker",
+        F.concat("ticker", F.lit(f"_{day}."), first, F.lit(".json")).alias("name"),
+        F.concat(
+            F.lit("["), F.array_join(F.col("_records.raw_json"), ","), F.lit("]")
+        ).alias("value"),
     )
 
 
