@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wiregrid.functions import times
 from wiregrid.operators import keyed
+from wiregrid.operators.clusters import cluster_articles
 from wiregrid.operators.normalize import (
     counts_per_ticker,
     feed_order,
@@ -166,6 +167,28 @@ def test_feed_order_has_room(spark):
         df.select(feed_order(F.lit("2024-01-02").cast("date"), F.lit(1 << 20), F.lit(0))).collect()
 
 
+def test_a_large_batch_keeps_its_order(spark, tmp_path):
+    """Places beyond 24 bits in stored articles, and what clusters make of them."""
+    places = [("A", 16_777_216), ("B", 5), ("A", 2**31 - 1), ("A", 16_777_215)]
+    rows = [
+        (t, p, json.dumps({**SAMPLE, "headline": f"{t} same words here", "url": f"{t}{p}"}))
+        for t, p in places
+    ]
+    batch = spark.createDataFrame(rows, "ticker string, batch_pos int, raw_json string").withColumn(
+        "fetch_date", F.lit("2024-01-02").cast("date")
+    )
+    watched = spark.createDataFrame([("A", 0), ("B", 1)], "ticker string, position int")
+    made = normalize(landing.in_feed_order(batch, watched))
+    tables.append_new(made.articles, str(tmp_path), "articles", 0, "seq", within="published_at")
+    stored = tables.read_appended(spark, str(tmp_path), "articles")
+    urls = [r["url"] for r in stored.orderBy("seq").collect()]
+    assert urls == ["A16777215", "A16777216", "A2147483647", "B5"]
+    clusters, members = cluster_articles(stored)
+    assert [r["article_count"] for r in clusters.collect()] == [4]
+    ids = {r["id"]: r["url"] for r in stored.collect()}
+    assert [ids[r["article_id"]] for r in members.orderBy("member_pos").collect()] == urls
+
+
 def test_late_first_record_is_kept(spark, tmp_path):
     """An old article that arrives for the first time in a later micro-batch passes."""
     source, rows = tmp_path / "in", [("new", 10), ("filler", 12), ("late", 1), ("new", 10)]

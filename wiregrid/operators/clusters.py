@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from wiregrid.functions import ids
 from wiregrid.functions.text import WORD, word_set
@@ -34,8 +35,12 @@ def leader_of_articles(
     """Each article (`id`, `ticker`, `headline`, `seq`) with the `seq` of its leader.
 
     By default headlines are compared across all tickers; `block_by` names
-    columns whose values must agree. `seq` gives the order of the feed.
+    columns whose values must agree. `seq` gives the order of the feed; a
+    decimal one gives way to the places 0, 1, 2 ... of the articles.
     """
+    if isinstance(articles.schema["seq"].dataType, DecimalType):
+        placed = rank_in_group(articles, [], [], "seq", "_place")
+        articles, _ = materialize(placed.drop("seq").withColumnRenamed("_place", "seq"), "placed")
     feed = articles.select("id", "ticker", "headline", "seq", *[
         c for c in (block_by or []) if c not in ("id", "ticker", "headline", "seq")
     ])

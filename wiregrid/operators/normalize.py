@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wiregrid.functions import ids, times
 from wiregrid.functions.text import clean_html, strip
+from wiregrid.schemas import FEED_ORDER
 from wiregrid.session import settle
 
 
@@ -17,30 +19,26 @@ class Normalized(NamedTuple):
     rejects: DataFrame
 
 
-# Bits of watchlist position and batch position inside `seq`; the day has the rest, until 2687.
-_TICKER_BITS, _BATCH_BITS = 20, 24
+# Bits of watchlist position and of batch position inside `seq`: whole ints, above them the day.
+_PLACE_BITS = 31
 
 
-def feed_order(fetch_date: Column, position: Column, batch_pos: Column) -> Column:
-    """One long that sorts by day, then watchlist position, then place in the batch.
+def feed_order(
+    fetch_date: Column, position: Column, batch_pos: Column, tickers: int = 1 << 20
+) -> Column:
+    """One decimal that sorts by day, then watchlist position, then place in the batch.
 
-    A place beyond 2**20 tickers, 2**24 records of a batch or the year 2687 is an error, so two
-    records never share a number.
+    It has room for every date and every int, so two records never share a number. A negative
+    place or a watchlist position beyond `tickers` is an error.
     """
-    day = F.unix_date(fetch_date).cast("long")
+    day = F.unix_date(fetch_date).cast("decimal(10,0)")
     ticker, place = position.cast("long"), batch_pos.cast("long")
-    half = 1 << (62 - _TICKER_BITS - _BATCH_BITS)
-    fits = (
-        ticker.between(0, (1 << _TICKER_BITS) - 1)
-        & place.between(0, (1 << _BATCH_BITS) - 1)
-        & day.between(-half, half - 1)
-    )
-    seq = (
-        F.shiftleft(day, _TICKER_BITS + _BATCH_BITS) + F.shiftleft(ticker, _BATCH_BITS) + place
-    )
-    return F.when(~fits, F.raise_error(F.lit("a feed place is out of range")).cast("long")).otherwise(
-        seq
-    )
+    fits = ticker.between(0, tickers - 1) & place.between(0, (1 << _PLACE_BITS) - 1)
+    inside = (F.shiftleft(ticker, _PLACE_BITS) + place).cast("decimal(19,0)")
+    seq = (day * F.lit(Decimal(1 << 2 * _PLACE_BITS)) + inside).cast(FEED_ORDER)
+    return F.when(
+        ~fits, F.raise_error(F.lit("a feed place is out of range")).cast(FEED_ORDER)
+    ).otherwise(seq)
 
 
 def _field(record: Column, name: str) -> tuple[Column, Column]:

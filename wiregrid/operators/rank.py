@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 #: Width of a block of sequence numbers; a block holds at most this many rows.
 BLOCK_BITS = 16
@@ -12,17 +13,21 @@ BLOCK_BITS = 16
 def rank_in_group(
     df: DataFrame, keys: list[str], lead: list[Column], seq: str, name: str, start: int = 0
 ) -> DataFrame:
-    """Number the rows of each group by `lead`, then by the unique long `seq`.
+    """Number the rows of each group by `lead`, then by the unique `seq`, a long or whole decimal.
 
     A group is cut into blocks of equal `lead` and neighbouring `seq`. Rows
     are numbered inside their block, and each block starts where the ones
     before it end. Only block counts are summed per group, never rows.
     """
+    if isinstance(df.schema[seq].dataType, DecimalType):
+        block = F.floor(F.col(seq) / F.lit(1 << BLOCK_BITS))
+    else:
+        block = F.shiftright(F.col(seq), BLOCK_BITS)
     lead_names = [f"_lead{i}" for i in range(len(lead))]
     blocked = df.select(
         "*",
         *[column.alias(lead_name) for column, lead_name in zip(lead, lead_names)],
-        F.shiftright(F.col(seq), BLOCK_BITS).alias("_block"),
+        block.alias("_block"),
     )
     place = [*lead_names, "_block"]
     before = (

@@ -6,6 +6,7 @@ from pyspark.sql.types import (
     ArrayType,
     BooleanType,
     DateType,
+    DecimalType,
     DoubleType,
     IntegerType,
     LongType,
@@ -24,6 +25,9 @@ _S, _L, _I, _D, _B, _T = (
     StringType(), LongType(), IntegerType(), DoubleType(), BooleanType(), TimestampType(),
 )
 
+#: Type of `seq` as `feed_order` makes it.
+FEED_ORDER = DecimalType(28, 0)
+
 RAW_ARTICLE = _table(
     ("ticker", _S, True),
     ("fetch_date", DateType(), True),
@@ -43,7 +47,7 @@ ARTICLES = _table(
     ("published_at", _T, True),
     ("fetched_at", _T, True),
     ("raw_json", _S, True),
-    ("seq", _L, False),
+    ("seq", FEED_ORDER, False),
 )
 
 REJECTS = _table(

@@ -124,5 +124,7 @@ def in_feed_order(raw: DataFrame, watchlist: DataFrame) -> DataFrame:
         "fetch_date",
         "batch_pos",
         "raw_json",
-        feed_order(F.col("fetch_date"), F.col("position"), F.col("batch_pos")).alias("seq"),
+        feed_order(
+            F.col("fetch_date"), F.col("position"), F.col("batch_pos"), tickers=1 << 31
+        ).alias("seq"),
     )
