@@ -14,7 +14,8 @@ from wiregrid.operators.normalize import (
     parse_raw,
     trailing_window,
 )
-from wiregrid.sources import landing, tables
+from wiregrid.plans import catalog
+from wiregrid.sources import derived, landing, tables
 from wiregrid.streaming.ingest import ingest_new, recent_only
 
 SAMPLE = {
@@ -157,6 +158,39 @@ def test_stream_keeps_the_first_record_for_good(spark, tmp_path):
     assert run() == expected
 
 
+def test_every_record_is_stored_or_set_aside(spark, tmp_path):
+    path, store, checkpoint = (str(tmp_path / n) for n in ("landing", "store", "checkpoint"))
+    watched = spark.createDataFrame([("A", 0)], "ticker string, position int")
+    for ticker in ("A", "other", None):
+        again = {**SAMPLE, "url": str(ticker)}
+        landing.write_landing(landed(spark, ticker, "2024-01-02", again, {"bad": 1}), path)
+    ingest_new(spark, path, watched, store, checkpoint).awaitTermination()
+    assert [r["ticker"] for r in tables.read_appended(spark, store, "articles").collect()] == ["A"]
+    rejects = tables.read_appended(spark, store, "article_rejects").collect()
+    assert {(r["ticker"], r["batch_pos"], r["reason"]) for r in rejects} == {
+        ("A", 1, "datetime missing"), ("other", 1, "datetime missing"), (None, 1, "datetime missing"),
+        ("other", 0, "ticker not watched"), (None, 0, "ticker missing"),
+    }
+
+
+@pytest.mark.parametrize("name", ["raw_ingest", "stream_ingest", "stored_rejects"])
+def test_sources_are_read_from_the_data(spark, tmp_path, name):
+    rows = [(i, f"host{i % 30}", "es" if i % 3 else "en", f"text {i}") for i in range(90)]
+    documents = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()[name](spark, str(tmp_path)).collect()
+    expected = {f"host{i % 30}" for i in range(90) if bool(i % 3) == (name == "stored_rejects")}
+    assert {r["ticker"] for r in found} == expected
+    assert len(found) == (60 if name == "stored_rejects" else 30)
+
+
+def test_watchlist_positions_are_dense(spark):
+    sources = [(f"s{i % 500}" if i % 9 else None,) for i in range(5000)]
+    watched = derived.watchlist_of(spark.createDataFrame(sources, "source string")).collect()
+    assert sorted(r["position"] for r in watched) == list(range(500))
+    assert len({r["ticker"] for r in watched}) == 500
+
+
 def test_feed_order_has_room(spark):
     places = [("2024-01-02", 0, 5), ("2024-01-02", 40_000, 0), ("2024-01-03", 0, 0)]
     df = spark.createDataFrame(places, "d string, position int, batch_pos int")

@@ -70,7 +70,8 @@ def _unix_seconds(kind: Column, text: Column) -> Column:
 def parse_raw(raw: DataFrame, drop_script: bool = False) -> DataFrame:
     """All columns of `raw` (`ticker`, `raw_json`, ...) with the article fields and `reason`.
 
-    `reason` is null for a good record.
+    `reason` is null for a good record. Where `raw` tells whether a record's ticker is `watched`,
+    one that is not has a reason.
     """
     parsed = raw.withColumn("_record", F.try_parse_json("raw_json"))
     fields = [F.schema_of_variant("_record").alias("_kind")]
@@ -100,6 +101,10 @@ def parse_raw(raw: DataFrame, drop_script: bool = False) -> DataFrame:
         .when(not_text("source"), F.lit("source not text"))
         .when(not_text("url", "BIGINT"), F.lit("url not text"))
     )
+    if "watched" in raw.columns:
+        reason = reason.when(F.col("ticker").isNull(), F.lit("ticker missing")).when(
+            ~F.col("watched"), F.lit("ticker not watched")
+        )
     good_ts = F.when(times.unix_in_range(F.col("published_ts")), F.col("published_ts"))
     texts = typed.select(
         *raw.columns,

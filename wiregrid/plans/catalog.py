@@ -107,11 +107,12 @@ def pages_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land raw batches, replace those of one source, read back in feed order, normalise."""
     path = f"{scratch_dir(spark)}/landing"
-    raw = derived.raw_documents(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    raw = derived.raw_documents(documents)
     landing.write_landing(raw, path)
     resent = raw.where(F.col("ticker") == "src1")
     landing.write_landing(resent, path, resent.select("ticker", "fetch_date").distinct())
-    watched = derived.watchlist(spark, derived.ALL_SOURCES)
+    watched = derived.watchlist_of(documents)
     batch = landing.in_feed_order(landing.read_landing(spark, path), watched)
     return normalize(batch).articles.select("id", "ticker", "headline", "url")
 
@@ -119,9 +120,10 @@ def raw_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records taken up by a stream, file by file."""
     root = scratch_dir(spark)
-    raw = derived.raw_documents(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    raw = derived.raw_documents(documents)
     landing.write_landing(raw, f"{root}/landing")
-    watched = derived.watchlist(spark, derived.ALL_SOURCES)
+    watched = derived.watchlist_of(documents)
     query = ingest_new(spark, f"{root}/landing", watched, f"{root}/store", f"{root}/checkpoint")
     query.awaitTermination()
     stored = tables.read_appended(spark, f"{root}/store", "articles")
@@ -131,10 +133,9 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream set aside, read from the store."""
     root = scratch_dir(spark)
-    landing.write_landing(
-        derived.raw_documents(table(spark, sf_dir, "documents")), f"{root}/landing"
-    )
-    watched = derived.watchlist(spark, derived.ALL_SOURCES)
+    documents = table(spark, sf_dir, "documents")
+    landing.write_landing(derived.raw_documents(documents), f"{root}/landing")
+    watched = derived.watchlist_of(documents)
     ingest_new(
         spark, f"{root}/landing", watched, f"{root}/store", f"{root}/checkpoint"
     ).awaitTermination()

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wiregrid.session import materialize
+
 # When the first document was published and how far apart they are.
 FIRST_PUBLISHED, STEP_SECONDS = 1_704_067_200, 60
 
 #: Watched sources, and one that never publishes.
 WATCHLIST = tuple(f"src{i}" for i in range(10)) + ("src99",)
 
-#: Every source of the documents, in watchlist order.
-ALL_SOURCES = tuple(f"src{i}" for i in range(20))
+_BLOCKS = 4_096  # of sources, numbered apart
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,30 @@ def watchlist(spark: SparkSession, tickers: tuple[str, ...] = WATCHLIST) -> Data
     return spark.createDataFrame(rows, "ticker string, position int")
 
 
+def watchlist_of(documents: DataFrame) -> DataFrame:
+    """Every source of the documents with a position, in blocks of a hash and by name inside."""
+    sources = (
+        documents.where(F.col("source").isNotNull())
+        .select(F.col("source").alias("ticker"))
+        .distinct()
+        .withColumn("_block", F.pmod(F.xxhash64("ticker"), F.lit(_BLOCKS)))
+    )
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        sources.groupBy("_block")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy("ticker"))
+    watched, _ = materialize(
+        sources.withColumn("_inside", inside)
+        .join(starts, "_block")
+        .select("ticker", (F.col("_start") + F.col("_inside") - 1).cast("int").alias("position")),
+        "watchlist",
+    )
+    return watched
+
+
 def raw_documents(documents: DataFrame) -> DataFrame:
     """Documents as raw records: the first line is the headline, the rest the summary.
 

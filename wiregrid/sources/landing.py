@@ -118,8 +118,12 @@ def batch_files(raw: DataFrame, day: str) -> DataFrame:
 
 
 def in_feed_order(raw: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Records of watched tickers with `seq`: by day, watchlist position and batch position."""
-    return raw.join(watchlist, "ticker").select(
+    """Records with `seq`: by day, watchlist position and batch position.
+
+    A record whose ticker is missing or not watched has none and is not `watched`; normalising
+    sets it aside.
+    """
+    return raw.join(watchlist, "ticker", "left").select(
         "ticker",
         "fetch_date",
         "batch_pos",
@@ -127,4 +131,5 @@ def in_feed_order(raw: DataFrame, watchlist: DataFrame) -> DataFrame:
         feed_order(
             F.col("fetch_date"), F.col("position"), F.col("batch_pos"), tickers=1 << 31
         ).alias("seq"),
+        F.col("position").isNotNull().alias("watched"),
     )
