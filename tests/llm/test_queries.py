@@ -15,7 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{FOLDER}/{name_}.parquet'")
     told = duck.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in told.description]
     found = queries.queries()[name](spark, FOLDER)

@@ -13,13 +13,17 @@ from wiregrid.llm import (
     debruijn,
     exact_radix,
     minhash_fss,
+    plane_clusters,
     quality_rules,
+    secret_scan,
     sentence_pieces,
     shard_kk,
     suffix_bcr,
+    token_align,
     token_files,
 )
 from wiregrid.llm.common import table
+from wiregrid.session import scratch_dir
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,6 +91,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(
+        table(spark, sf_dir, "documents"),
+        tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"),
+    ).drop("groups")
+
+
+def op12_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centers = plane_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    named = centers.select(
+        "cluster", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("components").cast("array<string>"), ","), 256).alias("centroid_sha256"),
+    )
+    # A row per centroid, 16 of them.
+    return members.join(F.broadcast(named), "cluster")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(
+        table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/secret-ledger"
+    )
+    base = [rule.name for rule in secret_scan.BASE]
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda x: x["rule"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secret_scan.spelled(F.col("found"), base), 256).alias("base_sha256"),
+        secret_scan.spelled(F.col("found")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -99,6 +138,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_debruijn": op8_debruijn,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_align": op11_align,
+        "op12_plane_clusters": op12_plane_clusters,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
@@ -231,5 +273,115 @@ FROM judged j JOIN verdicts v ON j.doc_id = v.doc_id
 """
 
 
+_OP12_ROUND = """
+near{n} AS MATERIALIZED (
+    SELECT vec_id, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+    FROM (
+        SELECT v.vec_id, c.cluster, list_sum(list_transform(range(1, 65), lambda i:
+                   (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS distance
+        FROM ints v, centers{n} c
+    ) GROUP BY vec_id
+),
+"""
+
+_OP12_MOVE = """
+centers{next} AS MATERIALIZED (
+    SELECT c.cluster, coalesce(any_value(m.x), any_value(c.x)) AS x
+    FROM centers{n} c LEFT JOIN (
+        SELECT cluster, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x FROM (
+            SELECT cluster, i, CAST(sum(x) AS DOUBLE) AS total, count(*) AS n FROM (
+                SELECT k.cluster, unnest(range(1, 65)) AS i, unnest(v.x) AS x
+                FROM near{n} k JOIN ints v ON v.vec_id = k.vec_id
+            ) GROUP BY cluster, i
+        ) GROUP BY cluster
+    ) m ON m.cluster = c.cluster
+    GROUP BY c.cluster
+),
+"""
+
+OP12_SQL = (
+    """
+WITH ints AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT))
+               AS x
+    FROM embeddings
+    WHERE len(embedding) = 64
+      AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+),
+centers0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, x
+    FROM ints QUALIFY cluster < 16
+),
+"""
+    + "".join(_OP12_ROUND.format(n=n) + _OP12_MOVE.format(n=n, next=n + 1) for n in range(3))
+    + _OP12_ROUND.format(n=3)
+    + """
+sums AS (SELECT cluster, sum(distance) AS cluster_inertia FROM near3 GROUP BY cluster)
+SELECT k.vec_id, CAST(k.cluster AS INTEGER) AS cluster, CAST(k.distance AS BIGINT) AS distance,
+       CAST(s.cluster_inertia AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(distance) FROM near3) AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM near3 k JOIN sums s ON s.cluster = k.cluster JOIN centers3 c ON c.cluster = k.cluster
+"""
+)
+
+
+#: (kind, pattern, group, least characters), as the scan's rules have them.
+_OP13_KINDS = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+               r"""([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+]
+
+
+def _op13_hits(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, {place} AS place, '{kind}' AS kind, {least} AS least,
+           regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {group}) AS part,
+           string_split_regex(t, '{quoted}') AS gaps
+    FROM texts"""
+
+
+OP13_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({" UNION ALL ".join(_op13_hits(i, *kind) for i, kind in enumerate(_OP13_KINDS))}
+),
+sizes AS (
+    SELECT doc_id, place, kind, least, list_transform(m, lambda x: length(x)) AS m,
+           list_transform(part, lambda x: length(x)) AS part,
+           list_transform(gaps, lambda x: length(x)) AS gaps
+    FROM hits WHERE len(m) > 0
+),
+spots AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM sizes),
+spans AS (
+    SELECT doc_id, place, kind, CAST(list_sum(gaps[1:i]) + list_sum(m[1:i]) - m[i] AS BIGINT) AS a,
+           CAST(list_sum(gaps[1:i]) + list_sum(m[1:i]) AS BIGINT) AS b
+    FROM spots WHERE part[i] >= least
+),
+told AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+           count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place)
+               FILTER (place < 3) AS base,
+           string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS spans
+    FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_minhash": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {
+        "op6_exact_dedup": OP6_SQL,
+        "op7_minhash": OP7_SQL,
+        "op10_quality_rules": OP10_SQL,
+        "op12_plane_clusters": OP12_SQL,
+        "op13_secret_scan": OP13_SQL,
+    }
