@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wiregrid.functions.lexicon import DEFAULT_LEXICON, lexicon_from_rows
-from wiregrid.operators.score import python_scorer, run_scorer, score_articles
+from wiregrid.operators.lexicon_match import LEXICON, lexicon_table
+from wiregrid.operators.score import lexicon_hits, python_scorer, run_scorer, score_articles
 
 CASES = [
     ("Apple reports record quarterly earnings, beats EPS estimates", "earnings", True),
@@ -66,8 +67,58 @@ def test_thresholds_and_lexicon_are_arguments(spark):
     df = articles(spark, ("foo", "bar"))
     row = score_articles(df, lexicon, relevance_threshold=0.3, importance_threshold=20).first()
     assert (row["event_type"], row["is_relevant"], row["include_in_digest"]) == ("legal", True, True)
+
+
+def hits_of(df, lexicon):
+    found = lexicon_hits(df, lexicon).select("id", "total_high", "total_medium", "best").collect()
+    return sorted(
+        (str(r.id), r.total_high, r.total_medium, r.best.high, r.best.medium,
+         r.best.event_type if r.best.high + r.best.medium else None)
+        for r in found
+    )
+
+
+def test_a_lexicon_table_counts_like_one_in_the_plan(spark):
+    rng = random.Random(11)
+    letters = ["a", "b", "é", "\U0001f642", " ", "\n", ".", "(", "z"]
+    made = {"".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(300)}
+    rows = [
+        (("earnings", "legal", "macro")[i % 3], ("high", "medium")[i % 2], word)
+        for i, word in enumerate(sorted(made))
+    ]
+    # The empty keyword, one listed twice, one of two types, one that never occurs.
+    rows += [("legal", "high", ""), ("macro", "medium", "ab"), ("macro", "medium", "ab"),
+             ("earnings", "high", "ab"), ("earnings", "high", "not there at all")]
+    lexicon = lexicon_from_rows(rows)
+    pairs = [("".join(rng.choices(letters, k=rng.randint(0, 60))), None) for _ in range(200)]
+    pairs += [("", ""), (None, None), ("x" * 50_000, "ab"), ("AB", "Éa")]
+    df = articles(spark, *pairs).unionByName(articles(spark, ("ab", "ba"), ("(", ")")))
+    df = df.unionByName(df.limit(3).withColumn("id", F.lit(None).cast("string"))).repartition(4)
+    assert hits_of(df, lexicon_table(df, lexicon)) == hits_of(df, lexicon)
+    usual = score_articles(df, DEFAULT_LEXICON).orderBy("article_id", "reason").collect()
+    table = score_articles(df, lexicon_table(df, DEFAULT_LEXICON)).orderBy("article_id", "reason")
+    assert table.collect() == usual
+
+
+def test_large_and_empty_lexicons(spark):
+    df = articles(spark, ("keyword5999 and keyword17", ""), ("nothing", ""))
+    large = lexicon_from_rows([("legal", "high", f"keyword{i}") for i in range(6_000)])
+    # keyword1, 17, 5, 59, 599 and 5999 are substrings.
+    assert [r[1] for r in hits_of(df, large)] == [6, 0]
+    empty = spark.createDataFrame([], LEXICON)
+    assert [r[1] for r in hits_of(df, empty)] == [0, 0]
+    assert hits_of(df.limit(0), lexicon_table(df, large)) == []
+    assert {r.event_type for r in score_articles(df, empty).collect()} == {"other"}
+    nulls = spark.createDataFrame([("legal", "high", None, 0), ("macro", "medium", "and", 1)], LEXICON)
+    assert [r[1:3] for r in hits_of(df, nulls)] == [(0, 1), (0, 0)]
     with pytest.raises(ValueError):
-        lexicon_from_rows([("legal", "high", str(i)) for i in range(5_001)])
+        hits_of(df, spark.createDataFrame([("legal", "huge", "x", 0)], LEXICON))
+
+
+def test_no_keyword_is_part_of_the_plan(spark):
+    df = articles(spark, ("one secretword", ""))
+    plan = score_articles(df, spark.createDataFrame([("legal", "high", "secretword", 0)], LEXICON))
+    assert "secretword" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_python_scorer_isolates_failures(spark):

@@ -106,17 +106,17 @@ EVENT_TYPES = (
 )
 CONFIDENCE_LEVELS = ("low", "medium", "high")
 
-# A lexicon is part of the plan, so it must stay small enough to be one.
-MAX_KEYWORDS = 5_000
+#: A lexicon of more keywords than this is matched by an index instead of being part of the plan.
+PLAN_KEYWORDS = 2_000
 
 
 def lexicon_from_rows(rows: Iterable[tuple[str, str, str]]) -> Lexicon:
     """Build a lexicon from (event_type, weight_class, keyword) rows in order."""
     types: dict[str, dict[str, list[str]]] = {}
-    count = 0
     for event_type, weight_class, keyword in rows:
-        count += 1
-        if count > MAX_KEYWORDS:
-            raise ValueError(f"more than {MAX_KEYWORDS} keywords")
         types.setdefault(event_type, {"high": [], "medium": []})[weight_class].append(keyword)
     return tuple(EventKeywords(t, tuple(k["high"]), tuple(k["medium"])) for t, k in types.items())
+
+
+def keyword_count(lexicon: Lexicon) -> int:
+    return sum(len(entry.high) + len(entry.medium) for entry in lexicon)

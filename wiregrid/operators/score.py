@@ -15,8 +15,11 @@ from wiregrid.functions.lexicon import (
     CONFIDENCE_LEVELS,
     DEFAULT_LEXICON,
     EVENT_TYPES,
+    PLAN_KEYWORDS,
     Lexicon,
+    keyword_count,
 )
+from wiregrid.operators.lexicon_match import lexicon_table, table_hits
 from wiregrid.session import settle
 
 #: A scorer takes articles and returns SCORES rows (`scored_at` aside).
@@ -33,8 +36,17 @@ class Scored(NamedTuple):
     rejects: DataFrame  # article_id, reason
 
 
-def lexicon_hits(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    """Articles with `hits` (array in lexicon order), `total_high`, `total_medium` and `best`."""
+def lexicon_hits(
+    articles: DataFrame, lexicon: Lexicon | DataFrame = DEFAULT_LEXICON
+) -> DataFrame:
+    """Articles with `hits` (array in lexicon order), `total_high`, `total_medium` and `best`.
+
+    A lexicon given as a table, or too large for a plan, is matched by an index.
+    """
+    if isinstance(lexicon, DataFrame):
+        return table_hits(articles, lexicon)
+    if keyword_count(lexicon) > PLAN_KEYWORDS:
+        return table_hits(articles, lexicon_table(articles, lexicon))
     text = scoring.score_text(F.col("headline"), F.col("summary"))
     counted = articles.withColumn("_text", text).withColumn(
         "hits", scoring.hits_by_type(F.col("_text"), lexicon)
@@ -50,11 +62,11 @@ def lexicon_hits(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> Dat
 
 def score_articles(
     articles: DataFrame,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
     relevance_threshold: float = scoring.RELEVANCE_THRESHOLD,
     importance_threshold: int = scoring.IMPORTANCE_THRESHOLD,
 ) -> DataFrame:
-    """One score per article, in one pass and without a shuffle."""
+    """One score per article; in one pass and without a shuffle if the lexicon is part of the plan."""
     hits = lexicon_hits(articles.select("id", "headline", "summary"), lexicon)
     best = F.col("best")
     rated = hits.select(

@@ -279,6 +279,14 @@ def article_scores_fixture_lexicon(spark: SparkSession, sf_dir: str) -> DataFram
     return score.score_articles(_stored_articles(spark, sf_dir), FIXTURE_LEXICON)
 
 
+def lexicon_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a lexicon that is a table: thousands of words of the conversations."""
+    words = derived.word_lexicon(
+        table(spark, sf_dir, "conversations"), [entry.event_type for entry in FIXTURE_LEXICON]
+    )
+    return score.score_articles(_stored_articles(spark, sf_dir), words)
+
+
 def score_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = score.score_articles(_stored_articles(spark, sf_dir), FIXTURE_LEXICON)
     return score.flagged_count(scores)
@@ -377,7 +385,8 @@ def turn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.col("role").alias("ticker"),
         F.col("text").alias("headline"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        # A turn is an int, so no two turns share a place.
+        (F.shiftleft("conv_id", 31) + F.col("turn")).alias("seq"),
     )
     found = cluster_articles(turns, 0.5).clusters
     return found.select("cluster_id", "cluster_seq", "ticker", "article_count")
@@ -569,7 +578,8 @@ _QUERIES: list[Query] = [
     pages_clean_text, raw_ingest, stream_ingest,
     stream_dedupe, trailing_window_counts, ticker_counts,
     articles_first_wins, articles_last_wins, insert_counts, keyed_update, constraint_report,
-    lexicon_hits, article_scores, article_scores_fixture_lexicon, score_flags, custom_scorer,
+    lexicon_hits, article_scores, article_scores_fixture_lexicon,
+    lexicon_table_scores, score_flags, custom_scorer,
     leader_similarity, clusters, cluster_members, cluster_id_lists, cluster_ids_json,
     clusters_within_ticker,
     part_clusters, turn_clusters, cluster_summaries,

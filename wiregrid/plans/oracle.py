@@ -112,6 +112,33 @@ scores AS MATERIALIZED (
   FROM rated)"""
 
 
+_WORD_LEXICON = """keywords AS MATERIALIZED (
+  SELECT word, (length(word) + 3 * length(replace(word, 'e', ''))) % 7 AS place,
+    length(replace(word, 'a', '')) % 3 = 0 AS high
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS word FROM conversations)
+  WHERE length(word) >= 8),
+found AS MATERIALIZED (
+  SELECT a.id, k.place, count(*) FILTER (WHERE k.high) AS high, count(*) FILTER (WHERE NOT k.high) AS medium
+  FROM (SELECT id, lower(headline || ' ' || summary) AS t FROM articles) a
+    JOIN keywords k ON contains(a.t, k.word)
+  GROUP BY ALL),
+best_types AS (
+  SELECT id, (arg_max(struct_pack(place := place, high := high, medium := medium),
+      (high * 1000000 + medium) * 100 - place)) AS b,
+    sum(high) AS total_high, sum(medium) AS total_medium
+  FROM found GROUP BY id),
+hits AS (
+  SELECT a.id, coalesce(total_high, 0) AS total_high, coalesce(total_medium, 0) AS total_medium,
+    coalesce((b.high * 1000 + b.medium) * 100 + 7 - b.place, 0) AS best
+  FROM articles a LEFT JOIN best_types USING (id))"""
+
+
+def _table_scores() -> str:
+    """The rules' statements on the hits by the table of words."""
+    rules = _scores(FIXTURE_LEXICON)
+    return _WORD_LEXICON + ",\n" + rules[rules.index("bests AS (") :]
+
+
 def _clusters(threshold: float, block: str = "''") -> str:
     """All pairs of distinct headlines, then a walk along those with a similar one before them."""
     return f"""worded AS MATERIALIZED (
@@ -285,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
     parts = """articles AS (
   SELECT 'part' || p_partkey AS id, p_brand AS ticker, p_name AS headline, p_partkey AS seq FROM part)"""
     turns = """articles AS (
-  SELECT conv_id || '-' || turn AS id, role AS ticker, text AS headline, conv_id * 1000 + turn AS seq
+  SELECT conv_id || '-' || turn AS id, role AS ticker, text AS headline, conv_id * 2147483648 + turn AS seq
   FROM conversations)"""
     return {
         "articles_normalized": _with(_ARTICLES)
@@ -347,6 +374,7 @@ UNION ALL SELECT 'labels', 'foreign key doc_id', (SELECT count(*) FROM labels
   best_high::BIGINT AS best_high, best_medium::BIGINT AS best_medium FROM bests""",
         "article_scores": _with(_ARTICLES, rules) + "SELECT * FROM scores",
         "article_scores_fixture_lexicon": _with(_ARTICLES, fixture) + "SELECT * FROM scores",
+        "lexicon_table_scores": _with(_ARTICLES, _table_scores()) + "SELECT * FROM scores",
         "score_flags": _with(_ARTICLES, fixture)
         + """SELECT count(*) AS scored, count(*) FILTER (WHERE include_in_digest) AS flagged FROM scores""",
         "custom_scorer": """SELECT 'doc' || doc_id AS article_id,

@@ -86,7 +86,8 @@ def raw_documents(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("source").alias("ticker"),
         F.to_date(F.timestamp_seconds(published)).alias("fetch_date"),
-        F.col("doc_id").cast("int").alias("batch_pos"),
+        # A batch is one source's records of one day; a place in it is an int.
+        F.pmod("doc_id", F.lit(1 << 31)).cast("int").alias("batch_pos"),
         whole.alias("raw_json"),
         F.col("doc_id").alias("seq"),
     )
@@ -123,6 +124,23 @@ def run_log(events: DataFrame) -> DataFrame:
     )
 
 
+def word_lexicon(conversations: DataFrame, event_types: list[str]) -> DataFrame:
+    """The words of at least eight letters in conversations as a lexicon, dealt to the types by their letters."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{8,}"), F.lit(0)))
+    words = conversations.select(word.alias("keyword")).distinct()
+    size = F.char_length("keyword")
+    without_e = F.char_length(F.replace("keyword", F.lit("e"), F.lit("")))
+    without_a = F.char_length(F.replace("keyword", F.lit("a"), F.lit("")))
+    place = F.pmod(size + 3 * without_e, F.lit(len(event_types)))
+    names = F.array(*[F.lit(name) for name in event_types])
+    return words.select(
+        F.element_at(names, place + 1).alias("event_type"),
+        F.when(without_a % 3 == 0, F.lit("high")).otherwise(F.lit("medium")).alias("weight_class"),
+        "keyword",
+        place.cast("long").alias("position"),
+    )
+
+
 def external_scores(labels: DataFrame) -> DataFrame:
     """Labels as articles for an external scorer."""
     return labels.select(
