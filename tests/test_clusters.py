@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from wiregrid.operators import graph
 from wiregrid.operators.clusters import (
     cluster_articles,
     leader_of_articles,
@@ -20,7 +22,7 @@ SCHEMA = "case int, id string, ticker string, headline string, seq long"
 PLAIN = Tuning()
 STRESSED = Tuning(
     crowded=4, max_depth=3, rows_per_salt=2, pairs_min=2_500, pairs_per_set=0,
-    signature_rows_max=24, heavy_rows_min=3,
+    signature_rows_max=24, heavy_rows_min=3, local_edges=8,
 )
 
 
@@ -207,3 +209,72 @@ def test_null_blocks_stay_apart(spark):
     )
     clusters, _ = cluster_articles(feed, block_by=["a", "b"])
     assert clusters.count() == 2
+
+
+def test_hashes_of_few_bits_change_nothing(spark):
+    """Tokens and signatures that share hashes bring more pairs together; the tokens decide."""
+    rows, feeds = random_feeds(25, seed=21)
+    articles = spark.createDataFrame(rows, SCHEMA)
+    for bits in (3, 6):
+        tuning = replace(STRESSED, hash_bits=bits)
+        found = leader_of_articles(articles, 0.4, block_by=["case"], tuning=tuning)
+        got = {r["seq"]: r["leader_seq"] for r in found.collect()}
+        for case, headlines in feeds.items():
+            mine = [got[case * 1000 + i] - case * 1000 for i in range(len(headlines))]
+            assert mine == first_match(headlines, 0.4), (bits, case)
+
+
+def test_long_headlines_shuffle_little(spark, tmp_path):
+    """The join of signatures carries entries of a fixed size, not the sets."""
+    rng = random.Random(2)
+    pool = [f"word{i}" for i in range(20_000)]
+    texts = [" ".join(rng.sample(pool, 1500)) for _ in range(100)]
+    rows = [(0, f"a{i}", "T", t, i) for i, t in enumerate(texts)]
+    index = build_index(spark.createDataFrame(rows, SCHEMA), 0.4)
+    entries = signatures(index, index.ordered)
+    width = sum({"long": 8, "bigint": 8, "int": 8}[f.dataType.simpleString()] for f in entries.schema)
+    assert entries.count() * width < 20 * sum(map(len, texts)) / 2
+    assert similar_pairs(index, entries, entries).count() == 0
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """Each headline is like the next one only."""
+    words = [f"w{i}" for i in range(310)]
+    headlines = [" ".join(words[i : i + 10]) for i in range(300)]
+    rows = [(0, f"a{i}", "T", h, i) for i, h in enumerate(headlines)]
+    tracker = spark.sparkContext.statusTracker()
+    for tuning in (PLAIN, replace(PLAIN, local_edges=100)):
+        name = f"chain-{tuning.local_edges}"
+        spark.sparkContext.setJobGroup(name, name)
+        found = leader_of_articles(spark.createDataFrame(rows, SCHEMA), 0.8, tuning=tuning).collect()
+        jobs = len(tracker.getJobIdsForGroup(name))
+        got = [r["leader_seq"] for r in sorted(found, key=lambda r: r["seq"])]
+        assert got == first_match(headlines, 0.8)
+        assert tuning is not PLAIN or jobs < 100
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("local_edges", [1, 7, 60, 10_000])
+def test_leaders_of_random_graphs(spark, local_edges):
+    rng = random.Random(local_edges)
+    edges = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(110)} | {(0, i) for i in range(200, 230)})
+    pairs = spark.createDataFrame(edges, "lo long, hi long")
+    got = {r["hi"]: r["leader"] for r in graph.leaders(pairs, len(edges), local_edges).collect()}
+    followers, expected = set(), {}
+    for hi in sorted({b for _, b in edges}):
+        first = [a for a, b in edges if b == hi and a not in followers]
+        if first:
+            followers.add(hi)
+            expected[hi] = min(first)
+    assert got == expected
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(8)
+    edges = [tuple(sorted(rng.sample(range(150), 2))) for _ in range(90)] + [(i, i + 1) for i in range(300, 400)]
+    root = {n: n for e in edges for n in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = graph.components(spark.createDataFrame(edges, "lo long, hi long")).collect()
+    assert {r["node"]: r["root"] for r in found} == root

@@ -3,8 +3,9 @@
 Going through a feed in order, an article joins the first leader similar to
 it, or becomes a leader. So an article leads exactly if no similar article
 before it leads: the leaders are the lexicographically first maximal
-independent set of the similarity graph, which parallel rounds find without
-walking the feed (Blelloch, Fineman, Shun, SPAA 2012).
+independent set of the similarity graph. Components of it are independent and
+walked through in parallel; one too large for that is settled in parallel rounds
+(Blelloch, Fineman, Shun, SPAA 2012).
 
 The feed is taken in batches from the front. Once the leaders of a batch are
 known, every later set similar to one of them is settled and leaves. Batches
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiregrid.operators.graph import leaders
 from wiregrid.operators.simjoin import SetIndex, signatures, similar_pairs
 from wiregrid.session import materialize
 
@@ -39,21 +41,19 @@ def assign_leaders(index: SetIndex) -> DataFrame:
         else:
             cut = _batch_end(entries, remaining, budget, tuning.signature_rows_max)
         inside = entries if cut is None else entries.where(F.col("seq") <= cut)
-        pairs, seen = materialize(
-            similar_pairs(index, inside, inside).distinct(), "pairs"
-        )
-        followers = _followers(pairs) if seen["rows"] else None
-        if followers is not None:
-            led = pairs.join(followers, pairs.lo == followers.node, "left_anti")
-            settled.append(led.groupBy("hi").agg(F.min("lo").alias("leader")))
+        pairs, seen = materialize(similar_pairs(index, inside, inside), "pairs")
+        followed = None
+        if seen["rows"]:
+            followed, _ = materialize(leaders(pairs, seen["rows"], tuning.local_edges), "followed")
+            settled.append(followed)
         if cut is None:
             break
-        leaders = remaining.where(F.col("seq") <= cut)
-        if followers is not None:
-            leaders = leaders.join(followers, leaders.seq == followers.node, "left_anti")
+        leading = remaining.where(F.col("seq") <= cut)
+        if followed is not None:
+            leading = leading.join(followed, leading.seq == followed.hi, "left_anti")
         later = remaining.where(F.col("seq") > cut)
         met = similar_pairs(
-            index, signatures(index, leaders), signatures(index, later), salted=True
+            index, signatures(index, leading), signatures(index, later), salted=True
         )
         # The batch comes first in the feed, so its lowest leader is the first match.
         absorbed, _ = materialize(met.groupBy("hi").agg(F.min("lo").alias("leader")), "absorbed")
@@ -81,6 +81,21 @@ def _batch_end(entries: DataFrame, remaining: DataFrame, budget: int, crowd: int
     )
     if (whole["pairs"] or 0) <= budget and (whole["most"] or 0) <= crowd:
         return None
+    while True:
+        best, over = _cut_within(entries, remaining, budget, crowd)
+        if best is not None:
+            return best
+        # Even the first cut takes too much: look closer at what is before it.
+        entries = entries.where(F.col("seq") <= over)
+        remaining = remaining.where(F.col("seq") <= over)
+
+
+def _cut_within(
+    entries: DataFrame, remaining: DataFrame, budget: int, crowd: int
+) -> tuple[int | None, int]:
+    """(the last of some cuts that stays within the bounds, the first cut); a single set always does."""
+    keys = ["sig", "own", "want"]
+    rows = F.col("_rows").cast("double")
     shares = [0.5**i for i in range(_HALVINGS, 0, -1)]
     quantiles = remaining.agg(F.percentile_approx("seq", shares, 100_000).alias("q")).first()["q"]
     cuts = sorted(set(quantiles))
@@ -99,32 +114,13 @@ def _batch_end(entries: DataFrame, remaining: DataFrame, budget: int, crowd: int
         .orderBy("place")
         .collect()
     )
-    best, pairs = cuts[0], 0.0
+    best, pairs = None, 0.0
     for row in costs:
         pairs += row["pairs"]
         if pairs > budget or row["most"] > crowd:
             break
         best = cuts[row["place"]]
-    return best
-
-
-def _followers(pairs: DataFrame) -> DataFrame:
-    """Nodes with a leader before them, of the graph `pairs` (lo, hi)."""
-    found: list[DataFrame] = []
-    open_pairs = pairs
-    while True:
-        # A node nothing open precedes leads; what it precedes follows.
-        waiting = open_pairs.select(F.col("hi").alias("node")).distinct()
-        led = open_pairs.join(waiting, open_pairs.lo == waiting.node, "left_anti")
-        new, _ = materialize(led.select(F.col("hi").alias("node")).distinct(), "followers")
-        found.append(new)
-        rest = open_pairs.join(new, open_pairs.lo == new.node, "left_anti")
-        open_pairs, seen = materialize(
-            rest.join(new, rest.hi == new.node, "left_anti"), "open"
-        )
-        if not seen["rows"]:
-            break
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return result
+    if best is None:
+        first = remaining.agg(F.min("seq")).first()[0]
+        best = first if cuts[0] <= first else None
+    return best, cuts[0]

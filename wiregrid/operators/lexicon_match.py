@@ -23,7 +23,7 @@ from wiregrid.session import materialize, settle
 
 LEXICON = "event_type string, weight_class string, keyword string, position long"
 #: Characters of a gram. A longer one is rarer, and more of them are told apart.
-GRAM = 4
+GRAM = 8
 
 
 def lexicon_table(articles: DataFrame, lexicon: Lexicon) -> DataFrame:

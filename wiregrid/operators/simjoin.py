@@ -6,9 +6,16 @@ et al., WWW 2007; Vernica et al., SIGMOD 2010). A signature is the first token
 two sets may share; where a token is frequent, signatures are the first two
 they share, then three, so that signatures do not stay crowded.
 
+The join of signatures carries no sets: an entry has numbers of fixed size, its
+place in the set, which bounds what can be shared after it, and 256 bits in
+which every token flips one (as the bitmap filter of Sandes et al., TKDE 2020):
+sets differ in at least as many tokens as bits. Sets are fetched once per
+distinct pair that is left, and decide.
+
 Sets are compared by 64-bit token hashes. Indexing counts the tokens that share
 a hash: where there are none, which is all but certain, hashes are as good as
-tokens; otherwise the pairs found are verified on the tokens themselves.
+tokens; otherwise pairs are decided on the tokens themselves. Signatures that
+share a hash bring pairs together that are decided like any other.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from wiregrid.functions.text import WORD, jaccard, word_set
 from wiregrid.session import materialize
 
 SEPARATOR = "\u0001"
-#: Tokens told apart by frequency; rarer ones count as equally rare.
+#: Tokens that are broadcast with their frequency, at most; the frequency of others comes by a join.
 FREQUENT_TOKENS_LIMIT = 50_000
 _SLACK = 1e-9
 
@@ -38,6 +45,8 @@ class Tuning:
     pairs_per_set: int = 64  # and per set
     signature_rows_max: int = 8_192  # sets in one signature inside a batch
     heavy_rows_min: int = 50_000  # articles that make a key worth special care
+    local_edges: int = 2_000_000  # pairs of one component that a task walks through
+    hash_bits: int = 64  # of token and signature hashes
 
 
 @dataclass
@@ -45,13 +54,14 @@ class SetIndex:
     """Distinct token sets of a feed, their token hashes ordered from rare to frequent."""
 
     sets: DataFrame  # block, set_key, seq, copies
-    ordered: DataFrame  # seq, block, n, marks, doubled
+    ordered: DataFrame  # seq, block, n, marks, map0 .. map3
     threshold: float
     rows: int  # distinct sets
     articles: int  # headlines in those sets
     tuning: Tuning
-    crowded: list[DataFrame] = field(default_factory=list)  # per depth: sig, rows
+    crowded: list[DataFrame] = field(default_factory=list)  # per depth: sig, rows, refine
     pairs: float | None = None  # sets that meet in all signatures, where none is crowded
+    closed: bool = False  # the deepest signatures found are not refined further
     faithful: bool = True  # no two tokens share a hash
 
 
@@ -70,6 +80,40 @@ def token_sets(articles: DataFrame, block: Column | None = None) -> DataFrame:
     )
 
 
+def _hash(tuning: Tuning, *columns) -> Column:
+    whole = F.xxhash64(*columns)
+    if tuning.hash_bits >= 64:
+        return whole
+    return whole.bitwiseAND(F.lit((1 << tuning.hash_bits) - 1).cast("long"))
+
+
+#: Columns of the bits that the tokens of a set flip.
+_MAPS = [f"map{i}" for i in range(4)]
+
+
+def _flipped(quarter: int) -> Column:
+    """One of the four parts of a set's bits; the top bits of a token's hash choose the part."""
+    mark = F.col("mark")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), mark.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    here = F.shiftrightunsigned(mark, 62) == quarter
+    return F.bit_xor(F.when(here, bit).otherwise(F.lit(0).cast("long"))).alias(f"map{quarter}")
+
+
+def _with_frequency(marks: DataFrame, counted: DataFrame, floor: float) -> DataFrame:
+    """`marks` with `df`, over how many sets hold their hash.
+
+    Fewer than FREQUENT_TOKENS_LIMIT hashes are above the floor: those are broadcast. The others
+    are not frequent, so none of them is a hot key of the join that finds theirs.
+    """
+    frequent = counted.where(F.col("df") > floor).select("mark", F.col("df").alias("_often"))
+    rare = counted.where(F.col("df") <= floor).select(F.col("mark").alias("_mark"), "df")
+    met = marks.join(F.broadcast(frequent), "mark", "left")
+    # Rows that have theirs already go to partitions of their own choice.
+    key = F.when(F.col("_often").isNull(), F.col("mark")).otherwise(F.xxhash64("seq", "mark"))
+    met = met.withColumn("_key", key).join(rare, F.col("_key") == F.col("_mark"), "left")
+    return met.select("seq", "block", "mark", F.coalesce("_often", "df").alias("df"))
+
+
 def build_index(
     articles: DataFrame,
     threshold: float,
@@ -88,47 +132,42 @@ def build_index(
         F.sum(F.size(F.split("set_key", SEPARATOR))).alias("tokens"),
         F.sum("copies").alias("articles"),
     )
-    marks = sets.select(
-        "seq", "block", F.explode(F.split("set_key", SEPARATOR)).alias("token")
-    ).select("seq", "block", "token", F.xxhash64("token").alias("mark"))
-    counted = marks.groupBy("mark").agg(
-        F.count(F.lit(1)).alias("df"), F.min("token").alias("_min"), F.max("token").alias("_max")
-    )
-    # Fewer than FREQUENT_TOKENS_LIMIT tokens can be this frequent: safe to broadcast.
-    floor = (seen["tokens"] or 0) / FREQUENT_TOKENS_LIMIT
+    tokens = sets.select("seq", "block", F.explode(F.split("set_key", SEPARATOR)).alias("token"))
+    marks = tokens.withColumn("mark", _hash(tuning, "token"))
     shared = Observation()
-    frequent, _ = materialize(
-        counted.observe(shared, F.count_if(F.col("_min") != F.col("_max")).alias("hashes"))
-        .where(F.col("df") > floor)
+    counted, _ = materialize(
+        marks.groupBy("mark")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("token").alias("_min"), F.max("token").alias("_max"))
+        .observe(shared, F.count_if(F.col("_min") != F.col("_max")).alias("hashes"))
         .select("mark", "df"),
-        "frequent",
-    )
-    by_rarity = F.array_sort(
-        F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("mark")))
+        "token-counts",
     )
+    floor = (seen["tokens"] or 0) / FREQUENT_TOKENS_LIMIT
+    by_rarity = F.array_sort(F.collect_list(F.struct("df", "mark")))
     ordered, _ = materialize(
-        marks.join(F.broadcast(frequent), "mark", "left")
+        _with_frequency(marks.drop("token"), counted, floor)
         .groupBy("seq", "block")
-        .agg(by_rarity.alias("_pairs"))
+        .agg(by_rarity.alias("_pairs"), *[_flipped(i) for i in range(4)])
         .select(
             "seq",
             "block",
             F.size("_pairs").alias("n"),
             F.transform("_pairs", lambda pair: pair["mark"]).alias("marks"),
-        )
-        .withColumn("doubled", F.col("n") - F.size(F.array_distinct("marks"))),
+            *_MAPS,
+        ),
         "ordered",
     )
     index = SetIndex(
         sets, ordered, threshold, seen["rows"], seen["articles"] or 0, tuning
     )
     index.faithful = not shared.get["hashes"]
-    while len(index.crowded) < tuning.max_depth:
+    while not index.closed:
         table, found, pairs = _find_crowded(index)
-        if not found:
+        if not found["rows"]:
             index.pairs = pairs if not index.crowded else None
             break
         index.crowded.append(table)
+        index.closed = not found["refined"] or len(index.crowded) == tuning.max_depth
     return index
 
 
@@ -137,57 +176,73 @@ def _least_overlap(threshold: float) -> Column:
     return F.ceil(threshold * F.col("n") - _SLACK).cast("int")
 
 
+#: What an entry has besides its signature: all of fixed size.
+_ENTRY = ["seq", "n", *_MAPS]
+
+
 def _first_level(index: SetIndex, sets: DataFrame) -> DataFrame:
     prefix = F.col("n") - F.greatest(_least_overlap(index.threshold), F.lit(1)) + 1
     return sets.select(
-        "*", F.posexplode(F.slice("marks", F.lit(1), prefix)).alias("_at", "_mark")
+        "block", *_ENTRY, F.posexplode(F.slice("marks", F.lit(1), prefix)).alias("_at", "_mark")
     ).select(
-        *_SET,
-        F.xxhash64("block", "_mark").alias("sig"),
+        *_ENTRY,
+        _hash(index.tuning, "block", "_mark").alias("sig"),
         (F.col("_at") + 1).alias("pos"),
     )
 
 
-_SET = ["seq", "n", "marks", "doubled"]
+def _reach(index: SetIndex, depth: int) -> Column:
+    """The last place of the next token of a signature of `depth` tokens."""
+    return F.col("n") - F.greatest(_least_overlap(index.threshold), F.lit(depth + 1)) + depth + 1
 
 
 def _refine(index: SetIndex, entries: DataFrame, depth: int) -> DataFrame:
-    """Signatures of `depth + 1` tokens from those of `depth`."""
-    reach = F.col("n") - F.greatest(_least_overlap(index.threshold), F.lit(depth + 1)) + depth + 1
-    following = F.slice("marks", F.col("pos") + 1, F.greatest(reach - F.col("pos"), F.lit(0)))
-    return entries.select("*", F.posexplode(following).alias("_at", "_mark")).select(
-        *_SET,
-        F.xxhash64("sig", "_mark").alias("sig"),
+    """Signatures of `depth + 1` tokens from those of `depth`; a set's tokens are fetched once."""
+    held = entries.groupBy("seq").agg(F.collect_list(F.struct("sig", "pos")).alias("_held"))
+    opened = index.ordered.join(held, "seq").select(
+        *_ENTRY, "marks", F.inline("_held")
+    )
+    following = F.slice(
+        "marks", F.col("pos") + 1, F.greatest(_reach(index, depth) - F.col("pos"), F.lit(0))
+    )
+    return opened.select(*_ENTRY, "sig", "pos", F.posexplode(following).alias("_at", "_mark")).select(
+        *_ENTRY,
+        _hash(index.tuning, "sig", "_mark").alias("sig"),
         (F.col("pos") + F.col("_at") + 1).alias("pos"),
     )
 
 
-def _find_crowded(index: SetIndex) -> tuple[DataFrame, int, float]:
+def _find_crowded(index: SetIndex) -> tuple[DataFrame, dict, float]:
     """Signatures at the next depth that too many sets hold.
 
-    Also their number, and the pairs of sets that meet in all signatures.
+    Also how many they are and how many of them are refined, and the pairs of sets that meet in all
+    signatures. One is refined where that makes fewer entries than the pairs it would bring together.
     """
     level = _first_level(index, index.ordered)
     for depth, table in enumerate(index.crowded, start=1):
-        level = _refine(index, level.join(table, "sig", "left_semi"), depth)
-    counted = level.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"))
+        refined = table.where("refine")
+        level = _refine(index, level.join(refined, "sig", "left_semi"), depth)
+    depth = len(index.crowded) + 1
+    more = F.greatest(_reach(index, depth) - F.col("pos"), F.lit(0)).cast("long")
+    counted = level.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.sum(more).alias("_more"))
     seen = Observation()
     rows = F.col("rows").cast("double")
+    pairs = rows * (rows - 1) / 2
     table, found = materialize(
-        counted.observe(seen, F.sum(rows * (rows - 1) / 2).alias("pairs")).where(
-            F.col("rows") > index.tuning.crowded
-        ),
-        f"crowded{len(index.crowded) + 1}",
+        counted.observe(seen, F.sum(pairs).alias("pairs"))
+        .where(F.col("rows") > index.tuning.crowded)
+        .select("sig", "rows", (pairs > F.col("_more")).alias("refine")),
+        f"crowded{depth}",
+        F.count_if(F.col("refine")).alias("refined"),
     )
-    return table, found["rows"], seen.get["pairs"] or 0.0
+    return table, found, seen.get["pairs"] or 0.0
 
 
 def signatures(index: SetIndex, sets: DataFrame) -> DataFrame:
     """Final signatures of `sets` (rows of index.ordered).
 
-    Columns: seq, n, doubled, sig, depth, pos (of the last signature token),
-    rest (hashes of the tokens after it), own and want (sizes, for pairs that
-    share nothing but the signature; else 0) and fan (over how many tasks a
+    Columns: seq, n, map0 .. map3, sig, depth, pos (of the last signature token), own and want
+    (sizes, for pairs that share nothing but the signature; else 0) and fan (over how many tasks a
     crowded signature is spread). Similar sets meet at their first common tokens.
     """
     none, salt = F.lit(0), index.tuning.rows_per_salt
@@ -195,11 +250,12 @@ def signatures(index: SetIndex, sets: DataFrame) -> DataFrame:
     done = []
     for depth, table in enumerate(index.crowded, start=1):
         marked = level.join(table, "sig", "left")
-        if depth == index.tuning.max_depth:
+        if index.closed and depth == len(index.crowded):
             done.append(_final(marked, depth, none, none, salt))
             return _union(done)
-        done.append(_final(marked.where(F.col("rows").isNull()), depth, none, none, salt))
-        full = marked.where(F.col("rows").isNotNull())
+        refine = F.coalesce("refine", F.lit(False))
+        done.append(_final(marked.where(~refine), depth, none, none, salt))
+        full = marked.where(refine)
         done.append(_exact_overlap(index, full, depth))
         level = _refine(index, full, depth)
     rest = level.withColumn("rows", F.lit(None).cast("long"))
@@ -224,13 +280,10 @@ def _exact_overlap(index: SetIndex, crowded: DataFrame, depth: int) -> DataFrame
 
 def _final(entries: DataFrame, depth: int, own: Column, want: Column, salt: int) -> DataFrame:
     return entries.select(
-        "seq",
-        "n",
-        "doubled",
+        *_ENTRY,
         "sig",
         F.lit(depth).alias("depth"),
         "pos",
-        F.slice("marks", F.col("pos") + 1, F.col("n")).alias("rest"),
         own.alias("own"),
         want.alias("want"),
         F.ceil(F.coalesce(F.col("rows"), F.lit(1)) / salt).cast("int").alias("fan"),
@@ -247,12 +300,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def similar_pairs(
     index: SetIndex, low: DataFrame, high: DataFrame, salted: bool = False
 ) -> DataFrame:
-    """Pairs (lo, hi) of `seq` with lo < hi and similarity >= threshold.
+    """Distinct pairs (lo, hi) of `seq` with lo < hi and similarity >= threshold.
 
-    A pair comes up once for every signature that proves it. `low` and `high`
-    are signatures of the two sides. With `salted`, rows of a crowded
-    signature on the high side are spread over tasks and the low side is
-    copied to each of them.
+    `low` and `high` are signatures of the two sides. With `salted`, rows of a crowded signature
+    on the high side are spread over tasks and the low side is copied to each of them.
     """
     t = index.threshold
     if salted:
@@ -265,16 +316,13 @@ def similar_pairs(
     smaller, larger = F.least("lo_n", "hi_n"), F.greatest("lo_n", "hi_n")
     both = F.col("lo_n") + F.col("hi_n")
     needed = t / (1 + t) * both - _SLACK
-    surely = F.col("lo_depth") + F.col("lo_doubled") + F.col("hi_doubled")
-    reachable = surely + F.least(F.col("lo_n") - F.col("lo_pos"), F.col("hi_n") - F.col("hi_pos"))
-    overlap_after = F.size(F.array_intersect("lo_rest", "hi_rest"))
-    overlap = F.col("lo_depth") + overlap_after
-    # The division decides; only pairs within rounding of the bound get there in vain.
-    # It belongs to the join: a filter after it would be tried first, on every candidate.
-    decided = (overlap / (both - overlap) >= t) if index.faithful else F.lit(True)
+    reachable = F.col("lo_depth") + F.least(F.col("lo_n") - F.col("lo_pos"), F.col("hi_n") - F.col("hi_pos"))
+    apart = F.lit(0)
+    for name in _MAPS:
+        apart = apart + F.bit_count(F.col(f"lo_{name}").bitwiseXOR(F.col(f"hi_{name}")))
     # A sort-merge join spills where a signature is crowded and, unlike a
     # broadcast of one side, spreads the comparisons over all tasks.
-    candidates = lo.hint("merge").join(
+    met = lo.hint("merge").join(
         hi,
         (F.col("lo_sig") == F.col("hi_sig"))
         & (F.col("lo_own") == F.col("hi_want"))
@@ -284,23 +332,30 @@ def similar_pairs(
         & (F.col("lo_seq") < F.col("hi_seq"))
         & (t * larger <= smaller + _SLACK)
         & (reachable >= needed)
-        & (surely + overlap_after >= needed)
-        & decided,
+        & (both - apart >= 2 * needed),
     )
-    named = [F.col("lo_seq").alias("lo"), F.col("hi_seq").alias("hi")]
-    if not index.faithful:
-        return _verified(index, candidates.select(*named).distinct())
-    return candidates.select(*named)
+    pairs = met.select(F.col("lo_seq").alias("lo"), F.col("hi_seq").alias("hi")).distinct()
+    return _decided(index, pairs)
 
 
-def _verified(index: SetIndex, pairs: DataFrame) -> DataFrame:
-    side = index.sets.select("seq", "block", "set_key")
+def _decided(index: SetIndex, pairs: DataFrame) -> DataFrame:
+    """The pairs that are similar, by their sets: of hashes, or of tokens where hashes are shared."""
+    if index.faithful:
+        side = index.ordered.select("seq", "block", F.col("marks").alias("tokens"))
+        similarity = jaccard(F.col("lo_tokens"), F.col("hi_tokens"))
+    else:
+        side = index.sets.select("seq", "block", F.col("set_key").alias("tokens"))
+        similarity = jaccard(F.split("lo_tokens", SEPARATOR), F.split("hi_tokens", SEPARATOR))
     lo = side.select([F.col(c).alias(f"lo_{c}") for c in side.columns])
     hi = side.select([F.col(c).alias(f"hi_{c}") for c in side.columns])
-    similarity = jaccard(F.split("lo_set_key", SEPARATOR), F.split("hi_set_key", SEPARATOR))
+    # The comparison belongs to the join: a filter after it would compute it twice.
     return (
         pairs.join(lo, F.col("lo") == F.col("lo_seq"))
-        .join(hi, F.col("hi") == F.col("hi_seq"))
-        .where((F.col("lo_block") == F.col("hi_block")) & (similarity >= index.threshold))
+        .join(
+            hi,
+            (F.col("hi") == F.col("hi_seq"))
+            & (F.col("lo_block") == F.col("hi_block"))
+            & (similarity >= index.threshold),
+        )
         .select("lo", "hi")
     )
