@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -144,3 +145,101 @@ def test_markup_like_the_standard_parser(spark):
         parser.feed(row)
         parser.close()
         assert got[i] == " ".join(" ".join(parser.parts).split()), row
+
+
+def plain_clean(source):
+    """A forward scan in plain Python."""
+    out, i, low = [], 0, source.lower()
+    letter = "abcdefghijklmnopqrstuvwxyz"
+
+    def raw_at(i):
+        for name in ("script", "style"):
+            m = re.compile(rf"<{name}\b[^>]*>", re.I).match(source, i)
+            if m:
+                end = re.compile(rf"</{name}[^>]*>", re.I).search(source, m.end())
+                if end:
+                    return source[m.end():end.start()], end.end()
+        return None
+
+    def quoted_end(i):
+        j = i + 2 if low[i + 1 : i + 2] == "/" else i + 1
+        if low[j : j + 1] not in letter or j >= len(low):
+            return None
+        while j < len(source):
+            if source[j] == ">":
+                return j + 1
+            if source[j] in "\"'":
+                k = source.find(source[j], j + 1)
+                if k < 0:
+                    return None
+                j = k
+            j += 1
+        return None
+
+    while i < len(source):
+        if source[i] != "<":
+            k = source.find("<", i)
+            k = len(source) if k < 0 else k
+            out.append(html.unescape(source[i:k]))
+            i = k
+            continue
+        end = source.find("-->", i + 4) if source.startswith("<!--", i) else -1
+        raw = raw_at(i)
+        if end >= 0:
+            i = end + 3
+        elif raw:
+            out.append(raw[0])
+            i = raw[1]
+        elif quoted_end(i):
+            i = quoted_end(i)
+        elif low[i + 1 : i + 2] and low[i + 1] in letter + "/!?":
+            k = source.find(">", i)
+            i = len(source) if k < 0 else k + 1
+        else:
+            out.append("<")
+            i += 1
+    return " ".join(" ".join(out).split())
+
+
+def test_random_markup_like_a_forward_scan(spark):
+    draw = random.Random(19)
+    bits = ["<", ">", "/", "!", "--", "a", "b ", "\"", "'", "<!--", "-->", "<script>", "</script>", "<script ",
+            "</script", "<style x>", "</style>", "<a href=", "</p>", " ", "x=", "<b>", "&amp;", "é"]
+    rows = ["".join(draw.choices(bits, k=draw.randint(1, 40))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").repartition(8)
+    got = {r[0]: r[1] for r in df.select("i", text.clean_html(F.col("t"))).collect()}
+    for i, row in enumerate(rows):
+        assert got[i] == plain_clean(row), row
+
+
+def test_what_is_left_open_is_read_once(spark):
+    """A megabyte of openings without an end; a search from each would take minutes."""
+    n = 1_000_000
+    bits = ["<script>", "<script ", "<!--", "<style>x", '<a ">"', "<a '\">'", "<a \"", "</script", "<"]
+    rows = [bit * (n // len(bit)) for bit in bits]
+    rows += ["<script " * 60_000 + "</script>" + "y" * 500_000, "<!--" * 200_000 + "-->" + "z<!--" * 50_000]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").repartition(8)
+    start = time.monotonic()
+    got = df.select("i", F.char_length(text.clean_html(F.col("t")))).collect()
+    assert len(got) == len(rows) and time.monotonic() - start < 60
+
+
+def test_references_like_the_standard_decoder(spark):
+    from html.entities import html5
+
+    names = sorted(html5)
+    samples = [f"x&{n} y" for n in names[::7]] + [f"&{n.rstrip(';')}zz;" for n in names[::11]]
+    samples += [f"&#{n};" for n in [*range(0, 300), 0xD7FF, 0xD800, 0xFDD0, 0xFFFE, 0x1F642, 0x10FFFF, 0x110000]]
+    samples += [f"a&#x{n:X}b" for n in (0x41, 0x80, 0x1FFFF, 0xE000)] + ["&#x;", "&#;", "&#0000000065;", "&#99999999999999999999;",
+                "&#xFFFFFFFFFFFFFFFFFFFFF", "&&amp&lt", "&notin;&notit;&no;", "&" * 50, "&" + "q" * 50 + ";", "&#65 &#x42"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    for s, v in df.select("s", text.decode_entities(F.col("s"))).collect():
+        assert v == html.unescape(s), s
+
+
+def test_normalising_needs_no_python(spark):
+    from wiregrid.operators.normalize import normalize
+
+    raw = spark.createDataFrame([("A", 0, "{}", 0)], "ticker string, batch_pos int, raw_json string, seq long")
+    plan = normalize(raw).articles._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import unicodedata
 from collections.abc import Callable
 
@@ -11,28 +10,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from wiregrid.functions.references import decode_references
+
 # Character classes for "space" and "word character" over all of Unicode.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 
-# One alternative per kind of HTML lexeme; the last two are text. The repeated group of quoted
-# attributes is possessive: a greedy one recurses once per attribute.
+# Noncharacters that stand for characters of a text with markup while it is read: "&" inside script
+# text, which holds no entities; and "<" where it opens a tag whose quotes lead to no end (NO_QUOTES),
+# a comment, script or style without an end (NO_BODY), or both.
+_SHIELD, _NO_QUOTES, _NO_BODY, _NEITHER = "﷐", "﷑", "﷒", "﷓"
+_OPEN = f"[<{_NO_QUOTES}{_NO_BODY}{_NEITHER}]"
+_BODY = f"[<{_NO_QUOTES}]"  # may open what has a body
+_QUOTING = f"[<{_NO_BODY}]"  # may open a tag with quotes
+
+# The repeated group of quoted attributes is possessive: a greedy one recurses once per attribute.
+_TAG = _QUOTING + r"""/?[a-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
+# One alternative per kind of HTML lexeme; the last two are text.
 _LEXEME = "|".join(
     [
-        r"<!--.*?-->",
-        r"<script\b[^>]*>.*?</script[^>]*>",
-        r"<style\b[^>]*>.*?</style[^>]*>",
-        r"""</?[a-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""",
-        r"<[/a-z!?][^>]*>",
-        r"<[/a-z!?][^>]*\z",
-        r"[^<]+",
-        r"<",
+        _BODY + r"!--.*?-->",
+        _BODY + r"script\b[^>]*>.*?" + _BODY + r"/script[^>]*>",
+        _BODY + r"style\b[^>]*>.*?" + _BODY + r"/style[^>]*>",
+        _TAG,
+        _OPEN + r"[/a-z!?][^>]*>",
+        _OPEN + r"[/a-z!?][^>]*\z",
+        f"[^{_OPEN[1:-1]}]+",
+        _OPEN,
     ]
 )
 HTML_LEXEME = f"(?is){_LEXEME}"
-RAW_TEXT_OPEN = r"(?is)^<(?:script|style)\b[^>]*>"
-RAW_TEXT_EDGES = r"(?is)^<(?:script|style)\b[^>]*>|</(?:script|style)[^>]*>\z"
-MARKUP_OPEN = r"(?is)^<[/a-z!?]"
+RAW_TEXT_OPEN = rf"(?is)^{_BODY}(?:script|style)\b[^>]*>"
+RAW_TEXT = rf"(?is)^{_BODY}(script|style)\b[^>]*>(.*?){_BODY}/\1[^>]*>\z"
+MARKUP_OPEN = rf"(?is)^{_OPEN}[/a-z!?]"
+# From the start over whole tags to the first one whose quotes lead to no end.
+_WALK = rf"(?is)^(?:[^{_QUOTING[1:-1]}]++|{_TAG}|{_QUOTING}(?!/?[a-z]))*+"
+_QUOTED = r"""(?s)"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^"']++"""
 
 # Entities decoded without leaving the JVM, in order; "amp" must stay last.
 ENTITIES = {
@@ -58,9 +71,6 @@ ENTITIES = {
 }
 _OTHER_ENTITY = "&(?!(?:" + "|".join(ENTITIES) + ");)[#a-zA-Z]"
 
-# A Unicode noncharacter stands for "&" inside script text, which holds no entities.
-_SHIELD = "\ufdd0"
-
 
 def collapse_spaces(text: Column) -> Column:
     """Every run of whitespace becomes one space; none at either end."""
@@ -101,13 +111,6 @@ def text_similarity(left: Column, right: Column) -> Column:
     return jaccard(word_set(left), word_set(right))
 
 
-def _decode_any_entity(text: Column) -> Column:
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
-
-    return F.pandas_udf(decode, StringType())(text)
-
-
 def _ascii_fold(text: Column) -> Column:
     def fold(values: pd.Series) -> pd.Series:
         return values.map(
@@ -133,21 +136,94 @@ def _decode_common(text: Column) -> Column:
 def decode_entities(text: Column, source: Column | None = None) -> Column:
     """Entity references to characters.
 
-    The common names stay in the JVM. Only texts whose `source` (by default
-    the text itself) holds some other reference travel to Python; the rest
-    send a null.
+    Texts whose `source` (by default the text itself) holds common names only are decoded by plain
+    replacements, others reference by reference.
     """
     unusual = (text if source is None else source).rlike(_OTHER_ENTITY)
-    decoded = _decode_any_entity(F.when(unusual, text))
-    return F.when(unusual, decoded).otherwise(_bind(text, _decode_common))
+    return F.when(unusual, _bind(text, decode_references)).otherwise(_bind(text, _decode_common))
+
+
+def _after(text: Column, kept: Column, change: Callable[[Column], Column]) -> Column:
+    """`text` with what comes after its first `kept` characters changed."""
+    return _bind(
+        kept,
+        lambda k: F.concat(F.left(text, k), change(F.substring(text, k + 1, F.char_length(text)))),
+    )
+
+
+def _raw_marker(name: str) -> Callable[[Column], Column]:
+    opening = rf"(?i)<(?={name}\b)"
+
+    def marked(t: Column) -> Column:
+        closing = F.regexp_extract(t, r"(?s)^.*>", 0)
+        before = F.regexp_extract(closing, rf"(?is)^(.*)</{name}[^>]*>", 1)
+        # The opening's own ">" must come before the last closing.
+        kept = F.char_length(F.regexp_extract(before, r"(?s)^.*>", 0))
+        return _after(t, kept, lambda rest: F.regexp_replace(rest, opening, _NO_BODY))
+
+    return marked
+
+
+def _mark_endless(text: Column) -> Column:
+    """Openings of comments, scripts and styles that nothing after them closes, marked.
+
+    Whether one is closed follows from the last place of what closes it, found once per text; a
+    search from each opening would read on to the end every time.
+    """
+    marked = text
+    for name in ("script", "style"):
+        with_raw = _bind(marked, _raw_marker(name))
+        marked = F.when(text.rlike(rf"(?i)<{name}\b"), with_raw).otherwise(marked)
+
+    def marked_comments(t: Column) -> Column:
+        last = F.char_length(F.regexp_extract(t, r"(?s)^(.*)-->", 1))
+        kept = F.when(t.contains("-->"), F.greatest(last - 3, F.lit(0))).otherwise(F.lit(0))
+        return _after(t, kept, lambda rest: F.regexp_replace(rest, "<(?=!--)", _NO_BODY))
+
+    return F.when(text.contains("<!--"), _bind(marked, marked_comments)).otherwise(marked)
+
+
+def _mark_unquotable(text: Column, rounds: int = 3) -> Column:
+    """Openings of tags whose quotes lead to no end, marked.
+
+    A quote swaps two of the states "outside", "in double quotes" and "in single quotes", so readings
+    that start in different states never meet: at most three have no end. One round marks every
+    opening that lies outside the quotes of one such reading.
+    """
+    if not rounds:
+        return text
+
+    def marked(t: Column) -> Column:
+        def outside(rest: Column) -> Column:
+            parts = F.regexp_extract_all(rest, F.lit(_QUOTED), F.lit(0))
+            shown = F.transform(
+                parts,
+                lambda part: F.when(part.rlike("^[\"']"), part).otherwise(
+                    F.translate(part, f"<{_NO_BODY}", f"{_NO_QUOTES}{_NEITHER}")
+                ),
+            )
+            return F.array_join(shown, "")
+
+        walked = F.char_length(F.regexp_extract(t, _WALK, 0))
+        return _bind(
+            walked,
+            lambda k: F.when(k >= F.char_length(t), t).otherwise(
+                _mark_unquotable(_after(t, k, outside), rounds - 1)
+            ),
+        )
+
+    return _bind(text, marked)
 
 
 def strip_markup(text: Column, drop_script: bool = False) -> Column:
-    """Text nodes joined by a space, entities still encoded, script text kept by default."""
+    """Text nodes joined by a space, entities still encoded, script text kept by default.
+
+    The time is in proportion to the text, whatever is left open in it.
+    """
 
     def visible(lexeme: Column) -> Column:
         raw = F.lit("") if drop_script else F.replace(
-            F.regexp_replace(lexeme, RAW_TEXT_EDGES, ""), F.lit("&"), F.lit(_SHIELD)
+            F.regexp_extract(lexeme, RAW_TEXT, 2), F.lit("&"), F.lit(_SHIELD)
         )
         return (
             F.when(lexeme.rlike(RAW_TEXT_OPEN), raw)
@@ -155,9 +231,13 @@ def strip_markup(text: Column, drop_script: bool = False) -> Column:
             .otherwise(lexeme)
         )
 
-    lexemes = F.regexp_extract_all(text, F.lit(HTML_LEXEME), F.lit(0))
-    joined = F.array_join(F.transform(lexemes, visible), " ")
-    return F.when(text.contains("<"), joined).otherwise(text)
+    def read(marked: Column) -> Column:
+        lexemes = F.regexp_extract_all(marked, F.lit(HTML_LEXEME), F.lit(0))
+        joined = F.array_join(F.transform(lexemes, visible), " ")
+        return F.translate(joined, f"{_NO_QUOTES}{_NO_BODY}{_NEITHER}", "<<<")
+
+    shown = _bind(_mark_unquotable(_mark_endless(text)), read)
+    return F.when(text.contains("<"), shown).otherwise(text)
 
 
 def clean_html(text: Column, drop_script: bool = False) -> Column:
