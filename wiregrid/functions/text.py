@@ -139,8 +139,11 @@ def decode_entities(text: Column, source: Column | None = None) -> Column:
     Texts whose `source` (by default the text itself) holds common names only are decoded by plain
     replacements, others reference by reference.
     """
-    unusual = (text if source is None else source).rlike(_OTHER_ENTITY)
-    return F.when(unusual, _bind(text, decode_references)).otherwise(_bind(text, _decode_common))
+    def decoded(value: Column) -> Column:
+        unusual = (value if source is None else source).rlike(_OTHER_ENTITY)
+        return F.when(unusual, decode_references(value)).otherwise(_decode_common(value))
+
+    return _bind(text, decoded)
 
 
 def _after(text: Column, kept: Column, change: Callable[[Column], Column]) -> Column:
@@ -159,7 +162,8 @@ def _raw_marker(name: str) -> Callable[[Column], Column]:
         before = F.regexp_extract(closing, rf"(?is)^(.*)</{name}[^>]*>", 1)
         # The opening's own ">" must come before the last closing.
         kept = F.char_length(F.regexp_extract(before, r"(?s)^.*>", 0))
-        return _after(t, kept, lambda rest: F.regexp_replace(rest, opening, _NO_BODY))
+        changed = _after(t, kept, lambda rest: F.regexp_replace(rest, opening, _NO_BODY))
+        return F.when(t.rlike(opening), changed).otherwise(t)
 
     return marked
 
@@ -172,15 +176,15 @@ def _mark_endless(text: Column) -> Column:
     """
     marked = text
     for name in ("script", "style"):
-        with_raw = _bind(marked, _raw_marker(name))
-        marked = F.when(text.rlike(rf"(?i)<{name}\b"), with_raw).otherwise(marked)
+        marked = _bind(marked, _raw_marker(name))
 
     def marked_comments(t: Column) -> Column:
         last = F.char_length(F.regexp_extract(t, r"(?s)^(.*)-->", 1))
         kept = F.when(t.contains("-->"), F.greatest(last - 3, F.lit(0))).otherwise(F.lit(0))
-        return _after(t, kept, lambda rest: F.regexp_replace(rest, "<(?=!--)", _NO_BODY))
+        changed = _after(t, kept, lambda rest: F.regexp_replace(rest, "<(?=!--)", _NO_BODY))
+        return F.when(t.contains("<!--"), changed).otherwise(t)
 
-    return F.when(text.contains("<!--"), _bind(marked, marked_comments)).otherwise(marked)
+    return _bind(marked, marked_comments)
 
 
 def _mark_unquotable(text: Column, rounds: int = 3) -> Column:
