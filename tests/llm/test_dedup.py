@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tests.llm import brute
 from wiregrid.llm import debruijn, exact_radix, minhash_fss, suffix_bcr
 from wiregrid.llm.anchors import Cut
-from wiregrid.llm.common import components
+from wiregrid.llm.common import Words, components
 
 
 def pairs(df):
@@ -175,3 +175,27 @@ def test_word_repeats_in_many_parts(nulls, cut):
 def test_repeats_of_nothing(empty):
     assert suffix_bcr.cut_repeats(empty).count() == 0
     assert debruijn.cut_repeats(empty).count() == 0
+
+
+def thue_morse(n):
+    """Two words of n letters that every polynomial hash modulo 2**64 takes for one another."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in ones), "".join("ba"[b] for b in ones)
+
+
+def test_word_hashes_follow_places_not_a_polynomial():
+    left, right = thue_morse(4096)
+    odd = ["ab", "ba", "abba", "baab", "aab", "a", "b", "aa", left, right, left[:1024], right[:1024]]
+    words = Words([" ".join(odd).encode(), b"", " ".join(odd).encode()])
+    assert len(set(words.hash[: len(odd)].tolist())) == len(odd)
+    assert np.array_equal(words.hash[: len(odd)], words.hash[len(odd) :])
+
+
+def test_words_of_one_polynomial_hash_are_different_words(spark):
+    left, right = thue_morse(1024)
+    before, after = [f"u{i}" for i in range(30)], [f"v{i}" for i in range(30)]
+    rows = [(1, " ".join([*before, left, *after])), (2, " ".join([*before, right, *after])), (3, left), (4, right)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in debruijn.cut_repeats(made).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    found = minhash_fss.near_components(made.where("doc_id > 2"), minhash_fss.Near(width=2))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {3: 3, 4: 4}

@@ -135,6 +135,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+_SYMBOL, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 class Words:
     """The words of a few texts: bytes, first and end place, text number and a 64-bit hash each."""
 
@@ -150,13 +153,17 @@ class Words:
         self.offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
         self.first = np.searchsorted(self.starts, self.offsets)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        length = (self.ends - self.starts).astype(np.uint64)
-        self.hash = mix(
-            (sums[self.ends] - sums[self.starts]) * down[self.starts] + length * np.uint64(_BASE)
-        )
+        # A sum of mixed (byte, place in the word) pairs. Mixing each of them breaks the algebra by
+        # which a polynomial modulo 2**64 has equal values for whole families of texts.
+        length = self.ends - self.starts
+        inside = np.flatnonzero(~space[1:-1])
+        place = np.arange(len(inside)) - np.repeat(np.cumsum(length) - length, length)
+        pairs = (data[inside].astype(np.uint64) + np.uint64(1)) * _SYMBOL
+        pairs += (place.astype(np.uint64) + np.uint64(1)) * _PLACE
+        sums = np.zeros(len(inside) + 1, np.uint64)
+        np.cumsum(mix(pairs), out=sums[1:])
+        upto = np.concatenate(([0], np.cumsum(length)))
+        self.hash = mix(sums[upto[1:]] - sums[upto[:-1]] + length.astype(np.uint64) * _SYMBOL)
 
 
 def batches_of(rows: Iterator, column: str) -> Iterator[tuple]:
