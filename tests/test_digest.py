@@ -2,8 +2,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from wiregrid.operators import digest, keyed, ledger
+from wiregrid.operators import digest, keyed, ledger, watchlists
 from wiregrid.operators.rank import rank_in_group
+from wiregrid.operators.score import python_scorer
 from wiregrid.operators.summaries import summarize
 from wiregrid.plans.daily import DailyRun, load_all
 from wiregrid.sources import tables
@@ -176,7 +177,10 @@ def test_daily_run_end_to_end(spark, tmp_path):
     ))
     assert [r["decision"] for r in run.decide().collect()] == ["skip"]
     assert run.finish() == "success"
-    assert tables.read_appended(spark, store, "run_logs").count() == 4
+    steps = tables.read_appended(spark, store, "run_logs").orderBy("step_order").collect()
+    assert [r["step"] for r in steps] == [
+        "fetch", "normalize", "score", "cluster", "summarize", "compose", "send", "pipeline"
+    ]
     text = tables.read_appended(spark, store, "digest_texts").first()["text_content"]
     assert "--- TSLA ---" in text and "3 articles processed" in text
     tables.write_snapshot(
@@ -191,3 +195,79 @@ def test_daily_run_end_to_end(spark, tmp_path):
     bad = DailyRun(spark, store, watched, as_of, version=2)
     assert not bad.ingest(raw.drop("raw_json"))
     assert bad.finish() == "partial"
+
+
+def test_digests_of_many_watchlists(spark):
+    """Every watchlist's text is the one it would get alone; hot tickers and long lists included."""
+    ctx = context(spark, *[(f"T{i % 6}", (i * 37) % 90, i % 3) for i in range(60)])
+    scores = spark.createDataFrame([(True,), (False,)], "include_in_digest boolean")
+    as_of = F.lit("2024-03-05 07:08:09").cast("timestamp")
+    lists = {"hot": [], **{f"w{i}": ["T0", f"T{i % 6}", f"Q{i % 3}"] for i in range(20)}}
+    lists["long"] = [f"T{i}" for i in range(6)] + [f"Q{i}" for i in range(30)]
+    del lists["hot"]
+    rows = [(name, t, i) for name, tickers in lists.items() for i, t in enumerate(dict.fromkeys(tickers))]
+    rows += [("w1", "T0", 9), (None, "T0", 0), ("w2", None, 0)]
+    entries = spark.createDataFrame(rows, watchlists.ENTRIES)
+    for limit, sizes in ((None, dict(lists_per_salt=3, piece_lines=6, part_pieces=4)), (2, {})):
+        parts = watchlists.digest_texts(ctx, scores, entries, as_of, per_ticker_limit=limit, **sizes)
+        got = {}
+        for r in sorted(parts.collect()):
+            got.setdefault(r.watchlist_id, []).append(r.text)
+        assert sorted(got) == sorted(lists)
+        for name in ("w0", "w1", "w5", "long"):
+            alone = [(t, i) for i, t in enumerate(dict.fromkeys(lists[name]))]
+            sections = digest.digest_sections(ctx, spark.createDataFrame(alone, "ticker string, position int"), limit)
+            lines = digest.digest_lines(
+                digest.top_stories(ctx), sections, digest.digest_metrics(ctx, scores), as_of
+            )
+            assert "\n".join(got[name]) == digest.digest_text(lines).first()["text"], name
+    assert sorted(got["w2"]) and "--- T0 ---" in got["w2"][0]
+    made = watchlists.digest_rows(entries, as_of, 4).collect()
+    assert len(made) == len(lists) == len({r.id for r in made})
+    assert {(r.version, r.status) for r in made} == {(4, "composed")}
+    assert watchlists.digest_texts(ctx, scores, entries.limit(0), as_of).count() == 0
+
+
+def test_each_failure_is_a_step_of_its_own(spark, tmp_path):
+    """A failing scorer leaves clusters and a digest; counters are those of the tables."""
+    watched = spark.createDataFrame([("A", 0)], "ticker string, position int")
+    as_of = datetime(2023, 11, 15, 12, 0, 0)
+    record = '{"headline": "%s", "summary": "s", "source": "s", "url": "%s", "datetime": 1700000000}'
+    rows = [("A", i, record % (f"Alpha beta gamma {i}", f"u{i}")) for i in range(5)] + [("A", 9, "{")]
+    raw = spark.createDataFrame(rows, "ticker string, batch_pos int, raw_json string").withColumn(
+        "fetch_date", F.lit("2023-11-15").cast("date")
+    )
+    calls = spark.sparkContext.accumulator(0)
+
+    def score_one(article):
+        calls.add(1)
+        if article["headline"].endswith("3"):
+            raise ValueError("unusable")
+        return dict(is_relevant=True, relevance_score=0.5, importance_score=50, event_type="legal",
+                    confidence="low", include_in_digest=True, reason="r")
+
+    run = DailyRun(spark, str(tmp_path / "a"), watched, as_of, version=1)
+    assert run.ingest(raw) and run.group(scorer=python_scorer(score_one)) and run.compose()
+    assert calls.value == 5
+    assert run.finish() == "success"
+    log = tables.read_appended(spark, str(tmp_path / "a"), "run_logs").orderBy("step_order").collect()
+    assert [r.step for r in log] == [
+        "fetch", "normalize", "score", "cluster", "summarize", "compose", "pipeline"
+    ]
+    told = {r.step: r.message for r in log}
+    assert "fetched=6" in told["fetch"] and "stored=5 rejected=1" in told["normalize"]
+    assert "scored=4 rejected=1 flagged=4" in told["score"]
+    assert "articles=5 clusters=1" in told["cluster"] and "summaries=1" in told["summarize"]
+    assert run.counters["scored"] == tables.read_appended(spark, str(tmp_path / "a"), "article_scores").count()
+
+    def broken(articles):
+        raise RuntimeError("no scorer")
+
+    run = DailyRun(spark, str(tmp_path / "b"), watched, as_of, version=1)
+    assert run.ingest(raw) and not run.group(scorer=broken) and run.compose()
+    assert tables.read_snapshot(spark, str(tmp_path / "b"), "event_clusters").count() == 1
+    assert tables.read_appended(spark, str(tmp_path / "b"), "digest_runs").count() == 1
+    assert run.finish() == "partial"
+    run = DailyRun(spark, str(tmp_path / "c"), watched, as_of, version=1)
+    lost = raw.withColumn("raw_json", F.raise_error(F.lit("gone")).cast("string"))
+    assert not run.ingest(lost) and run.finish() == "failed"

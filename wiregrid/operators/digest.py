@@ -152,20 +152,36 @@ def _lines(rows: DataFrame, part: int, position: Column, rank: Column, texts: li
     )
 
 
+def _story(mark: Column, with_sources: bool) -> list[Column]:
+    """The lines of a cluster."""
+    lit, none = F.lit, F.lit(None).cast("string")
+    head = F.concat(
+        mark, lit("["), F.upper("event_type"), lit("] "), F.col("representative_headline")
+    )
+    told = F.when(F.col("summary") != "", F.concat(lit("  "), F.col("summary")))
+    many = F.concat(lit("  ("), F.col("article_count").cast("string"), lit(" sources)"))
+    sources = F.when(F.col("article_count") > 1, many) if with_sources else none
+    return [head, F.concat(F.coalesce(told, lit("")), F.coalesce(sources, lit("")))]
+
+
+def ticker_head(ticker: Column) -> Column:
+    return F.concat(F.lit("--- "), ticker, F.lit(" ---"))
+
+
+def note_lines(note: Column) -> list[Column]:
+    return [F.concat(F.lit("  "), note), F.lit("")]
+
+
+def section_story() -> list[Column]:
+    """The lines of a cluster in its ticker's section."""
+    return _story(F.lit("• "), True)
+
+
 def digest_lines(
     top: DataFrame, sections: DataFrame, metrics: DataFrame, as_of: Column
 ) -> DataFrame:
     """Every line of the plain-text digest with its place: part, position, rank, line."""
-    lit, none = F.lit, F.lit(None).cast("string")
-
-    def story(mark: Column, with_sources: bool) -> list[Column]:
-        head = F.concat(
-            mark, lit("["), F.upper("event_type"), lit("] "), F.col("representative_headline")
-        )
-        told = F.when(F.col("summary") != "", F.concat(lit("  "), F.col("summary")))
-        many = F.concat(lit("  ("), F.col("article_count").cast("string"), lit(" sources)"))
-        sources = F.when(F.col("article_count") > 1, many) if with_sources else none
-        return [head, F.concat(F.coalesce(told, lit("")), F.coalesce(sources, lit("")))]
+    lit = F.lit
 
     def metric(label: str, value: Column) -> Column:
         return F.concat(lit(label), value.cast("string"))
@@ -182,15 +198,15 @@ def digest_lines(
     top_head = [F.when(first, lit(text)) for text in (THIN_RULE, "🔥 TOP STORIES", THIN_RULE)]
     stories = _lines(
         top, _TOP, zero, F.col("rank"),
-        top_head + story(F.concat(lit("["), F.col("ticker"), lit("] ")), False),
+        top_head + _story(F.concat(lit("["), F.col("ticker"), lit("] ")), False),
     )
     middle = _lines(
         metrics, _MIDDLE, zero, zero, [lit(RULE), lit("PER-TICKER UPDATES"), lit(RULE)]
     )
-    starts = F.when(F.col("rank") <= 1, F.concat(lit("--- "), F.col("ticker"), lit(" ---")))
+    starts = F.when(F.col("rank") <= 1, ticker_head(F.col("ticker")))
     quiet = F.col("note").isNotNull()
-    told = [F.when(~quiet, text) for text in story(lit("• "), True)]
-    notes = [F.when(quiet, F.concat(lit("  "), F.col("note"))), F.when(quiet, lit(""))]
+    told = [F.when(~quiet, text) for text in section_story()]
+    notes = [F.when(quiet, text) for text in note_lines(F.col("note"))]
     body = _lines(
         sections, _SECTIONS, F.col("position"), F.col("rank"), [starts, *told, *notes]
     )

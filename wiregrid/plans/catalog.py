@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wiregrid.functions import text, times
 from wiregrid.functions.lexicon import EventKeywords, Lexicon
-from wiregrid.operators import checks, digest, keyed, ledger, runlog, score
+from wiregrid.operators import checks, digest, keyed, ledger, runlog, score, watchlists
 from wiregrid.operators.clusters import (
     Clustering,
     cluster_articles,
@@ -439,6 +439,25 @@ def digest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def digest_texts_by_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every customer's watchlist, three clusters per ticker at most."""
+    grouped = _grouped(spark, sf_dir)
+    context, _ = materialize(
+        digest.cluster_context(grouped.clusters, grouped.members, grouped.scores), "context"
+    )
+    entries = derived.customer_watchlists(table(spark, sf_dir, "customer"))
+    return watchlists.digest_texts(
+        context, grouped.scores, entries, _moment(), per_ticker_limit=3
+    )
+
+
+def digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger rows of those digests."""
+    entries = derived.customer_watchlists(table(spark, sf_dir, "customer"))
+    rows = watchlists.digest_rows(entries, _moment(), 7)
+    return _dated(rows).select("id", "version", "run_date", "subject", "status")
+
+
 def compose_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top stories of a digest composed from stored tables alone."""
     root = scratch_dir(spark)
@@ -584,7 +603,7 @@ _QUERIES: list[Query] = [
     clusters_within_ticker,
     part_clusters, turn_clusters, cluster_summaries,
     cluster_context, top_stories, digest_sections, digest_sections_limited, digest_metrics,
-    digest_text, compose_from_tables,
+    digest_text, digest_texts_by_watchlist, digest_rows, compose_from_tables,
     latest_digest, latest_per_date, ledger_state, send_decisions, status_ledger,
     run_summary, run_steps, run_counters, quiet_run_digest,
     slugs, text_functions, time_functions,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wiregrid.functions.lexicon import DEFAULT_LEXICON, Lexicon
@@ -38,7 +38,7 @@ class Digest(NamedTuple):
 
 def group_articles(
     articles: DataFrame,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
     threshold: float = DEFAULT_THRESHOLD,
     block_by: list[str] | None = None,
     scorer: Scorer | None = None,
@@ -86,11 +86,16 @@ class DailyRun:
         self.as_of = F.lit(f"{as_of:%Y-%m-%d %H:%M:%S}").cast("timestamp")
         self._stamp = as_of
         self.steps: list[tuple] = []
+        #: What the steps counted, by name.
+        self.counters: dict[str, int] = {}
 
-    def _step(self, name: str, work: Callable[[], str]) -> bool:
+    def _step(self, name: str, work: Callable[[], dict[str, int]]) -> bool:
+        """Do a step; its row of the run log tells what it counted, or why it failed."""
         start = time.monotonic()
         try:
-            status, message = "ok", work()
+            counted = work()
+            status, message = "ok", " ".join(f"{k}={v}" for k, v in counted.items())
+            self.counters |= counted
         except Exception as exc:  # a failed step is recorded; the caller decides what follows
             status, message = "error", f"{type(exc).__name__}: {exc}"
         took = int((time.monotonic() - start) * 1000)
@@ -100,51 +105,102 @@ class DailyRun:
         return status == "ok"
 
     def ingest(self, raw: DataFrame) -> bool:
-        """Store the new articles of a raw batch (`ticker, fetch_date, batch_pos, raw_json`)."""
+        """Store the new articles of a raw batch (`ticker, fetch_date, batch_pos, raw_json`).
 
-        def work() -> str:
-            articles, rejects = normalize(in_feed_order(raw, self.watchlist), self.as_of)
+        The step "fetch" takes the batch over, "normalize" stores articles and rejects.
+        """
+        taken: dict[str, DataFrame] = {}
+
+        def fetch() -> dict[str, int]:
+            taken["raw"], seen = materialize(raw, "batch")
+            return {"fetched": seen["rows"]}
+
+        def store() -> dict[str, int]:
+            articles, rejects = normalize(in_feed_order(taken["raw"], self.watchlist), self.as_of)
+            stored, refused = Observation(), Observation()
             tables.append_new(
-                articles, self.store, "articles", self.version, "seq", within="published_at"
+                articles, self.store, "articles", self.version, "seq", within="published_at",
+                seen=stored,
+            )
+            tables.append(
+                rejects.observe(refused, F.count(F.lit(1)).alias("rows")),
+                self.store, "article_rejects", self.version,
             )
-            tables.append(rejects, self.store, "article_rejects", self.version)
-            return "articles stored"
+            return {"stored": stored.get["rows"], "rejected": refused.get["rows"]}
 
-        return self._step("normalize", work)
+        return self._step("fetch", fetch) and self._step("normalize", store)
 
     def group(
-        self, lexicon: Lexicon = DEFAULT_LEXICON, threshold: float = DEFAULT_THRESHOLD,
+        self, lexicon: Lexicon | DataFrame = DEFAULT_LEXICON, threshold: float = DEFAULT_THRESHOLD,
         scorer: Scorer | None = None, hours: int = 24,
     ) -> bool:
-        """Score and cluster the articles of the trailing window."""
-
-        def work() -> str:
-            stored = tables.read_appended(self.spark, self.store, "articles")
-            start = self.as_of - F.make_dt_interval(hours=F.lit(hours))
-            recent = stored.where(F.col("published_at").between(start, self.as_of))
-            scores, clusters, members = group_articles(recent, lexicon, threshold, scorer=scorer)
+        """Score, cluster and summarise the articles of the trailing window, a step each.
+
+        Clusters do not need scores: a scorer that fails leaves them as they are. Counts come from
+        the writes themselves.
+        """
+        stored = tables.read_appended(self.spark, self.store, "articles")
+        start = self.as_of - F.make_dt_interval(hours=F.lit(hours))
+        recent = stored.where(F.col("published_at").between(start, self.as_of))
+        found: dict[str, DataFrame] = {}
+
+        def score() -> dict[str, int]:
+            counts = {"rejected": 0}
             if scorer:
-                rejects = run_scorer(recent, scorer).rejects
-                tables.append(rejects, self.store, "score_rejects", self.version)
+                # The scorer runs once; scores and rejects are read from what it wrote.
+                scored = run_scorer(recent, lambda articles: materialize(scorer(articles), "scored")[0])
+                refused = Observation()
+                tables.append(
+                    scored.rejects.observe(refused, F.count(F.lit(1)).alias("rows")),
+                    self.store, "score_rejects", self.version,
+                )
+                scores, counts["rejected"] = scored.scores, refused.get["rows"]
+            else:
+                scores = score_articles(recent, lexicon)
+            rated, seen = materialize(
+                scores, "scores", F.count_if("include_in_digest").alias("flagged")
+            )
             tables.append_new(
-                scores.withColumn("scored_at", self.as_of), self.store, "article_scores",
+                rated.withColumn("scored_at", self.as_of), self.store, "article_scores",
                 self.version, "article_id",
             )
+            return {"scored": seen["rows"], **counts, "flagged": seen["flagged"]}
+
+        def cluster() -> dict[str, int]:
+            clusters, members = cluster_articles(recent, threshold)
+            seen = Observation()
             tables.write_snapshot(
-                clusters.withColumn("created_at", self.as_of), self.store, "event_clusters",
-                self.version,
+                members.observe(seen, F.count(F.lit(1)).alias("rows")),
+                self.store, "cluster_members", self.version,
+            )
+            found["clusters"] = clusters
+            held = Observation()
+            self._write_clusters(clusters.observe(held, F.count(F.lit(1)).alias("rows")))
+            return {"articles": seen.get["rows"], "clusters": held.get["rows"]}
+
+        def summarise() -> dict[str, int]:
+            members = tables.read_snapshot(
+                self.spark, self.store, "cluster_members", self.version, exact=True
             )
-            tables.write_snapshot(members, self.store, "cluster_members", self.version)
-            return "clusters stored"
+            told, seen = materialize(summarize(found["clusters"], members, recent), "summaries")
+            self._write_clusters(told)
+            return {"summaries": seen["rows"]}
+
+        scored = self._step("score", score)
+        grouped = self._step("cluster", cluster) and self._step("summarize", summarise)
+        return scored and grouped
 
-        return self._step("cluster", work)
+    def _write_clusters(self, clusters: DataFrame) -> None:
+        tables.write_snapshot(
+            clusters.withColumn("created_at", self.as_of), self.store, "event_clusters", self.version
+        )
 
     def compose(
         self, watchlist_id: str = "default", compose_only: bool = False, **options
     ) -> bool:
         """Compose the digest of this run, or with `compose_only` of all that is stored."""
 
-        def work() -> str:
+        def work() -> dict[str, int]:
             stored = (
                 load_all(self.spark, self.store)
                 if compose_only
@@ -152,6 +208,7 @@ class DailyRun:
             )
             made = compose(stored, self.watchlist, **options)
             metrics, _ = materialize(made.metrics, "metrics")
+            totals = metrics.first().asDict()
             lines = digest.digest_lines(made.top, made.sections, metrics, self.as_of)
             place = (watchlist_id, self.as_of, self.version * 2)
             tables.append(
@@ -161,7 +218,7 @@ class DailyRun:
             tables.append(
                 ledger.composed_digest(metrics, *place), self.store, "digest_runs", self.version * 2
             )
-            return "digest composed"
+            return totals
 
         return self._step("compose", work)
 
@@ -172,9 +229,13 @@ class DailyRun:
 
     def record(self, outcomes: DataFrame) -> None:
         """Append what became of the digests handed over for delivery."""
-        runs = tables.read_appended(self.spark, self.store, "digest_runs")
-        told, _ = materialize(ledger.record_outcomes(runs, outcomes), "outcomes")
-        tables.append(told, self.store, "digest_runs", self.version * 2 + 1)
+        def work() -> dict[str, int]:
+            runs = tables.read_appended(self.spark, self.store, "digest_runs")
+            told, seen = materialize(ledger.record_outcomes(runs, outcomes), "outcomes")
+            tables.append(told, self.store, "digest_runs", self.version * 2 + 1)
+            return {"outcomes": seen["rows"]}
+
+        self._step("send", work)
 
     def finish(self) -> str:
         """Write the run log and return the status of the run."""
@@ -183,7 +244,7 @@ class DailyRun:
         took = sum(step[4] for step in self.steps)
         self.steps.append(
             (self.run_id, len(self.steps), "pipeline", status, took,
-             f"Pipeline complete. Errors: {len(bad)}", self._stamp)
+             f"run {status}: {len(bad)} of {len(self.steps)} steps failed", self._stamp)
         )
         rows = self.spark.createDataFrame(self.steps, RUN_LOGS)
         tables.append(rows, self.store, "run_logs", self.version)

@@ -248,7 +248,22 @@ _METRICS = """metrics AS (
     (SELECT count(*) FROM context)::BIGINT AS total_clusters)"""
 
 
-def _text() -> str:
+_LISTS = """lists AS (
+  SELECT 'w' || c_custkey AS watchlist_id, 'src' || ((c_custkey + k) % 25) AS ticker, k AS position
+  FROM customer, (SELECT unnest(range(5)) AS k) WHERE k <= c_custkey % 5)"""
+
+_LIST_SECTIONS = f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY importance_score DESC, cluster_seq) AS rank
+  FROM context),
+sections AS (
+  SELECT l.watchlist_id, l.ticker, l.position, coalesce(r.rank, 0) AS rank, representative_headline, summary,
+    article_count, event_type, CASE WHEN r.ticker IS NULL THEN {_q(digest.NO_UPDATES)} END AS note
+  FROM lists l LEFT JOIN ranked r ON r.ticker = l.ticker AND r.rank <= 3)"""
+
+
+def _text(of: str = "") -> str:
+    """The whole text; with `of`, one for every value of that column of the sections."""
+    kept = f"{of}, " if of else ""
     rule, thin = _q(digest.RULE), _q(digest.THIN_RULE)
     nl = "chr(10)"
     disclaimer = f" || {nl} || ".join(_q(line) for line in digest.DISCLAIMER)
@@ -257,28 +272,31 @@ def _text() -> str:
   SELECT rank, '[' || ticker || '] [' || upper(event_type) || '] ' || representative_headline
     || {nl} || CASE WHEN summary <> '' THEN '  ' || summary ELSE '' END || {nl} AS body FROM top),
 entry AS (
-  SELECT position, rank,
+  SELECT {kept}position, rank,
     CASE WHEN rank <= 1 THEN '--- ' || ticker || ' ---' || {nl} ELSE '' END
     || CASE WHEN note IS NOT NULL THEN '  ' || note || {nl} || {nl}
       ELSE '• [' || upper(event_type) || '] ' || representative_headline || {nl}
         || CASE WHEN summary <> '' THEN '  ' || summary ELSE '' END
         || CASE WHEN article_count > 1 THEN '  (' || article_count || ' sources)' ELSE '' END
         || {nl} END AS body
-  FROM sections)
-SELECT 0::BIGINT AS text_part,
+  FROM sections),
+bodies AS (
+  SELECT {kept}string_agg(body, '' ORDER BY position, rank) AS body
+  FROM entry {f"GROUP BY {of}" if of else ""})
+SELECT {kept}0::BIGINT AS text_part,
   {rule} || {nl} || 'STOCK NEWS DIGEST — ' || {day} || {nl} || {rule} || {nl}
   || total_articles || ' articles processed · ' || total_clusters || ' events · '
   || relevant_articles || ' relevant' || {nl} || {nl}
   || {thin} || {nl} || '🔥 TOP STORIES' || {nl} || {thin} || {nl}
   || (SELECT string_agg(body, '' ORDER BY rank) FROM story)
   || {rule} || {nl} || 'PER-TICKER UPDATES' || {nl} || {rule} || {nl}
-  || (SELECT string_agg(body, '' ORDER BY position, rank) FROM entry)
+  || bodies.body
   || {rule} || {nl} || 'METRICS & DISCLAIMER' || {nl} || {rule} || {nl}
   || 'Articles fetched : ' || total_articles || {nl} || 'Relevant         : ' || relevant_articles
   || {nl} || 'Clusters         : ' || total_clusters || {nl}
   || 'Generated        : ' || strftime({_NOON}, '%Y-%m-%d %H:%M UTC') || {nl} || {nl}
   || {disclaimer} || {nl} || {rule} AS text
-FROM metrics"""
+FROM metrics, bodies"""
 
 
 _DELIVERIES = f"""{_ARTICLES},
@@ -416,6 +434,14 @@ FROM sections""",
         + "SELECT ticker, position, rank, cluster_id, note FROM sections",
         "digest_metrics": _with(*grouped, _METRICS) + "SELECT * FROM metrics",
         "digest_text": _with(*grouped, _TOP, _sections(), _METRICS, _text()),
+        "digest_texts_by_watchlist": _with(
+            *grouped, _TOP, _LISTS, _LIST_SECTIONS, _METRICS, _text("watchlist_id")
+        ),
+        "digest_rows": _with(_LISTS)
+        + f"""SELECT DISTINCT substring(sha256(watchlist_id || '|' || {_NOON}::DATE), 1, 16) AS id,
+  7::BIGINT AS version, ({_NOON}::DATE)::VARCHAR AS run_date,
+  {_q(digest.SUBJECT_PREFIX + ' — ')} || strftime({_NOON}, '%B %d, %Y') AS subject, 'composed' AS status
+FROM lists""",
         "compose_from_tables": _with(*grouped, _TOP)
         + """SELECT rank::INTEGER AS rank, cluster_id, article_count, event_type, importance_score FROM top""",
         "latest_digest": _with(_LEDGER)

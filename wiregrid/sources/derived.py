@@ -141,6 +141,18 @@ def word_lexicon(conversations: DataFrame, event_types: list[str]) -> DataFrame:
     )
 
 
+def customer_watchlists(customers: DataFrame) -> DataFrame:
+    """A watchlist per customer: one to five of 25 sources, the last five of which never publish."""
+    places = F.sequence(F.lit(0).cast("long"), F.pmod("c_custkey", F.lit(5)).cast("long"))
+    return customers.select("c_custkey", F.explode(places).alias("position")).select(
+        F.concat(F.lit("w"), F.col("c_custkey").cast("string")).alias("watchlist_id"),
+        F.concat(
+            F.lit("src"), F.pmod(F.col("c_custkey") + F.col("position"), F.lit(25)).cast("string")
+        ).alias("ticker"),
+        F.col("position").cast("int").alias("position"),
+    )
+
+
 def external_scores(labels: DataFrame) -> DataFrame:
     """Labels as articles for an external scorer."""
     return labels.select(

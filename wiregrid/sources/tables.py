@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -52,7 +52,8 @@ def append(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
 
 
 def append_new(
-    rows: DataFrame, root: str, table: str, batch_id: int, order: str, within: str | None = None
+    rows: DataFrame, root: str, table: str, batch_id: int, order: str, within: str | None = None,
+    seen: Observation | None = None,
 ) -> None:
     """Append the rows whose key is not stored yet; within the batch the first by `order` wins.
 
@@ -63,11 +64,13 @@ def append_new(
     spark = rows.sparkSession
     stored = read_appended(spark, root, table, before_batch=batch_id)
     if within is not None:
-        rows, seen = materialize(
+        rows, edges = materialize(
             rows, f"{table}-batch", F.min(within).alias("low"), F.max(within).alias("high")
         )
-        stored = stored.where(F.col(within).between(F.lit(seen["low"]), F.lit(seen["high"])))
+        stored = stored.where(F.col(within).between(F.lit(edges["low"]), F.lit(edges["high"])))
     fresh = keyed.insert_or_ignore(rows, stored, KEYS[table], [F.col(order)])
+    if seen is not None:
+        fresh = fresh.observe(seen, F.count(F.lit(1)).alias("rows"))
     append(fresh, root, table, batch_id)
 
 
