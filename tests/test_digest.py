@@ -1,13 +1,14 @@
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wiregrid.operators import digest, keyed, ledger, watchlists
-from wiregrid.operators.rank import rank_in_group
+from wiregrid.operators.rank import in_order, rank_in_group
 from wiregrid.operators.score import python_scorer
 from wiregrid.operators.summaries import summarize
 from wiregrid.plans.daily import DailyRun, load_all
-from wiregrid.sources import tables
+from wiregrid.sources import defaults, tables
 
 CLUSTER = "cluster_id string, cluster_seq long, ticker string, representative_headline string, article_count long"
 
@@ -271,3 +272,30 @@ def test_each_failure_is_a_step_of_its_own(spark, tmp_path):
     run = DailyRun(spark, str(tmp_path / "c"), watched, as_of, version=1)
     lost = raw.withColumn("raw_json", F.raise_error(F.lit("gone")).cast("string"))
     assert not run.ingest(lost) and run.finish() == "failed"
+
+
+def test_places_over_ranges(spark):
+    df = spark.range(0, 5000).select((F.col("id") % 7).alias("k"), "id").repartition(6)
+    placed = in_order(df, [F.desc("k"), F.asc("id")], "place", parts=5).collect()
+    told = sorted(((-r["k"], r["id"]) for r in placed))
+    assert [(-r["k"], r["id"]) for r in sorted(placed, key=lambda r: r["place"])] == told
+    assert sorted(r["place"] for r in placed) == list(range(5000))
+    assert in_order(df.limit(0), [F.asc("id")], "place").count() == 0
+
+
+def test_defaults_of_loose_rows(spark):
+    schema = StructType.fromDDL(
+        "a string, at timestamp, on boolean, ids array<string>, status string, n int, day date"
+    )
+    rows = [
+        (None, "2024-01-02T03:04:05", 1, '["x", "y"]', None, "7", "2024-01-02"),
+        ("t", " 2024-01-02 03:04:05+01:00 ", 0, None, "sent", None, None),
+        ("", "never", None, "{broken", "", "x", "no day"),
+    ]
+    loose = spark.createDataFrame(rows, "a string, at string, on int, ids string, status string, n string, day string")
+    one, two, three = defaults.typed(loose, schema).select("*", F.unix_seconds("at").alias("ts")).collect()
+    assert (one.a, one.on, one.ids, one.status, one.n) == ("", True, ["x", "y"], "composed", 7)
+    assert one.ts - two.ts == 3600 and (two.on, two.ids, two.status, two.n) == (False, [], "sent", None)
+    assert (three.ts, three.on, three.ids, three.status, three.day) == (None, False, [], "", None)
+    bare = defaults.typed(loose.select("a"), schema).first()
+    assert (bare.at, bare.on, bare.ids, bare.status) == (None, False, [], "composed")

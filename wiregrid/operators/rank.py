@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from wiregrid.session import materialize
+
 #: Width of a block of sequence numbers; a block holds at most this many rows.
 BLOCK_BITS = 16
 
@@ -48,3 +50,28 @@ def rank_in_group(
         .withColumn(name, (F.col("_start") + F.col("_inside") - 1 + start).cast("long"))
         .drop(*place, "_inside", "_start")
     )
+
+
+def in_order(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """`df` with dense places 0, 1, 2 ... in `order`, which no two rows share, as `name`.
+
+    The table is cut into ranges that follow one another, each sorted by itself. Only the number of
+    rows of each range is added up, a row per range; no task ever sorts or numbers the whole.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    stored, _ = materialize(ranged, "ranged")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        stored.groupBy("_range")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    # As many rows as there are ranges.
+    return (
+        stored.withColumn("_inside", inside)
+        .join(F.broadcast(starts), "_range")
+        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("long"))
+        .drop("_range", "_inside", "_start")
+    )

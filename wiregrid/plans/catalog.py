@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wiregrid.functions import text, times
 from wiregrid.functions.lexicon import EventKeywords, Lexicon
@@ -23,10 +24,11 @@ from wiregrid.operators.normalize import (
     parse_raw,
     trailing_window,
 )
+from wiregrid.operators.rank import in_order
 from wiregrid.operators.summaries import summarize
 from wiregrid.plans.daily import Grouped, compose, group_articles, load_all, load_run
 from wiregrid.session import configure, materialize, scratch_dir
-from wiregrid.sources import derived, landing, tables
+from wiregrid.sources import defaults, derived, landing, tables
 from wiregrid.sources.derived import spread, table
 from wiregrid.streaming.ingest import ingest_new, recent_only
 
@@ -226,6 +228,19 @@ def articles_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("id", "source", "delivery")
 
 
+def stored_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loosely typed digest rows as typed ones, gaps filled."""
+    schema = StructType.fromDDL(
+        "id string, sent_at timestamp, flagged boolean, article_ids array<string>, status string, "
+        "subject string"
+    )
+    read = defaults.typed(derived.loose_digests(table(spark, sf_dir, "events")), schema)
+    return read.select(
+        "id", F.unix_seconds("sent_at").alias("sent_ts"), "flagged",
+        F.array_join("article_ids", ",").alias("article_ids"), "status", "subject",
+    )
+
+
 def insert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = _resent(spark, sf_dir)
     return keyed.insert_counts(
@@ -362,6 +377,18 @@ def cluster_ids_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("cluster_id", "chunk", F.to_json("article_ids").alias("article_ids"))
 
 
+def clusters_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest clusters first, in feed order among those of one time, with their places."""
+    made = F.timestamp_seconds(
+        F.lit(derived.FIRST_PUBLISHED) + F.lit(600) * F.floor(F.col("cluster_seq") / 10)
+    )
+    found = _clustering(spark, sf_dir).clusters.withColumn("created_at", made)
+    placed = in_order(found, [F.desc("created_at"), F.asc("cluster_seq")], "place")
+    return placed.select(
+        "place", "cluster_id", "cluster_seq", F.unix_seconds("created_at").alias("created_ts")
+    )
+
+
 def clusters_within_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines compared only with those of the same source."""
     found = cluster_articles(_stored_articles(spark, sf_dir), block_by=["ticker"]).clusters
@@ -596,11 +623,11 @@ _QUERIES: list[Query] = [
     articles_normalized, article_rejects, stored_rejects, json_ingest, single_ticker_scan,
     pages_clean_text, raw_ingest, stream_ingest,
     stream_dedupe, trailing_window_counts, ticker_counts,
-    articles_first_wins, articles_last_wins, insert_counts, keyed_update, constraint_report,
+    articles_first_wins, articles_last_wins, stored_defaults, insert_counts, keyed_update, constraint_report,
     lexicon_hits, article_scores, article_scores_fixture_lexicon,
     lexicon_table_scores, score_flags, custom_scorer,
     leader_similarity, clusters, cluster_members, cluster_id_lists, cluster_ids_json,
-    clusters_within_ticker,
+    clusters_within_ticker, clusters_by_age,
     part_clusters, turn_clusters, cluster_summaries,
     cluster_context, top_stories, digest_sections, digest_sections_limited, digest_metrics,
     digest_text, digest_texts_by_watchlist, digest_rows, compose_from_tables,

@@ -367,6 +367,12 @@ FROM watchlist w LEFT JOIN documents d ON d.source = w.ticker GROUP BY ALL""",
         "articles_last_wins": _with(_DELIVERIES)
         + """SELECT id, source, delivery FROM sent
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY delivery DESC) = 1""",
+        "stored_defaults": """SELECT event_id::VARCHAR AS id,
+  CASE WHEN event_id % 7 > 0 THEN epoch_us(ts) // 1000000 - CASE event_id % 3 WHEN 2 THEN 7200 ELSE 0 END END
+    AS sent_ts,
+  event_id % 5 > 0 AND event_id % 2 = 1 AS flagged,
+  CASE WHEN event_id % 4 > 0 THEN event_type || ',x' ELSE '' END AS article_ids,
+  CASE event_type WHEN 'purchase' THEN 'sent' ELSE 'composed' END AS status, '' AS subject FROM events""",
         "insert_counts": _with(_DELIVERIES)
         + """, others AS (SELECT id FROM sent WHERE delivery <> 1),
 fresh AS (SELECT count(DISTINCT id) AS n FROM others
@@ -418,6 +424,9 @@ FROM members GROUP BY cluster_id""",
 FROM members GROUP BY cluster_id""",
         "clusters_within_ticker": _with(_ARTICLES, _clusters(0.4, "ticker"))
         + "SELECT cluster_id, cluster_seq, ticker, article_count FROM clusters",
+        "clusters_by_age": _with(_ARTICLES, _clusters(0.4))
+        + f"""SELECT row_number() OVER (ORDER BY cluster_seq // 10 DESC, cluster_seq) - 1 AS place, cluster_id,
+  cluster_seq, {FIRST_PUBLISHED} + 600 * (cluster_seq // 10) AS created_ts FROM clusters""",
         "part_clusters": _with(parts, _clusters(0.4)) + "SELECT * FROM clusters",
         "turn_clusters": _with(turns, _clusters(0.5))
         + "SELECT cluster_id, cluster_seq, ticker, article_count FROM clusters",

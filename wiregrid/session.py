@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +57,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder for intermediate tables, under one folder per application."""
-    return f"{shared_dir(spark)}/wiregrid-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/wiregrid-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(folder)
+    return folder
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The folders that `scratch_dir` names meanwhile, to be dropped once nothing reads them."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        # By identity: scopes that hold the same folders are equal.
+        _SCOPES[:] = [scope for scope in _SCOPES if scope is not made]
+
+
+def drop_scratch(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Remove folders that `scratch_dir` named."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def settle(df: DataFrame, *columns) -> DataFrame:

@@ -141,6 +141,19 @@ def word_lexicon(conversations: DataFrame, event_types: list[str]) -> DataFrame:
     )
 
 
+def loose_digests(events: DataFrame) -> DataFrame:
+    """Events as digest rows of a store that keeps everything as text, with gaps."""
+    shown = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("+02:00")), (F.col("event_id") % 3 + 1).cast("int"))
+    return events.select(
+        F.col("event_id").cast("string").alias("id"),
+        F.when(F.col("event_id") % 7 > 0, F.concat(shown, zone)).alias("sent_at"),
+        F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 2).cast("string")).alias("flagged"),
+        F.when(F.col("event_id") % 4 > 0, F.to_json(F.array(F.col("event_type"), F.lit("x")))).alias("article_ids"),
+        F.when(F.col("event_type") == "purchase", F.lit("sent")).alias("status"),
+    )
+
+
 def customer_watchlists(customers: DataFrame) -> DataFrame:
     """A watchlist per customer: one to five of 25 sources, the last five of which never publish."""
     places = F.sequence(F.lit(0).cast("long"), F.pmod("c_custkey", F.lit(5)).cast("long"))
