@@ -28,7 +28,7 @@ from wiregrid.operators.rank import in_order
 from wiregrid.operators.summaries import summarize
 from wiregrid.plans.daily import Grouped, compose, group_articles, load_all, load_run
 from wiregrid.session import configure, materialize, scratch_dir
-from wiregrid.sources import defaults, derived, landing, tables
+from wiregrid.sources import buckets, defaults, derived, landing, tables
 from wiregrid.sources.derived import spread, table
 from wiregrid.streaming.ingest import ingest_new, recent_only
 
@@ -228,6 +228,16 @@ def articles_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("id", "source", "delivery")
 
 
+def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest snapshot after three deliveries, each of which rewrote its own keys' buckets."""
+    root = scratch_dir(spark)
+    sent, _ = materialize(_resent(spark, sf_dir).select("id", "source", "delivery", "seq"), "sent")
+    for delivery in range(3):
+        batch = sent.where(F.col("delivery") == delivery)
+        buckets.merge(batch, root, "articles", delivery, ["id"], [F.desc("seq")])
+    return buckets.read(spark, root, "articles", sent.schema).select("id", "source", "delivery")
+
+
 def stored_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loosely typed digest rows as typed ones, gaps filled."""
     schema = StructType.fromDDL(
@@ -623,7 +633,7 @@ _QUERIES: list[Query] = [
     articles_normalized, article_rejects, stored_rejects, json_ingest, single_ticker_scan,
     pages_clean_text, raw_ingest, stream_ingest,
     stream_dedupe, trailing_window_counts, ticker_counts,
-    articles_first_wins, articles_last_wins, stored_defaults, insert_counts, keyed_update, constraint_report,
+    articles_first_wins, articles_last_wins, snapshot_merge, stored_defaults, insert_counts, keyed_update, constraint_report,
     lexicon_hits, article_scores, article_scores_fixture_lexicon,
     lexicon_table_scores, score_flags, custom_scorer,
     leader_similarity, clusters, cluster_members, cluster_id_lists, cluster_ids_json,

@@ -366,6 +366,9 @@ FROM watchlist w LEFT JOIN documents d ON d.source = w.ticker GROUP BY ALL""",
   PARTITION BY id ORDER BY CASE delivery WHEN 1 THEN -1 ELSE delivery END) = 1""",
         "articles_last_wins": _with(_DELIVERIES)
         + """SELECT id, source, delivery FROM sent
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY delivery DESC) = 1""",
+        "snapshot_merge": _with(_DELIVERIES)
+        + """SELECT id, source, delivery FROM sent
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY delivery DESC) = 1""",
         "stored_defaults": """SELECT event_id::VARCHAR AS id,
   CASE WHEN event_id % 7 > 0 THEN epoch_us(ts) // 1000000 - CASE event_id % 3 WHEN 2 THEN 7200 ELSE 0 END END
