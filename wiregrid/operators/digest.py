@@ -16,6 +16,10 @@ PART_LINES = 10_000
 SUBJECT_PREFIX = "📈 Stock News Digest"
 NO_UPDATES = "No major updates in the last 24 hours."
 RULE, THIN_RULE = "=" * 80, "-" * 80
+TITLE, TOP_TITLE = "STOCK NEWS DIGEST — ", "🔥 TOP STORIES"
+SECTIONS_TITLE, TAIL_TITLE = "PER-TICKER UPDATES", "METRICS & DISCLAIMER"
+COUNTS = ("articles processed", "events", "relevant")
+LABELS = ("Articles fetched : ", "Relevant         : ", "Clusters         : ", "Generated        : ")
 DISCLAIMER = (
     "DISCLAIMER: This digest is generated automatically from public news sources for",
     "informational purposes only. It does not constitute financial advice. Always do",
@@ -188,20 +192,20 @@ def digest_lines(
 
     zero = lit(0)
     counts = F.concat(
-        F.col("total_articles").cast("string"), lit(" articles processed · "),
-        F.col("total_clusters").cast("string"), lit(" events · "),
-        F.col("relevant_articles").cast("string"), lit(" relevant"),
+        F.col("total_articles").cast("string"), lit(f" {COUNTS[0]} · "),
+        F.col("total_clusters").cast("string"), lit(f" {COUNTS[1]} · "),
+        F.col("relevant_articles").cast("string"), lit(f" {COUNTS[2]}"),
     )
-    title = F.concat(lit("STOCK NEWS DIGEST — "), times.long_date(as_of))
+    title = F.concat(lit(TITLE), times.long_date(as_of))
     head = _lines(metrics, _HEAD, zero, zero, [lit(RULE), title, lit(RULE), counts, lit("")])
     first = F.col("rank") == 1
-    top_head = [F.when(first, lit(text)) for text in (THIN_RULE, "🔥 TOP STORIES", THIN_RULE)]
+    top_head = [F.when(first, lit(text)) for text in (THIN_RULE, TOP_TITLE, THIN_RULE)]
     stories = _lines(
         top, _TOP, zero, F.col("rank"),
         top_head + _story(F.concat(lit("["), F.col("ticker"), lit("] ")), False),
     )
     middle = _lines(
-        metrics, _MIDDLE, zero, zero, [lit(RULE), lit("PER-TICKER UPDATES"), lit(RULE)]
+        metrics, _MIDDLE, zero, zero, [lit(RULE), lit(SECTIONS_TITLE), lit(RULE)]
     )
     starts = F.when(F.col("rank") <= 1, ticker_head(F.col("ticker")))
     quiet = F.col("note").isNotNull()
@@ -213,11 +217,11 @@ def digest_lines(
     tail = _lines(
         metrics, _TAIL, zero, zero,
         [
-            lit(RULE), lit("METRICS & DISCLAIMER"), lit(RULE),
-            metric("Articles fetched : ", F.col("total_articles")),
-            metric("Relevant         : ", F.col("relevant_articles")),
-            metric("Clusters         : ", F.col("total_clusters")),
-            F.concat(lit("Generated        : "), times.minute_stamp(as_of)),
+            lit(RULE), lit(TAIL_TITLE), lit(RULE),
+            metric(LABELS[0], F.col("total_articles")),
+            metric(LABELS[1], F.col("relevant_articles")),
+            metric(LABELS[2], F.col("total_clusters")),
+            F.concat(lit(LABELS[3]), times.minute_stamp(as_of)),
             lit(""),
             *[lit(text) for text in DISCLAIMER],
             lit(RULE),
