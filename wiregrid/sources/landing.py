@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wiregrid.operators.normalize import feed_order
 from wiregrid.schemas import RAW_ARTICLE
+from wiregrid.sources.records import read_records
 
 #: Bounds of one batch file.
 FILE_ROWS, FILE_BYTES = 4_096, 4 << 20
@@ -51,25 +52,43 @@ def read_landing(
     return raw.where(F.col("batch_pos") > _MARKER)
 
 
-def read_json_batches(spark: SparkSession, path: str) -> DataFrame:
+def read_json_batches(
+    spark: SparkSession, path: str, name: Column | None = None, **options: str
+) -> DataFrame:
     """Raw records of files `{TICKER}_{YYYY-MM-DD}.json`, each a JSON array of records.
 
     A large batch comes in several files `{TICKER}_{YYYY-MM-DD}.{FIRST}.json`, where FIRST is the
-    batch position of the file's first record. A file that is no JSON array gives one record, its
-    whole text, which normalising sets aside.
+    batch position of the file's first record. Files may be of any size; text that is no record is
+    one of its own, which normalising sets aside (see `records`). `name` gives the name of a file
+    that is not called so.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*_*.json")
-    return explode_batches(files, F.col("_metadata.file_name")).drop("is_file")
+    if name is None:
+        options["pathGlobFilter"] = "*_*.json"
+    found = read_records(spark, path, name, **options)
+    return found.select(
+        *_named(F.col("name")),
+        "place",
+        "raw_json",
+    ).select(
+        "ticker", "fetch_date", (F.col("_first") + F.col("place")).cast("int").alias("batch_pos"),
+        "raw_json",
+    )
 
 
-def explode_batches(files: DataFrame, name: Column) -> DataFrame:
-    """Records of batch files (`value`); `is_file` tells a file that is no JSON array."""
+def _named(name: Column) -> list[Column]:
+    """Ticker, day and first batch position as the name of a batch file tells them."""
     pattern = r"^(.+)_(\d{4}-\d{2}-\d{2})(?:\.(\d+))?\.json$"
-    first = F.coalesce(F.regexp_extract(name, pattern, 3).try_cast("int"), F.lit(0))
-    opened = files.select(
+    return [
         F.regexp_extract(name, pattern, 1).alias("ticker"),
         F.regexp_extract(name, pattern, 2).try_cast("date").alias("fetch_date"),
-        first.alias("_first"),
+        F.coalesce(F.regexp_extract(name, pattern, 3).try_cast("int"), F.lit(0)).alias("_first"),
+    ]
+
+
+def explode_batches(files: DataFrame, name: Column) -> DataFrame:
+    """Records of batch files (`value`); `is_file` tells a file that is no JSON array."""
+    opened = files.select(
+        *_named(name),
         "value",
         F.from_json("value", "array<string>").alias("_records"),
     )
