@@ -30,6 +30,7 @@ from wiregrid.plans.daily import Grouped, compose, group_articles, load_all, loa
 from wiregrid.session import configure, materialize, scratch_dir
 from wiregrid.sources import buckets, defaults, derived, landing, tables
 from wiregrid.sources.derived import spread, table
+from wiregrid.streaming import first_wins
 from wiregrid.streaming.ingest import ingest_new, recent_only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +194,27 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(sent.schema).parquet(f"{root}/out").select("id", "ticker")
 
 
+def stream_state_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four deliveries 14 hours apart, a run of the stream for each: first wins within 24 hours.
+
+    All articles, then the French, the long, and the French again. Every run takes up the state
+    that the one before left.
+    """
+    root = scratch_dir(spark)
+    sent, _ = materialize(_resent(spark, sf_dir).select("id", "seq", "delivery"), "deliveries")
+    third = sent.where("delivery = 1").withColumn("delivery", F.lit(3))
+    hours = F.make_interval(hours=F.lit(14) * F.col("delivery"))
+    timed = sent.unionByName(third).withColumn("arrived", _moment() + hours)
+    for delivery in range(4):
+        batch = timed.where(F.col("delivery") == delivery)
+        batch.write.parquet(f"{root}/sent/{delivery}")
+        stream = spark.readStream.schema(timed.schema).parquet(f"{root}/sent/*")
+        passed = first_wins.first_within(stream, "arrived", "seq", horizon=24 * 3600)
+        first_wins.start(passed, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    stored = spark.read.schema(timed.schema).parquet(f"{root}/out")
+    return stored.select("id", "seq", "delivery")
+
+
 def trailing_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("at")
@@ -630,7 +652,7 @@ def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     articles_normalized, article_rejects, stored_rejects, json_ingest, single_ticker_scan,
-    pages_clean_text, raw_ingest, stream_ingest,
+    pages_clean_text, raw_ingest, stream_ingest, stream_state_dedupe,
     stream_dedupe, trailing_window_counts, ticker_counts,
     articles_first_wins, articles_last_wins, snapshot_merge, stored_defaults, insert_counts, keyed_update, constraint_report,
     lexicon_hits, article_scores, article_scores_fixture_lexicon,

@@ -353,6 +353,10 @@ FROM (SELECT *, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FR
         "stream_ingest": _with(_ARTICLES)
         + "SELECT id, ticker, headline, url FROM articles",
         "stream_dedupe": _with(_DELIVERIES) + "SELECT DISTINCT id, ticker FROM sent",
+        "stream_state_dedupe": _with(_DELIVERIES)
+        + """SELECT id, seq, delivery FROM sent WHERE delivery IN (0, 2)
+UNION ALL SELECT id, seq, 3 FROM sent WHERE delivery = 1
+  AND id NOT IN (SELECT id FROM sent WHERE delivery = 2)""",
         "trailing_window_counts": _with(_watch(EVENT_WATCHLIST))
         + f"""SELECT w.ticker, w.position, count(e.event_id) AS fetched FROM watchlist w
 LEFT JOIN events e ON e.event_type = w.ticker
