@@ -18,12 +18,12 @@ replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wiregrid.llm.common import batches_of, parts_for
 from wiregrid.llm.tokens import drops_white, encode_ended, encoder
@@ -34,8 +34,6 @@ CAPACITY = 2048
 GROUP = 20_000
 HANDED = 64
 MEET = 64
-#: The search stops after so many of the emptiest sequences could not be emptied further.
-PATIENCE = 12
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -97,73 +95,136 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """A number of bins that no packing goes below.
+
+    For any size t: pieces over half the capacity lie apart, and what is at least t long and not
+    over half fits only beside such as leave t; the largest bound of all t counts.
+    """
+    n = np.sort(np.asarray(lengths, np.int64))
+    upto = np.concatenate(([0], np.cumsum(n)))
+    half = int(np.searchsorted(n, capacity // 2, "right"))
+    sizes = np.unique(np.concatenate(([0], n[:half])))
+    alone = np.searchsorted(n, capacity - sizes, "right")
+    room = (alone - half) * capacity - (upto[alone] - upto[half])
+    beside = upto[half] - upto[np.searchsorted(n, sizes, "left")]
+    bounds = len(n) - half + np.maximum(0, -(-(beside - room) // capacity))
+    return int(bounds.max())
+
+
 class Search:
-    """Swaps between the bins that are not full."""
+    """Swaps between the bins that are not full.
+
+    What an open bin can give back is kept in flat arrays, a row for nothing and for each length of
+    one or two of its pieces, so that all partners of a bin are looked at in a few array operations.
+    """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
-        self.fill = [sum(lengths[i] for i in b) for b in bins]
-        #: (room, bin) of the bins that can take something.
-        self.open = sorted((capacity - f, k) for k, f in enumerate(self.fill) if 0 < f < capacity)
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.held = 0
+        #: By row: the bin, what is taken of it, the room that makes, the number of pieces.
+        self.rows = np.zeros((4, 1024), np.int64)
+        self.pieces: list[tuple[int, ...]] = []
+        self.span: dict[int, tuple[int, int]] = {}
+        for k in range(len(bins)):
+            self._set(k)
+
+    def _sums(self, k: int) -> dict[int, tuple[int, ...]]:
+        """Pieces of bin k by their length: none, one or two, as few as make that length."""
+        own = {self.lengths[i]: i for i in self.bins[k]}
+        twice = sorted(self.bins[k], key=lambda i: self.lengths[i])
+        found: dict[int, tuple[int, ...]] = {0: ()}
+        found.update((n, (i,)) for n, i in own.items())
+        ones = list(own.items())
+        for x, (n, i) in enumerate(ones):
+            for m, j in ones[x + 1 :]:
+                found.setdefault(n + m, (i, j))
+        for i, j in zip(twice, twice[1:], strict=False):
+            if self.lengths[i] == self.lengths[j]:
+                found.setdefault(2 * self.lengths[i], (i, j))
+        return found
 
     def _set(self, k: int) -> None:
-        old = (self.capacity - self.fill[k], k)
-        if old in self.open:
-            self.open.remove(old)
+        """Take up what bin k holds now."""
+        if k in self.span:
+            start, stop = self.span.pop(k)
+            self.rows[2, start:stop] = -1
         self.fill[k] = sum(self.lengths[i] for i in self.bins[k])
-        if 0 < self.fill[k] < self.capacity:
-            insort(self.open, (self.capacity - self.fill[k], k))
+        if not 0 < self.fill[k] < self.capacity:
+            return
+        sums = self._sums(k)
+        if self.held + len(sums) > self.rows.shape[1]:
+            self._compact(len(sums))
+        start, stop = self.held, self.held + len(sums)
+        taken = np.fromiter(sums, np.int64, len(sums))
+        self.rows[0, start:stop] = k
+        self.rows[1, start:stop] = taken
+        self.rows[2, start:stop] = self.capacity - self.fill[k] + taken
+        self.rows[3, start:stop] = [len(x) for x in sums.values()]
+        self.pieces += sums.values()
+        self.span[k], self.held = (start, stop), stop
+
+    def _compact(self, more: int) -> None:
+        """Leave out the rows of bins that changed and make room for as many again."""
+        live = np.flatnonzero(self.rows[2, : self.held] >= 0)
+        rows = np.zeros((4, 2 * (len(live) + more) + 1024), np.int64)
+        rows[:, : len(live)] = self.rows[:, live]
+        self.pieces = [self.pieces[i] for i in live.tolist()]
+        self.rows, self.held, at = rows, len(live), 0
+        for k in list(self.span):
+            size = self.span[k][1] - self.span[k][0]
+            self.span[k] = (at, at + size)
+            at += size
 
     def _best(self, k: int) -> tuple | None:
-        """The exchange of pieces of bin k that fills another bin most, as (gain, ...)."""
-        n, own = self.lengths, self.bins[k]
-        sets = [((i,), n[i]) for i in own]
-        sets += [
-            ((i, j), n[i] + n[j]) for x, i in enumerate(own) for j in own[x + 1 :]
-        ]
-        best = None
-        for room, other in self.open:
-            if other == k or self.fill[other] + room <= self.fill[k]:
+        """The exchange of pieces of bin k that raises the squared fill most, as (bin, give, take)."""
+        bins, taken, room, count = self.rows[:, : self.held]
+        others = bins != k
+        best, found = 0, None
+        for a, give in self._sums(k).items():
+            if not a:
                 continue
-            theirs = [((), 0)] + [((i,), n[i]) for i in self.bins[other]]
-            theirs += [
-                ((i, j), n[i] + n[j])
-                for x, i in enumerate(self.bins[other])
-                for j in self.bins[other][x + 1 :]
-            ]
-            for give, a in sets:
-                for take, b in theirs:
-                    if len(give) + len(take) > 3 or not 0 < a - b <= room:
-                        continue
-                    # The gain in squared fill of moving a - b from k to the other bin.
-                    d = a - b
-                    gain = 2 * d * (self.fill[other] - self.fill[k] + d)
-                    if gain > 0 and (best is None or gain > best[0]):
-                        best = (gain, other, give, take)
-        return best
-
-    def run(self, patience: int) -> list[list[int]]:
-        stuck: set[int] = set()
-        while len(stuck) < patience:
-            left = [k for _, k in reversed(self.open) if k not in stuck]
-            if not left:
-                break
-            k = left[0]
-            found = self._best(k)
-            if found is None:
-                stuck.add(k)
+            at = np.flatnonzero((room >= a) & (taken < a) & others & (count <= 3 - len(give)))
+            if not len(at):
                 continue
-            _, other, give, take = found
-            self.bins[k] = [i for i in self.bins[k] if i not in give] + list(take)
-            self.bins[other] = [i for i in self.bins[other] if i not in take] + list(give)
-            self._set(k)
-            self._set(other)
+            d = a - taken[at]
+            gain = 2 * d * (self.fill[bins[at]] - self.fill[k] + d)
+            top = int(gain.argmax())
+            if gain[top] > best:
+                best, found = int(gain[top]), (int(bins[at[top]]), give, self.pieces[at[top]])
+        return found
+
+    def run(self, passes: int | None = None) -> list[list[int]]:
+        """Empty the bins one after the other, emptiest first, until no exchange raises the fill.
+
+        It ends before that where no packing has fewer bins. `passes` bounds the rounds over all
+        open bins; the packing does not.
+        """
+        least = least_bins(self.lengths, self.capacity)
+        count = int((self.fill > 0).sum())
+        while count > least and (passes is None or passes > 0):
+            changed = False
+            for k in sorted(self.span, key=lambda k: (self.fill[k], k)):
+                while k in self.span and (found := self._best(k)):
+                    other, give, take = found
+                    self.bins[k] = [i for i in self.bins[k] if i not in give] + list(take)
+                    self.bins[other] = [i for i in self.bins[other] if i not in take] + list(give)
+                    self._set(k)
+                    self._set(other)
+                    changed = True
+                count = int((self.fill > 0).sum())
+                if count <= least:
+                    break
+            if not changed:
+                break
+            passes = passes and passes - 1
         return [b for b in self.bins if b]
 
 
-def pack_lengths(lengths: list[int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of piece numbers, each at most `capacity` long, as few as the method finds."""
-    return Search(lengths, best_fit(lengths, capacity), capacity).run(patience)
+    return Search(lengths, best_fit(lengths, capacity), capacity).run()
 
 
 def _packed(rest: DataFrame, level: int, capacity: int, handed: int) -> DataFrame:
@@ -187,26 +248,27 @@ def _packed(rest: DataFrame, level: int, capacity: int, handed: int) -> DataFram
         out = out.append_column("offset", pa.array(offset))
         return out.append_column("again", pa.array(again.astype(bool)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.groupBy("group").applyInArrow(
-        run, f"{schema}, sequence_id long, offset long, again boolean"
-    )
+    schema = StructType.fromDDL("sequence_id long, offset long, again boolean")
+    return rest.groupBy("group").applyInArrow(run, StructType([*rest.schema.fields, *schema.fields]))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """`pieces` (length, any others) with sequence_id and offset."""
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    # All columns given travel in one, so that none clashes with a name used here.
     stored, seen = materialize(
-        pieces.select(*own, F.monotonically_increasing_id().alias("_uid")),
+        pieces.select(
+            F.struct(*own).alias("row"), "length", F.monotonically_increasing_id().alias("uid")
+        ),
         "pack-pieces",
         F.count_if(F.col("length") < capacity).alias("short"),
     )
     done = stored.where(F.col("length") == capacity).select(
-        *own, (-1 - F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "row", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     groups = parts_for(seen["short"] or 0, group)
     rest = stored.where(F.col("length") < capacity).withColumn(
-        "group", F.pmod(F.xxhash64("_uid"), F.lit(groups))
+        "group", F.pmod(F.xxhash64("uid"), F.lit(groups))
     )
     level = 0
     while True:
@@ -214,10 +276,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         packed, _ = materialize(
             _packed(rest, level, capacity, 0 if last else HANDED), "pack-level"
         )
-        done = done.unionByName(packed.where("NOT again").select(*own, "sequence_id", "offset"))
+        done = done.unionByName(packed.where("NOT again").select("row", "sequence_id", "offset"))
         if last:
-            return done
+            return done.select("row.*", "sequence_id", "offset")
         level, groups = level + 1, parts_for(groups, MEET)
         rest = packed.where("again").select(
-            *own, "_uid", F.pmod(F.col("group"), F.lit(groups)).alias("group")
+            "row", "length", "uid", F.pmod(F.col("group"), F.lit(groups)).alias("group")
         )

@@ -13,7 +13,8 @@ over the blocks, so no shard is sorted as a whole.
 Defined results: null and empty texts are equal and weigh 16. Rows that share a
 doc_id, or have none, are rows of their own. A group heavier than a shard's fair
 share stays whole, and its shard is the heaviest. Further columns are not read.
-An empty table gives an empty result.
+An empty table gives an empty result. Shards and
+slots do not depend on how the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -85,6 +86,8 @@ def _bucket_slots(groups: DataFrame, shards: int) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
+        # Ties follow the digest, whatever order the rows come in.
+        table = table.sort_by([("weight", "descending"), ("digest", "ascending")])
         weights = table.column("weight").to_pylist()
         slots = [x[0] for x in difference([[w] for w in weights], shards)]
         return table.append_column("slot", pa.array(slots, pa.int32()))
@@ -138,14 +141,19 @@ def group_shards(groups: DataFrame, shards: int, bucket: int = BUCKET) -> DataFr
     return placed.select("digest", F.col("slot").alias("shard"))
 
 
-def places(rows: DataFrame, total: int, shards: int) -> DataFrame:
-    """`rows` (shard, uid and others) with `slot`, gapless from 0 in each shard."""
+def places(
+    rows: DataFrame, total: int, shards: int, order: tuple[str, ...] = ("uid",)
+) -> DataFrame:
+    """`rows` (shard and others) with `slot`, gapless from 0 in each shard.
+
+    Rows equal in `order` are one another's like; which of them gets which of their slots is open.
+    """
     blocks = parts_for(total, BLOCK * shards)
-    blocked = rows.withColumn("_block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
+    blocked = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     held = blocked.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("_n")
     bases = held.select("shard", "_block", before.alias("_base"))
-    inner = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("uid")) - 1
+    inner = F.row_number().over(Window.partitionBy("shard", "_block").orderBy(*order)) - 1
     return (
         blocked.withColumn("_inner", inner)
         .join(bases, ["shard", "_block"])
@@ -163,15 +171,14 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.sha2(text.cast("binary"), 256).alias("digest"),
-            F.monotonically_increasing_id().alias("uid"),
         ),
         "shard-sizes",
     )
     groups = sized.groupBy("digest").agg(F.sum("size").alias("weight"))
     dealt, _ = materialize(
-        sized.join(group_shards(groups, shards), "digest").drop("digest"), "shard-dealt"
+        sized.join(group_shards(groups, shards), "digest"), "shard-dealt"
     )
-    return places(dealt, seen["rows"], shards).select(
+    return places(dealt, seen["rows"], shards, ("doc_id", "digest")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

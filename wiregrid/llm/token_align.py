@@ -80,7 +80,7 @@ class Vocabulary:
 
 def byte_level(path: str) -> Vocabulary:
     """A byte-level vocabulary; texts come with their blank in front."""
-    worker = Encoder(path, keeps_white)
+    worker = Encoder(path, keeps_white, special=False)
     byte = _byte_of()
     entries = worker.tokenizer.get_vocab(with_added_tokens=True)
     bytes_of = [b""] * (max(entries.values()) + 1)

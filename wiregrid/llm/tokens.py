@@ -2,7 +2,9 @@
 
 A tokenizer's own pre-tokenizer never joins what this module splits, so the ids
 of a text are those of its stretches in order. Stretches repeat (they are words,
-mostly), so a worker keeps the ids of those it has met, up to a bound.
+mostly), so a worker keeps the ids of those it has met, up to a bound. The name of
+a special token inside a text is that token, as in the library's plain call, unless
+the encoder is told otherwise.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -42,19 +45,36 @@ def drops_white(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of many texts at once. `most` bounds the characters of the stretches kept."""
+    """Ids of many texts at once. `most` bounds the characters of the stretches kept.
+
+    Without `special`, the name of a special token inside a text is text like any other.
+    """
 
     def __init__(
-        self, path: str, split: Callable[[str], list[str]], most: int = 12_000_000
+        self,
+        path: str,
+        split: Callable[[str], list[str]],
+        most: int = 12_000_000,
+        special: bool = True,
     ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split, self.most = split, most
+        self.tokenizer.encode_special_tokens = not special
+        known = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        names = [t.content for t in known]
+        self.named = re.compile("(" + "|".join(map(re.escape, sorted(names, key=len)[::-1])) + ")")
+        self.names, self.plain, self.most = names, split, most
         self._clear()
 
+    def split(self, text: str) -> list[str]:
+        """Stretches of a text; the name of a special token is one, apart from what is around it."""
+        if not any(name in text for name in self.names):
+            return self.plain(text)
+        parts = self.named.split(text)
+        return [x for i, p in enumerate(parts) if p for x in ([p] if i % 2 else self.plain(p))]
+
     def _clear(self) -> None:
         self.code: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)
@@ -79,14 +99,14 @@ class Encoder:
         """(all ids in order, ids of each text)."""
         if self.held > self.most:
             self._clear()
-        split = [self.split(text) for text in texts]
-        flat = [x for stretches in split for x in stretches]
-        codes = list(map(self.code.get, flat))
-        missing = {x for x, code in zip(flat, codes, strict=True) if code is None}
-        if missing:
-            self._learn(sorted(missing))
-            codes = [self.code[x] if c is None else c for x, c in zip(flat, codes, strict=True)]
-        codes = np.fromiter(codes, np.int64, len(flat))
+        split = list(map(self.split, texts))
+        flat = list(chain.from_iterable(split))
+        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            missing = [flat[i] for i in unknown]
+            self._learn(sorted(set(missing)))
+            codes[unknown] = list(map(self.code.__getitem__, missing))
         sizes = (self.first[1:] - self.first[:-1])[codes]
         ends = np.cumsum(sizes)
         places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
