@@ -8,14 +8,14 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from wiregrid.operators import graph
+from wiregrid.operators import graph, leaders
 from wiregrid.operators.clusters import (
     cluster_articles,
     leader_of_articles,
     member_chunks,
     members_from_json,
 )
-from wiregrid.operators.simjoin import Tuning, build_index, signatures, similar_pairs
+from wiregrid.operators.simjoin import Tuning, build_index, pairs_inside, signatures, similar_pairs
 
 SCHEMA = "case int, id string, ticker string, headline string, seq long"
 
@@ -202,6 +202,35 @@ def test_shared_hashes_are_told_apart_by_tokens(spark):
     assert exact == expected
 
 
+def test_pairs_inside_are_all_similar_pairs(spark):
+    """Leaving out late entries of the smaller sets loses no pair, at any depth of signatures."""
+    rows, _ = random_feeds(20, seed=14)
+    for threshold in (0.3, 0.4, 0.7, 1.0):
+        index = build_index(
+            spark.createDataFrame(rows, SCHEMA), threshold, F.col("case").cast("string"), STRESSED
+        )
+        entries = signatures(index, index.ordered)
+        pairs, compared = pairs_inside(index, entries)
+        found = sorted(map(tuple, pairs.collect()))
+        assert compared >= len(found)
+        assert found == sorted(map(tuple, similar_pairs(index, entries, entries).collect())), threshold
+
+
+def test_chance_meetings_make_few_batches(spark, monkeypatch):
+    """Pairs that share common words only do not cut the feed: batches follow what is left of them."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(120)]
+    rows = [(0, f"a{i}", "T", " ".join(rng.sample(words, 12)), i) for i in range(900)]
+    batches = []
+    end = leaders._batch_end
+    monkeypatch.setattr(leaders, "_batch_end", lambda *args: batches.append(1) or end(*args))
+    tuning = Tuning(crowded=10_000, pairs_min=1_500, pairs_per_set=0, signature_rows_max=10_000)
+    found = leader_of_articles(spark.createDataFrame(rows, SCHEMA), 0.4, tuning=tuning).collect()
+    got = {r["seq"]: r["leader_seq"] for r in found}
+    assert [got[i] for i in range(900)] == first_match([r[3] for r in rows], 0.4)
+    assert len(batches) <= 4
+
+
 def test_null_blocks_stay_apart(spark):
     rows = [("1", "t", "big oil deal", 1, "x", None), ("2", "t", "big oil deal", 2, None, "x")]
     feed = spark.createDataFrame(
