@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wiregrid.functions.lexicon import DEFAULT_LEXICON, lexicon_from_rows
+from wiregrid.operators import lexicon_match
 from wiregrid.operators.lexicon_match import LEXICON, lexicon_table
 from wiregrid.operators.score import lexicon_hits, python_scorer, run_scorer, score_articles
 
@@ -153,3 +154,26 @@ def test_python_scorer_sets_wrong_kinds_aside(spark):
     made = run_scorer(articles, scorer)
     assert sorted(r["article_id"] for r in made.scores.collect()) == ["0", "4"]
     assert sorted(r["article_id"] for r in made.rejects.collect()) == ["1", "2", "3"]
+
+
+def test_grams_no_keyword_has_are_not_shuffled(spark, monkeypatch):
+    """Where the index is too large for a broadcast by size, hashes of its grams still sort the texts' out."""
+    rng = random.Random(5)
+    letters = "abcdefgh"
+    texts = [(f"t{i}", "".join(rng.choices(letters, k=400))) for i in range(40)]
+    words = [text[9 * i : 9 * i + 8 + i % 5] for i, (_, text) in enumerate(texts)] + ["zzzzzzzzz"]
+    articles = spark.createDataFrame(texts, "id string, text string")
+    lexicon = spark.createDataFrame([("e", "high", word, 0) for word in words], LEXICON)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lexicon_match.candidates(articles, lexicon)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        got = {r["id"]: {word["keyword"] for word in r["words"]} for r in found.collect()}
+        monkeypatch.setattr(lexicon_match, "BROADCAST_GRAMS", 0)
+        shuffled = lexicon_match.candidates(articles, lexicon).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert got == {r["id"]: {word["keyword"] for word in r["words"]} for r in shuffled}
+    for i, (name, text) in enumerate(texts):
+        assert {word for word in words if word in text} <= got.get(name, set())
