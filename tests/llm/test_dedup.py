@@ -11,6 +11,7 @@ from tests.llm import brute
 from wiregrid.llm import debruijn, exact_radix, minhash_fss, suffix_bcr
 from wiregrid.llm.anchors import Cut
 from wiregrid.llm.common import Words, components
+from wiregrid.session import materialize
 
 
 def pairs(df):
@@ -52,6 +53,30 @@ def test_near_chain(spark):
     assert {r.component_id for r in found} == {0}
 
 
+def test_near_copies_just_too_unlike_are_not_all_compared(spark, monkeypatch):
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in draw.sample(range(120), draw.choice((2, 3, 4, 9, 10, 11))):
+            words[at] = f"x{draw.randrange(200)}"
+        rows.append((i, " ".join(words)))
+    compared = []
+
+    def seen(df, label, *metrics, **how):
+        table, found = materialize(df, label, *metrics, **how)
+        if label == "near-pairs":
+            compared.append(found["rows"])
+        return table, found
+
+    monkeypatch.setattr(minhash_fss, "materialize", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_fss.near_components(docs, minhash_fss.Near(width=2)).collect()
+    assert ordered(found) == ordered(brute.near(rows, 2))
+    assert sum(compared) < 40 * len(rows)
+
+
 def test_near_empty(empty, nulls):
     assert minhash_fss.near_components(empty).count() == 0
     lost = minhash_fss.near_components(nulls).where("doc_id IS NULL").collect()

@@ -17,6 +17,14 @@ only buckets that still hold more than one component go on with more pivots,
 four times as many each round, until every pair of different components of a
 bucket has been compared. So no cap is set and no candidate is lost.
 
+In a large group of near copies many are just too unlike for the threshold, and
+pivots would compare each of them with all others. So after the first round the
+members of crowded buckets are met by their rarest shingles (prefix filter, as
+in operators/simjoin.py): two sets that are alike share one of them, and what is rare in a copy
+is what was changed in it. A member for which that brings fewer meetings than
+its bucket has rows is compared with those it meets and leaves its crowded
+buckets; the others go on with pivots.
+
 Defined results: texts without words and null texts have no shingles and are
 linked with nothing. Rows that share a doc_id are one member of the
 graph, with the links of all of them; a null doc_id is never linked. Further columns are not read. An
@@ -47,6 +55,7 @@ class Near:
     percent: int = 80
     bands: int = 60
     rows: int = 6
+    crowd: int = 32  # open members that make a bucket crowded; no result depends on it
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -185,12 +194,105 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     )
 
 
+#: Shingles that are broadcast with their frequency, at most.
+_FREQUENT = 50_000
+
+
+def _rarest(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """(cid, n, comp, mark, pos): the shingles of `members` (cid, n, comp) that one alike must share, from rare to frequent."""
+    marks = sets.join(members.select("cid"), "cid").select("cid", F.explode("members").alias("mark"))
+    counted, seen = materialize(
+        marks.groupBy("mark").agg(F.count(F.lit(1)).alias("df")), "near-marks", F.sum("df").alias("all")
+    )
+    floor = (seen["all"] or 0) / _FREQUENT
+    often = counted.where(F.col("df") > floor).select("mark", F.col("df").alias("_often"))
+    rare = counted.where(F.col("df") <= floor).select(F.col("mark").alias("_mark"), "df")
+    met = marks.join(F.broadcast(often), "mark", "left")
+    # Rows that have their frequency already go to partitions of their own choice.
+    key = F.when(F.col("_often").isNull(), F.col("mark")).otherwise(F.xxhash64("cid", "mark"))
+    met = met.withColumn("_key", key).join(rare, F.col("_key") == F.col("_mark"), "left")
+    ordered = met.groupBy("cid").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_often", "df").alias("df"), "mark"))).alias("_held")
+    )
+    n, percent = F.col("n"), near.percent
+    least = F.ceil(percent * (n + F.ceil(percent * n / 100)) / (100 + percent))
+    first = F.slice("_held", F.lit(1), (n - least + 1).cast("int"))
+    return ordered.join(members, "cid").select(
+        "cid", "n", "comp", F.posexplode(F.transform(first, lambda held: held["mark"])).alias("pos", "mark")
+    )
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(16 * F.log2(n.cast("double"))).cast("int")
+
+
+def _by_rarest(rest: DataFrame, sets: DataFrame, near: Near) -> tuple[DataFrame, DataFrame] | None:
+    """(links, told) of the crowded buckets among `rest`; None where no member is told.
+
+    `told` (key, cid) has the rows of members that were compared with all of the other components
+    in all crowded buckets.
+    """
+    rows = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > near.crowd)
+    crowded, seen = materialize(rest.join(rows, "key").select("key", "cid", "n", "comp", "_rows"), "near-crowded")
+    if not seen["rows"]:
+        return None
+    members, _ = materialize(
+        crowded.groupBy("cid", "n", "comp").agg(F.max("_rows").alias("_most")), "near-members"
+    )
+    first, _ = materialize(_rarest(members.drop("_most"), sets, near), "near-rarest")
+    index = first.select(
+        "mark", _size_class(F.col("n")).alias("size"), F.col("cid").alias("other"),
+        F.col("comp").alias("own"), F.col("n").alias("m"), F.col("pos").alias("at"),
+    )
+    # A shingle with so many rarer ones before it is the first that is shared with sets up to a size only.
+    n, percent = F.col("n"), near.percent
+    largest = F.floor((100 + percent) * (n - F.col("pos")) / percent) - n
+    sizes = F.sequence(_size_class(F.ceil(percent * n / 100)), _size_class(largest))
+    probes = first.select("*", F.explode(sizes).alias("size"))
+    counts = index.groupBy("mark", "size").agg(F.count(F.lit(1)).alias("_held"))
+    itself = F.when(F.col("size") == _size_class(n), 1).otherwise(0)
+    costs = (
+        probes.join(counts, ["mark", "size"])
+        .groupBy("cid")
+        .agg(F.sum(F.col("_held") - itself).alias("_cost"))
+    )
+    told, seen = materialize(
+        members.join(costs, "cid").where(F.col("_cost") <= F.col("_most")).select("cid"), "near-told"
+    )
+    if not seen["rows"]:
+        return None
+    shared = F.least(n - F.col("pos"), F.col("m") - F.col("at"))
+    met = probes.join(told, "cid").join(index, ["mark", "size"]).where(
+        (F.col("comp") != F.col("own")) & ((100 + percent) * shared >= percent * (n + F.col("m")))
+    )
+    pairs, _ = materialize(
+        met.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(),
+        "near-pairs",
+    )
+    links, _ = materialize(_confirmed(pairs, sets, near), "near-links")
+    return links, crowded.join(told, "cid").select("key", "cid")
+
+
+def _still_open(rest: DataFrame, roots: DataFrame, bits: list[str]) -> tuple[DataFrame, dict]:
+    """Rows of the buckets that hold more than one component of `roots`, with the size of theirs."""
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    now = roots.join(sizes, "root").withColumnRenamed("node", "cid")
+    left = rest.join(now, "cid", "left").select(
+        "key", "cid", "n", *bits, F.coalesce("root", "cid").alias("comp"),
+        F.coalesce("size", F.lit(1).cast("long")).alias("weight"),
+    )
+    left, _ = materialize(left, "near-left")
+    mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return materialize(left.join(mixed.where("x <> y").select("key"), "key"), "near-open")
+
+
 def _bucket_roots(buckets: DataFrame, sets: DataFrame, links: DataFrame, near: Near) -> DataFrame:
     """Components (node, root) of `links` and all that is linked inside the buckets (key, cid, n, bits).
 
     A pivot that was compared with all other components of its bucket leaves
-    it. Members of small components are pivots first. Components are formed
-    anew only when a round has found links.
+    it, and so does a member told by its rarest shingles. Members of small
+    components are pivots first. Components are formed anew only when a round
+    has found links.
     """
     bits = [c for c in buckets.columns if c not in ("key", "cid", "n")]
     rest, roots, tried, count = buckets.select(
@@ -220,22 +322,20 @@ def _bucket_roots(buckets: DataFrame, sets: DataFrame, links: DataFrame, near: N
         if new["rows"] or roots is None:
             links = links.unionByName(found)
             roots = components(links, "near")
-        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        now = roots.join(sizes, "root").withColumnRenamed("node", "cid")
-        left = (
-            rest.select("key", "cid", "n", *bits)
-            .join(pivots.withColumnRenamed("pivot", "cid"), ["key", "cid"], "left_anti")
-            .join(now, "cid", "left")
-            .select("key", "cid", "n", *bits, F.coalesce("root", "cid").alias("comp"),
-                    F.coalesce("size", F.lit(1).cast("long")).alias("weight"))
-        )
-        left, _ = materialize(left, "near-left")
-        mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-        rest, seen = materialize(
-            left.join(mixed.where("x <> y").select("key"), "key"), "near-open"
+        left = rest.select("key", "cid", "n", *bits).join(
+            pivots.withColumnRenamed("pivot", "cid"), ["key", "cid"], "left_anti"
         )
+        rest, seen = _still_open(left, roots, bits)
         if not seen["rows"]:
             return roots
+        told = _by_rarest(rest, sets, near) if count == 1 else None
+        if told is not None:
+            links = links.unionByName(told[0])
+            roots = components(links, "near")
+            left = rest.select("key", "cid", "n", *bits).join(told[1], ["key", "cid"], "left_anti")
+            rest, seen = _still_open(left, roots, bits)
+            if not seen["rows"]:
+                return roots
         count *= 4
 
 
