@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wiregrid.streaming import first_wins
@@ -57,3 +58,55 @@ def test_state_ends_with_the_horizon(spark, tmp_path):
     assert run(spark, tmp_path, batches, 10) == [
         ("a", 0, 0, None), ("a", 61, 3, None), ("b", 30, 1, None), ("c", 60, 2, None),
     ]
+
+
+class Handle:
+    """Counts the calls that would cross to the JVM."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return getattr(Handle, f"_{name}")(self, *args)
+
+        return call
+
+    def _getValueState(self, name, schema):
+        return self
+
+    def _exists(self):
+        return self.value is not None
+
+    def _get(self):
+        return self.value
+
+    def _update(self, value):
+        self.value = value
+
+    def _listTimers(self):
+        return iter(self.timers)
+
+    def _deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def _registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_an_id_takes_few_state_calls_and_keeps_one_timer():
+    handle = Handle()
+    wins = first_wins.FirstWins("arrived", "seq", 3_600_000_000)
+    wins.init(handle)
+
+    def passed(*rows):
+        handle.calls = 0
+        made = [Row(arrived=START + dt.timedelta(minutes=m), seq=s) for m, s in rows]
+        return [r.seq for r in wins.handleInputRows(("a",), iter(made), None)]
+
+    assert passed((0, None), (0, 7), (0, 4), (30, 1)) == [4]
+    assert handle.calls == 3 and len(handle.timers) == 1
+    assert passed((59, 2)) == [] and handle.calls == 1
+    assert passed((61, 9), (60, 8), (125, 3)) == [8, 3]
+    assert handle.calls == 4 and len(handle.timers) == 1
