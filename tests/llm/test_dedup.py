@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm import brute
-from wiregrid.llm import debruijn, exact_radix, minhash_fss, suffix_bcr
+from wiregrid.llm import common, debruijn, exact_radix, minhash_fss, suffix_bcr
 from wiregrid.llm.anchors import Cut
 from wiregrid.llm.common import Words, components
 from wiregrid.session import materialize
@@ -77,6 +77,32 @@ def test_near_copies_just_too_unlike_are_not_all_compared(spark, monkeypatch):
     assert sum(compared) < 40 * len(rows)
 
 
+def test_stored_tables_are_broadcast_by_their_rows(spark, monkeypatch):
+    """By their files, all of these tables are small."""
+    draw, rows = random.Random(9), []
+    for i in range(300):
+        words = [f"w{i % 6}x{k}" for k in range(60)]
+        for at in draw.sample(range(60), draw.choice((0, 1, 2, 5, 6))):
+            words[at] = f"y{draw.randrange(100)}"
+        rows.append((i, " ".join(words)))
+    plans = []
+
+    def seen(df, label, *metrics, **how):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plans.append((label, "BroadcastHashJoin" in plan))
+        return materialize(df, label, *metrics, **how)
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(common, "materialize", seen)
+    monkeypatch.setattr(minhash_fss, "materialize", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_fss.near_components(docs, minhash_fss.Near(width=2)).collect()
+    assert ordered(found) == ordered(brute.near(rows, 2))
+    assert {"near-pairs", "near-open", "near-state", "near-hooks"} <= {label for label, _ in plans}
+    # Sets do not pack; Spark takes a join for as large as the product of its sides; frequent shingles are counted.
+    assert {label for label, met in plans if met} <= {"near-sets", "near-links", "near-left", "near-rarest"}
+
+
 def test_near_empty(empty, nulls):
     assert minhash_fss.near_components(empty).count() == 0
     lost = minhash_fss.near_components(nulls).where("doc_id IS NULL").collect()

@@ -76,6 +76,19 @@ def stored(df: DataFrame, label: str, *metrics, **options):
     return table, seen
 
 
+#: Rows of a stored table that may be broadcast, at most.
+BROADCAST_ROWS = 100_000
+
+
+def rows_told(table: DataFrame, seen: dict) -> tuple[DataFrame, dict]:
+    """What `materialize` gives, with a table that is met by merges if it has over BROADCAST_ROWS rows.
+
+    That holds for what is made of it alone, too. Spark's own check takes a stored table for as large
+    as its files, in which numbers are packed; the driver's hash table has up to twenty times as many bytes.
+    """
+    return (table if seen["rows"] <= BROADCAST_ROWS else table.hint("merge")), seen
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over `links` (a, b), for nodes that have links.
 
@@ -86,31 +99,31 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     """
     links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges, _ = materialize(both.distinct(), f"{label}-edges")
-    state, _ = materialize(
+    edges, _ = rows_told(*materialize(both.distinct(), f"{label}-edges"))
+    state, _ = rows_told(*materialize(
         edges.groupBy(F.col("a").alias("node"))
         .agg(F.min("b").alias("near"))
         .select("node", F.least("node", "near").alias("root")),
         f"{label}-state",
-    )
+    ))
     while True:
         seen = edges.join(state.select(F.col("node").alias("b"), F.col("root").alias("seen")), "b")
         near = seen.groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
-        hooks, found = materialize(
+        hooks, found = rows_told(*materialize(
             state.join(near, "node")
             .groupBy("root")
             .agg(F.min("seen").alias("seen"))
             .select("root", F.least("root", "seen").alias("over")),
             f"{label}-hooks",
             F.count_if(F.col("over") < F.col("root")).alias("moved"),
-        )
+        ))
         if not found["moved"]:
             return state
         above = hooks.select(F.col("root").alias("over"), F.col("over").alias("top"))
         tops = hooks.join(above, "over").select("root", "top")
-        state, _ = materialize(
+        state, _ = rows_told(*materialize(
             state.join(tops, "root").select("node", F.col("top").alias("root")), f"{label}-state"
-        )
+        ))
 
 
 # --- words of many texts at once ---------------------------------------------

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wiregrid.llm.common import Words, batches_of, components, mix, stored
+from wiregrid.llm.common import Words, batches_of, components, mix, rows_told, stored
 from wiregrid.session import materialize
 
 
@@ -206,7 +206,7 @@ def _rarest(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     )
     floor = (seen["all"] or 0) / _FREQUENT
     often = counted.where(F.col("df") > floor).select("mark", F.col("df").alias("_often"))
-    rare = counted.where(F.col("df") <= floor).select(F.col("mark").alias("_mark"), "df")
+    rare = rows_told(counted, seen)[0].where(F.col("df") <= floor).select(F.col("mark").alias("_mark"), "df")
     met = marks.join(F.broadcast(often), "mark", "left")
     # Rows that have their frequency already go to partitions of their own choice.
     key = F.when(F.col("_often").isNull(), F.col("mark")).otherwise(F.xxhash64("cid", "mark"))
@@ -233,13 +233,13 @@ def _by_rarest(rest: DataFrame, sets: DataFrame, near: Near) -> tuple[DataFrame,
     in all crowded buckets.
     """
     rows = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > near.crowd)
-    crowded, seen = materialize(rest.join(rows, "key").select("key", "cid", "n", "comp", "_rows"), "near-crowded")
+    crowded, seen = rows_told(*materialize(rest.join(rows, "key").select("key", "cid", "n", "comp", "_rows"), "near-crowded"))
     if not seen["rows"]:
         return None
-    members, _ = materialize(
+    members, _ = rows_told(*materialize(
         crowded.groupBy("cid", "n", "comp").agg(F.max("_rows").alias("_most")), "near-members"
-    )
-    first, _ = materialize(_rarest(members.drop("_most"), sets, near), "near-rarest")
+    ))
+    first, _ = rows_told(*materialize(_rarest(members.drop("_most"), sets, near), "near-rarest"))
     index = first.select(
         "mark", _size_class(F.col("n")).alias("size"), F.col("cid").alias("other"),
         F.col("comp").alias("own"), F.col("n").alias("m"), F.col("pos").alias("at"),
@@ -256,20 +256,20 @@ def _by_rarest(rest: DataFrame, sets: DataFrame, near: Near) -> tuple[DataFrame,
         .groupBy("cid")
         .agg(F.sum(F.col("_held") - itself).alias("_cost"))
     )
-    told, seen = materialize(
+    told, seen = rows_told(*materialize(
         members.join(costs, "cid").where(F.col("_cost") <= F.col("_most")).select("cid"), "near-told"
-    )
+    ))
     if not seen["rows"]:
         return None
     shared = F.least(n - F.col("pos"), F.col("m") - F.col("at"))
     met = probes.join(told, "cid").join(index, ["mark", "size"]).where(
         (F.col("comp") != F.col("own")) & ((100 + percent) * shared >= percent * (n + F.col("m")))
     )
-    pairs, _ = materialize(
+    pairs, _ = rows_told(*materialize(
         met.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(),
         "near-pairs",
-    )
-    links, _ = materialize(_confirmed(pairs, sets, near), "near-links")
+    ))
+    links, _ = rows_told(*materialize(_confirmed(pairs, sets, near), "near-links"))
     return links, crowded.join(told, "cid").select("key", "cid")
 
 
@@ -281,9 +281,10 @@ def _still_open(rest: DataFrame, roots: DataFrame, bits: list[str]) -> tuple[Dat
         "key", "cid", "n", *bits, F.coalesce("root", "cid").alias("comp"),
         F.coalesce("size", F.lit(1).cast("long")).alias("weight"),
     )
-    left, _ = materialize(left, "near-left")
+    left, _ = rows_told(*materialize(left, "near-left"))
     mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    return materialize(left.join(mixed.where("x <> y").select("key"), "key"), "near-open")
+    # What earlier rounds have left on the driver and on disk can go.
+    return rows_told(*stored(left.join(mixed.where("x <> y").select("key"), "key"), "near-open"))
 
 
 def _bucket_roots(buckets: DataFrame, sets: DataFrame, links: DataFrame, near: Near) -> DataFrame:
@@ -298,14 +299,15 @@ def _bucket_roots(buckets: DataFrame, sets: DataFrame, links: DataFrame, near: N
     rest, roots, tried, count = buckets.select(
         "*", F.col("cid").alias("comp"), F.lit(1).cast("long").alias("weight")
     ), None, None, 1
+    n_tried = 0
     while True:
         first = Window.partitionBy("key").orderBy("weight", "cid")
-        pivots, _ = materialize(
+        pivots, _ = rows_told(*materialize(
             rest.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= count)
             .select("key", F.col("cid").alias("pivot"), F.col("comp").alias("own"),
                     F.col("n").alias("m"), *[F.col(c).alias(f"p{c}") for c in bits]),
             "near-pivots",
-        )
+        ))
         met = rest.join(pivots, "key").where(
             (F.col("comp") != F.col("own"))
             & _alike(near.percent, F.least("n", "m"), F.col("n"), F.col("m"))
@@ -315,10 +317,11 @@ def _bucket_roots(buckets: DataFrame, sets: DataFrame, links: DataFrame, near: N
             F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")
         ).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = materialize(pairs, "near-pairs")
+            pairs = pairs.join(rows_told(tried, {"rows": n_tried})[0], ["a", "b"], "left_anti")
+        pairs, new = rows_told(*materialize(pairs, "near-pairs"))
+        n_tried += new["rows"]
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found, new = materialize(_confirmed(pairs, sets, near), "near-links")
+        found, new = rows_told(*materialize(_confirmed(pairs, sets, near), "near-links"))
         if new["rows"] or roots is None:
             links = links.unionByName(found)
             roots = components(links, "near")
@@ -343,9 +346,9 @@ def near_components(docs: DataFrame, near: Near = Near(), column: str = "text")
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
     signed, _ = materialize(signatures(docs, near, column), "near-signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes, _ = materialize(
+    classes, _ = rows_told(*materialize(
         usable.groupBy("digest").agg(F.min("doc_id").alias("cid")), "near-classes"
-    )
+    ))
     members = usable.join(classes, "digest")
     links = members.where("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
     keyed = members.where("doc_id = cid").select(
@@ -366,7 +369,7 @@ def near_components(docs: DataFrame, near: Near = Near(), column: str = "text")
         wanted = buckets.select(F.col("cid").alias("doc_id")).distinct()
         chosen = docs.select("doc_id", column).join(wanted, "doc_id", "left_semi")
         sets, _ = stored(full_sets(chosen, near, column), "near-sets")
-        roots = _bucket_roots(buckets, sets, links, near)
+        roots = _bucket_roots(rows_told(buckets, seen)[0], sets, links, near)
     return signed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id",
         "n_shingles",
