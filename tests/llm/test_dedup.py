@@ -184,6 +184,29 @@ def test_columns_sort_all_suffixes(strings, length):
         assert places.tolist() == wanted
 
 
+def test_only_strings_that_share_a_window_enter_the_columns(monkeypatch):
+    """The work of a part follows what is repeated in it, not all that has a common anchor."""
+    draw, built = random.Random(11), []
+
+    def text(n):
+        return bytes(draw.randrange(97, 123) for _ in range(n))
+
+    strings = [text(30) + b"a common anchor " + text(30) for _ in range(300)]
+    strings[7] = strings[4][:55] + text(21)
+    strings[9] = b"ab" * 40  # repeats windows of its own only
+    strings[11] = text(20)  # without any window
+
+    class Counted(suffix_bcr.Columns):
+        def __init__(self, strings, most):
+            built.append(len(strings))
+            super().__init__(strings, most)
+
+    monkeypatch.setattr(suffix_bcr, "Columns", Counted)
+    found = suffix_bcr.repeated_windows(strings, np.arange(300), 50)
+    assert {k: p.tolist() for k, p in enumerate(found) if len(p)} == {7: [0, 1, 2, 3, 4, 5]}
+    assert sum(built) <= 3
+
+
 def test_common_prefixes():
     strings = [b"banana", b"bandana", b"anana", b"nan"]
     columns = suffix_bcr.Columns(strings, 4)

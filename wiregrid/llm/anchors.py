@@ -16,6 +16,8 @@ import numpy as np
 from wiregrid.llm.common import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Windows whose anchors are told together, so that they stay in a processor's cache.
+_BLOCK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -91,8 +93,10 @@ def anchored_runs(data: np.ndarray, sizes: np.ndarray, cut: Cut) -> Runs:
     none = np.zeros(0, np.int64)
     if len(data) < cut.length:
         return Runs(none, none, none, none.astype(np.uint64), starts)
-    hashes = mix(rolling(data, cut.anchor))
-    least = _least(hashes, cut.length - cut.anchor + 1)
+    least = np.empty(len(data) - cut.length + 1, np.uint64)
+    for at in range(0, len(least), _BLOCK):
+        hashes = mix(rolling(data[at : at + _BLOCK + cut.length - 1], cut.anchor))
+        least[at : at + _BLOCK] = _least(hashes, cut.length - cut.anchor + 1)
     change = np.empty(len(least), bool)
     change[0] = True
     np.not_equal(least[1:], least[:-1], out=change[1:])

@@ -32,14 +32,13 @@ for them. Further columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiregrid.llm.anchors import Cut, cut_out, merged
-from wiregrid.llm.common import batches_of, parts_for, stored
+from wiregrid.llm.anchors import Cut, begins, cut_out, merged, rolling
+from wiregrid.llm.common import batches_of, parts_for, slices, stored
 from wiregrid.llm.run_marks import HOT, WHOLE, marked_texts, said_of_runs
 
 #: Windows of 50 bytes, anchors of 16.
@@ -51,6 +50,31 @@ def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.fromiter(map(len, texts), np.int64, len(texts))
 
 
+#: Bytes of segments that a task cuts out at a time.
+_CUT_BYTES = 8_000_000
+
+
+def _joined(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching spans of one text as maximal ones; later texts have later places."""
+    order = np.lexsort((first, doc))
+    doc, first, end = doc[order], first[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc))[: len(at)] - 1
+    return doc[at], first[at], end[last]
+
+
+def _binaries(data: np.ndarray, first: np.ndarray, size: np.ndarray):
+    """The bytes from each of `first` on as an Arrow array."""
+    import pyarrow as pa
+
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    taken = data[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], size)]
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(taken)]
+    return pa.Array.from_buffers(pa.binary(), len(size), buffers)
+
+
 def segments(marked: DataFrame, cut: Cut) -> DataFrame:
     """(part, segment, doc_id, place, size): bytes from `place` on that are marked.
 
@@ -60,44 +84,34 @@ def segments(marked: DataFrame, cut: Cut) -> DataFrame:
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def found(part: np.ndarray, segment, doc: np.ndarray, place: np.ndarray, size: np.ndarray):
+            arrays = [pa.array(c, pa.int64()) for c in (part, doc, place, size)]
+            names = ["part", "segment", "doc_id", "place", "size"]
+            return pa.RecordBatch.from_arrays([arrays[0], segment, *arrays[1:]], names=names)
 
         for batch, texts in batches_of(rows, "text"):
             data, sizes = byte_symbols(texts)
-            joined = data.tobytes()
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             runs, says = said_of_runs(batch, data, sizes, cut)
-            columns: list[list] = [[], [], [], [], []]
-
-            def put(*row: object) -> None:
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-
             known = runs.take(says == WHOLE)
-            whole = zip(
-                known.doc.tolist(), known.first.tolist(),
-                (known.first + known.size + cut.length - 1).tolist(), strict=True,
-            )
-            for doc, spans in groupby(sorted(whole), key=lambda x: x[0]):
-                start = int(known.starts[doc])
-                for a, b in merged([x[1:] for x in spans]):
-                    put(0, None, int(ids[doc]), a - start, b - a)
+            doc, first, end = _joined(known.doc, known.first, known.first + known.size + cut.length - 1)
+            none = np.zeros(len(doc), np.int64)
+            yield found(none, pa.nulls(len(doc), pa.binary()), ids[doc], first - runs.starts[doc], end - first)
             open_ = says != WHOLE
             cuts, part = cut_out(runs.take(open_), says[open_] == HOT, data, cut)
-            found = zip(
-                ids[cuts.doc].tolist(), part.tolist(), cuts.first.tolist(),
-                (cuts.first - cuts.starts[cuts.doc]).tolist(),
-                (cuts.size + cut.length - 1).tolist(), strict=True,
-            )
-            holder: dict[bytes, int] = {}
-            for doc, p, first, place, size in sorted(found):
-                text = joined[first : first + size]
-                own = holder.setdefault(text, doc) == doc
-                put(p, text if own else None, doc, place, size)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["part", "segment", "doc_id", "place", "size"],
-            )
+            order = np.lexsort((cuts.first, part, ids[cuts.doc]))
+            cuts, part = cuts.take(order), part[order]
+            size = cuts.size + cut.length - 1
+            for x, y in slices(size, _CUT_BYTES):
+                doc, first = cuts.doc[x:y], cuts.first[x:y]
+                segment = _binaries(data, first, size[x:y])
+                code = segment.dictionary_encode().indices.to_numpy()
+                holder = np.full(y - x, np.iinfo(np.int64).max)
+                np.minimum.at(holder, code, ids[doc])
+                segment = pc.if_else(pa.array(ids[doc] == holder[code]), segment, pa.scalar(None, pa.binary()))
+                yield found(part[x:y], segment, ids[doc], first - cuts.starts[doc], size[x:y])
 
     return marked.mapInArrow(
         run, "part long, segment binary, doc_id long, place long, size long"
@@ -186,10 +200,32 @@ class Columns:
                 yield live, depth, groups[rows]
 
 
-def repeated_windows(strings: list[bytes], holder: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every string the places of those windows that a string of a smaller holder has too."""
-    if not strings:
-        return []
+#: Bytes of strings whose columns are built together, so that they stay in a processor's cache.
+_TOGETHER = 100_000
+
+
+def meeting(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which strings hold a window that occurs twice in `data`; the others share none with any string.
+
+    By hashes: a string may be told too whose window only shares its hash.
+    """
+    told = np.zeros(len(sizes), bool)
+    if len(data) < length:
+        return told
+    hashes = rolling(data, length)
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[: len(hashes)]
+    left = np.cumsum(sizes)[of] - np.arange(len(hashes))
+    at = np.flatnonzero(left >= length)
+    order = at[np.argsort(hashes[at])]
+    hashes = hashes[order]
+    twice = np.flatnonzero(hashes[1:] == hashes[:-1])
+    told[of[order[twice]]] = True
+    told[of[order[twice + 1]]] = True
+    return told
+
+
+def _in_columns(strings: list[bytes], holder: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place) of the windows that a string of a smaller holder has too."""
     columns = Columns(strings, length)
     found = list(columns.windows())
     least = np.full(len(columns.common) + 1, np.iinfo(np.int64).max)
@@ -200,20 +236,63 @@ def repeated_windows(strings: list[bytes], holder: np.ndarray, length: int) -> l
         hit = least[group] < holder[of]
         string.append(of[hit])
         place.append(columns.sizes[of[hit]] - depth)
+    return np.concatenate(string), np.concatenate(place)
+
+
+def window_repeats(
+    data: np.ndarray, sizes: np.ndarray, holder: np.ndarray, part: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place), in order, of the windows that a string of a smaller holder and the same part has too.
+
+    The strings lie in `data` one after another.
+    """
+    open_ = np.flatnonzero(meeting(data, sizes, length))
+    _, group, count = np.unique(part[open_], return_inverse=True, return_counts=True)
+    open_, group = open_[count[group] > 1], group[count[group] > 1]
+    open_ = open_[np.argsort(group, kind="stable")]
+    edges = begins(part[open_])
+    weights = np.add.reduceat(sizes[open_], edges) if len(open_) else np.zeros(0, np.int64)
+    edges = np.append(edges, len(open_))
+    starts, raw = np.cumsum(sizes) - sizes, data.tobytes()
+    string, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in slices(weights, _TOGETHER):
+        own = open_[edges[x] : edges[y]]
+        ends = (starts[own] + sizes[own]).tolist()
+        texts = [raw[a:b] for a, b in zip(starts[own].tolist(), ends, strict=True)]
+        of, at = _in_columns(texts, holder[own], length)
+        string.append(own[of])
+        place.append(at)
     string, place = np.concatenate(string), np.concatenate(place)
     order = np.lexsort((place, string))
-    cuts = np.searchsorted(string[order], np.arange(1, len(strings)))
-    return np.split(place[order], cuts)
+    return string[order], place[order]
 
 
-def runs(places: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Consecutive window places as (first byte, end)."""
-    if not len(places):
+def repeated_windows(strings: list[bytes], holder: np.ndarray, length: int) -> list[np.ndarray]:
+    """For every string the places of those windows that a string of a smaller holder has too."""
+    if not strings:
         return []
-    gap = np.flatnonzero(np.diff(places) > 1)
-    first = places[np.concatenate(([0], gap + 1))]
-    last = places[np.concatenate((gap, [len(places) - 1]))]
-    return list(zip(first.tolist(), (last + length).tolist(), strict=True))
+    data, sizes = byte_symbols(strings)
+    string, place = window_repeats(data, sizes, holder, np.zeros(len(strings), np.int64), length)
+    return np.split(place, np.searchsorted(string, np.arange(1, len(strings))))
+
+
+def _runs(string: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first byte, end) of consecutive window places."""
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(place) > 1) | (np.diff(string) > 0)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(place))[: len(at)] - 1
+    return string[at], place[at], place[last] + length
+
+
+def _texts_of(values) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow array of binaries one after another, and the bytes of each."""
+    import pyarrow as pa
+
+    values = values.cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
 def repeated_spans(cuts: DataFrame, cut: Cut, n_parts: int) -> DataFrame:
@@ -223,37 +302,28 @@ def repeated_spans(cuts: DataFrame, cut: Cut, n_parts: int) -> DataFrame:
         import pyarrow as pa
 
         codes = table.column("segment").combine_chunks().dictionary_encode()
-        strings = codes.dictionary.to_pylist()
+        data, sizes = _texts_of(codes.dictionary)
         code = codes.indices.to_numpy(zero_copy_only=False)
         doc = table.column("doc_id").to_numpy()
         place = table.column("place").to_numpy()
-        part = table.column("part").to_numpy()
-        holder = np.full(len(strings), np.iinfo(np.int64).max)
+        holder = np.full(len(sizes), np.iinfo(np.int64).max)
         np.minimum.at(holder, code, doc)
-        anchor = np.zeros(len(strings), np.int64)
-        anchor[code] = part
-        _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
-        open_ = np.flatnonzero(size[group] > 1)
-        inner = dict(
-            zip(
-                open_.tolist(),
-                repeated_windows([strings[i] for i in open_], holder[open_], cut.length),
-                strict=True,
-            )
-        )
-        out = [[], [], []]
-        for c, d, at in zip(code.tolist(), doc.tolist(), place.tolist(), strict=True):
-            if d > holder[c]:
-                spans = [(0, len(strings[c]))]
-            else:
-                spans = runs(inner[c], cut.length) if c in inner else []
-            for a, b in spans:
-                out[0].append(d)
-                out[1].append(at + a)
-                out[2].append(at + b)
-        return pa.table(
-            {k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "first", "end"), out, strict=True)}
-        )
+        anchor = np.zeros(len(sizes), np.int64)
+        anchor[code] = table.column("part").to_numpy()
+        whole = np.flatnonzero(doc > holder[code])
+        own = np.flatnonzero(doc <= holder[code])
+        # The spans of a string belong to every row of it that its holder has.
+        string, first, end = _runs(*window_repeats(data, sizes, holder, anchor, cut.length), cut.length)
+        begin = np.searchsorted(string, code[own])
+        count = np.searchsorted(string, code[own], side="right") - begin
+        of = np.repeat(own, count)
+        at = np.arange(len(of)) + np.repeat(begin - np.cumsum(count) + count, count)
+        out = {
+            "doc_id": np.concatenate((doc[whole], doc[of])),
+            "first": np.concatenate((place[whole], place[of] + first[at])),
+            "end": np.concatenate((place[whole] + sizes[code[whole]], place[of] + end[at])),
+        }
+        return pa.table({name: pa.array(values, pa.int64()) for name, values in out.items()})
 
     dealt = cuts.withColumn("group", F.pmod(F.col("part"), F.lit(n_parts)))
     return dealt.groupBy("group").applyInArrow(run, "doc_id long, first long, end long")
