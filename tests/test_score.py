@@ -177,3 +177,28 @@ def test_grams_no_keyword_has_are_not_shuffled(spark, monkeypatch):
     assert got == {r["id"]: {word["keyword"] for word in r["words"]} for r in shuffled}
     for i, (name, text) in enumerate(texts):
         assert {word for word in words if word in text} <= got.get(name, set())
+
+
+def test_many_grams_of_keywords_are_told_by_bits(spark, monkeypatch):
+    """However many they are, grams that no keyword has are dropped before the shuffle."""
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choices("abcdefghij", k=300))) for i in range(30)]
+    texts += [(30, None), (None, "abcdefghij" * 3)]
+    words = [text[7 * i : 7 * i + 8 + i % 5] for i, text in texts[:30]] + ["efghijabcd", "zzzzzzzzz"]
+    held = spark.createDataFrame(texts, "id long, text string")
+    lexicon = spark.createDataFrame([("e", "high", word, 0) for word in words], LEXICON)
+    monkeypatch.setattr(lexicon_match, "BROADCAST_GRAMS", 0)
+    shown = []
+    real = lexicon_match._among
+
+    def among(met, grams, rows):
+        left = real(met, grams, rows)
+        shown.append((met.count(), left.count(), grams.join(met, "gram", "left_semi").join(left, "gram", "left_anti").count()))
+        return left
+
+    monkeypatch.setattr(lexicon_match, "_among", among)
+    found = {r["id"]: {word["keyword"] for word in r["words"]} for r in lexicon_match.candidates(held, lexicon).collect()}
+    for i, text in texts:
+        assert {word for word in words if word in (text or "")} <= found.get(i, set())
+    # No gram of a keyword is lost, most others are.
+    assert len(shown) == 2 and all(left < met / 4 and not lost for met, left, lost in shown)
